@@ -5,10 +5,29 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from quillstream.operators.works import work_children
+from quillstream.runtime import table
+
+
+def _work_children(spark: SparkSession, d: str) -> DataFrame:
+    return work_children(table(spark, d, "works"), table(spark, d, "raw_lines").where("feed = 'works'"))
+
+
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    return _work_children(spark, d).select("record_id", "child", "pos", "sub_pos")
+
+
+def p3_locations(spark: SparkSession, d: str) -> DataFrame:
+    """The flat table of locations; works lead to it by record_id, its own children by (record_id, pos)."""
+    names = ["is_oa", "landing_page_url", "pdf_url", "license", "version", "source.id", "source.display_name", "source.type", "source.host.name"]
+    rows = _work_children(spark, d).where("child = 'locations'")
+    return rows.select("record_id", "pos", *(F.col("fields")[n].alias(n.replace(".", "_")) for n in names))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return {f.__name__: f for f in (p3_found, p3_locations)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillstream.llm import fingerprint, topn
+from quillstream.llm import fingerprint, splitting, topn
 from quillstream.runtime import table
 from quillstream.sources.json_lines import field_texts
 
@@ -31,12 +31,33 @@ def p2_collapsed(spark: SparkSession, d: str) -> DataFrame:
     return fingerprint.collapse(_paper_records(spark, d), "record_id", _paper_forms()).withColumnRenamed("kept", "kept_record_id")
 
 
+def _items(spark: SparkSession, d: str) -> DataFrame:
+    """Sections (an id comes again with each revision of its paper, so the place in its record is part of the key) and chunks (full repeats once)."""
+    papers = table(spark, d, "parsed_papers").select("record_id", F.posexplode("sections").alias("place", "s"))
+    sections = papers.select(F.lit("section").alias("item_kind"), F.col("s.section_id").alias("item_id"), "record_id", "place", F.col("s.section_type").alias("section_type"), F.col("s.text").alias("text"))
+    chunks = table(spark, d, "chunks").select(F.lit("chunk").alias("item_kind"), F.col("chunk_id").alias("item_id"), F.col("vector_id").alias("record_id"), F.lit(0).alias("place"), "section_type", "text")
+    return sections.unionByName(chunks)
+
+
+ITEM = ["item_kind", "item_id", "record_id", "place"]
+
+
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    pieces = splitting.split_items(_items(spark, d), ITEM, "text", 300, 50, with_text=False)
+    return pieces.where("chunk_index = 1").select("item_kind", "item_id").distinct()
+
+
+def p4_pieces(spark: SparkSession, d: str) -> DataFrame:
+    items = _items(spark, d).dropDuplicates(ITEM)
+    return splitting.split_items(items, [*ITEM, "section_type"], "text", 300, 50)
+
+
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return topn.top_n_per_group(table(spark, d, "candidates"), "paper_id", "cand_id", "rerank_score", "rrf_score", 3).select("paper_id", "cand_id")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p2_found, p2_collapsed, p5_found)}
+    return {f.__name__: f for f in (p2_found, p2_collapsed, p4_found, p4_pieces, p5_found)}
 
 
 P5_SQL = """
@@ -49,5 +70,14 @@ WITH c AS (
 SELECT paper_id, cand_id FROM r WHERE k <= 3"""
 
 
+P4_SQL = r"""
+WITH items AS (
+  SELECT 'section' AS item_kind, s.section_id AS item_id, s.text AS text FROM (SELECT unnest(sections) AS s FROM parsed_papers)
+  UNION ALL SELECT 'chunk', chunk_id, text FROM chunks
+)
+SELECT DISTINCT item_kind, item_id FROM items
+WHERE len(regexp_extract_all(text, '[\p{L}\p{N}_]+|[^\p{L}\p{N}_\s\p{Z}\x{1c}-\x{1f}\x{85}\x{0b}]')) > 300"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"p5_found": P5_SQL}
+    return {"p4_found": P4_SQL.replace("\\\\", "\\"), "p5_found": P5_SQL}

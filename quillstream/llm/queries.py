@@ -7,11 +7,20 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillstream.llm import fingerprint, splitting, topn
+from quillstream.llm import fingerprint, neighbours, splitting, topn
 from quillstream.runtime import table
 from quillstream.sources.json_lines import field_texts
 
 
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    return neighbours.near_pairs(table(spark, d, "chunks"), "vector_id", "embedding", 5, 64, 0.9)
+
+
+def p1_recall(spark: SparkSession, d: str) -> DataFrame:
+    chunks = table(spark, d, "chunks")
+    return neighbours.recall(chunks, "vector_id", "embedding", neighbours.most_similar(chunks, "vector_id", "embedding"))
+
+
 def _paper_records(spark: SparkSession, d: str) -> DataFrame:
     lines = table(spark, d, "raw_lines").where("feed = 'parsed'")
     columns = ["record_id", "paper_id", "title", "doi"]
@@ -57,7 +66,7 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p2_found, p2_collapsed, p4_found, p4_pieces, p5_found)}
+    return {f.__name__: f for f in (p1_found, p1_recall, p2_found, p2_collapsed, p4_found, p4_pieces, p5_found)}
 
 
 P5_SQL = """

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillstream.llm import fingerprint, neighbours, splitting, topn
+from quillstream.llm import fingerprint, neighbours, splitting, topn, toxicity
 from quillstream.runtime import table
 from quillstream.sources.json_lines import field_texts
 
@@ -65,8 +65,21 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return topn.top_n_per_group(table(spark, d, "candidates"), "paper_id", "cand_id", "rerank_score", "rrf_score", 3).select("paper_id", "cand_id")
 
 
+def p8_scores(spark: SparkSession, d: str) -> DataFrame:
+    documents = table(spark, d, "documents")
+    return toxicity.score_documents(documents, toxicity.train(documents, table(spark, d, "doc_labels")))
+
+
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    return p8_scores(spark, d).where("flagged").select("doc_id")
+
+
+def p8_rates(spark: SparkSession, d: str) -> DataFrame:
+    return toxicity.rates(p8_scores(spark, d))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p1_recall, p2_found, p2_collapsed, p4_found, p4_pieces, p5_found)}
+    return {f.__name__: f for f in (p1_found, p1_recall, p2_found, p2_collapsed, p4_found, p4_pieces, p5_found, p8_found, p8_scores, p8_rates)}
 
 
 P5_SQL = """

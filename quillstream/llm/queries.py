@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillstream.llm import fingerprint, neighbours, splitting, topn, toxicity
-from quillstream.runtime import table
+from quillstream.llm import fingerprint, mixing, neighbours, packing, splitting, tokens, topn, toxicity
+from quillstream.runtime import cut, table
 from quillstream.sources.json_lines import field_texts
 
 
@@ -65,6 +65,26 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return topn.top_n_per_group(table(spark, d, "candidates"), "paper_id", "cand_id", "rerank_score", "rrf_score", 3).select("paper_id", "cand_id")
 
 
+CAPACITY = 2048
+
+
+def p6_containers(spark: SparkSession, d: str) -> DataFrame:
+    return packing.pack(tokens.token_sizes(table(spark, d, "documents"), ["doc_id"], "text"), "doc_id", "tokens", CAPACITY)
+
+
+def p6_fill(spark: SparkSession, d: str) -> DataFrame:
+    return packing.fill_report(p6_containers(spark, d), CAPACITY)
+
+
+def p7_mix(spark: SparkSession, d: str) -> DataFrame:
+    sizes = tokens.token_sizes(table(spark, d, "documents"), ["source", "doc_id"], "text").withColumnRenamed("doc_id", "item")
+    return mixing.mix(sizes, table(spark, d, "source_targets")).withColumnRenamed("item", "doc_id")
+
+
+def p7_shares(spark: SparkSession, d: str) -> DataFrame:
+    return mixing.share_report(cut(p7_mix(spark, d)), table(spark, d, "source_targets"))
+
+
 def p8_scores(spark: SparkSession, d: str) -> DataFrame:
     documents = table(spark, d, "documents")
     return toxicity.score_documents(documents, toxicity.train(documents, table(spark, d, "doc_labels")))
@@ -79,7 +99,7 @@ def p8_rates(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p1_recall, p2_found, p2_collapsed, p4_found, p4_pieces, p5_found, p8_found, p8_scores, p8_rates)}
+    return {f.__name__: f for f in (p1_found, p1_recall, p2_found, p2_collapsed, p4_found, p4_pieces, p5_found, p6_containers, p6_fill, p7_mix, p7_shares, p8_found, p8_scores, p8_rates)}
 
 
 P5_SQL = """

@@ -1,4 +1,4 @@
-"""Registered queries of the core and the SQL that checks them."""
+"""Registered queries of the core. Each runs over its whole tables; ``oracle`` has the SQL that checks them."""
 
 from __future__ import annotations
 
@@ -7,8 +7,21 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quillstream.functions import ids, nested, text
+from quillstream.operators import chunking, dedup, joins, search, selection
 from quillstream.operators.works import work_children
-from quillstream.runtime import table
+from quillstream.plans.oracle import oracle_sql
+from quillstream.plans.settings import CUTOFF, FAILS, LEXICON, WINDOW
+from quillstream.runtime import cut, shared_folder, table
+from quillstream.sources import xml_papers
+from quillstream.streaming import ingest
+
+__all__ = ["oracle_sql", "queries"]
+
+
+def _chunks(spark: SparkSession, d: str, *columns: str) -> DataFrame:
+    """Chunks without repeated rows."""
+    return table(spark, d, "chunks").dropDuplicates(["vector_id"]).select("vector_id", *columns)
 
 
 def _work_children(spark: SparkSession, d: str) -> DataFrame:
@@ -26,9 +39,321 @@ def p3_locations(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("record_id", "pos", *(F.col("fields")[n].alias(n.replace(".", "_")) for n in names))
 
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p3_found, p3_locations)}
+# functions
+
+
+def token_counts(spark: SparkSession, d: str) -> DataFrame:
+    t = F.col("text")
+    return table(spark, d, "documents").select("doc_id", text.token_count(t).cast("bigint").alias("tokens"), F.length(t).cast("bigint").alias("characters"), F.md5(text.squeeze(t)).alias("squeezed"))
+
+
+def last_tokens(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "documents").select("doc_id", F.md5(text.last_tokens(F.col("text"), 50)).alias("tail"))
+
+
+def work_identifiers(spark: SparkSession, d: str) -> DataFrame:
+    works = table(spark, d, "works")
+    return works.select(
+        "record_id", ids.work_id(F.col("id")).alias("work_id"), ids.work_id_anywhere(F.col("id")).alias("found_id"), ids.plain_doi(F.col("doi")).alias("doi"),
+        ids.identifier(F.col("id")).alias("identifier"), ids.year(F.col("publication_year")).cast("bigint").alias("year"), ids.iso_date(F.col("publication_date")).alias("published"),
+    )
+
+
+def title_keys(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "parsed_papers").select("record_id", ids.title_key(F.col("title")).alias("title_key"))
+
+
+def abstracts(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "works").select("record_id", nested.abstract_text(F.col("abstract_inverted_index")).alias("abstract"))
+
+
+def paper_texts(spark: SparkSession, d: str) -> DataFrame:
+    whole = text.joined_text(F.col("title"), F.col("abstract"), F.col("sections"))
+    return table(spark, d, "parsed_papers").select("record_id", F.md5(whole).alias("whole"), F.length(whole).cast("bigint").alias("characters"), (F.length(whole) >= 500).alias("usable"))
+
+
+def encoder_texts(spark: SparkSession, d: str) -> DataFrame:
+    rows = _chunks(spark, d, "title", "section_heading", "text")
+    return rows.select("vector_id", F.md5(text.shortened(text.embedding_text(F.col("title"), F.col("section_heading"), F.col("text")), 1600)).alias("encoded"))
+
+
+def open_pdf_urls(spark: SparkSession, d: str) -> DataFrame:
+    urls = ids.open_pdf_urls(F.col("best_oa_location"), F.col("locations"))
+    return table(spark, d, "works").select("record_id", F.array_join(urls, " ").alias("urls"), F.size(urls).cast("bigint").alias("n"))
+
+
+def url_hosts(spark: SparkSession, d: str) -> DataFrame:
+    urls = table(spark, d, "works").select(F.explode("locations").alias("l")).select(F.explode(F.array("l.landing_page_url", "l.pdf_url")).alias("url")).where("url is not null")
+    named = urls.select(F.try_parse_url("url", F.lit("HOST")).alias("host"), ids.is_safe_url(F.col("url")).alias("safe"))
+    return named.groupBy("host").agg(F.count("*").alias("urls"), F.count_if("safe").alias("safe"))
+
+
+def date_windows(spark: SparkSession, d: str) -> DataFrame:
+    fits = ids.in_window(ids.iso_date(F.col("publication_date")), F.col("publication_year"), *WINDOW)
+    return _chunks(spark, d, "paper_id", "publication_date", "publication_year").groupBy("paper_id").agg(F.count("*").alias("chunks"), F.count_if(fits).alias("in_window"))
+
+
+# sections, chunks and parsing
+
+
+def section_profile(spark: SparkSession, d: str) -> DataFrame:
+    sections = table(spark, d, "parsed_papers").select(F.explode("sections").alias("s"))
+    typed = sections.select(text.section_type(F.col("s.heading")).alias("by_heading"), F.col("s.section_type").alias("section_type"), text.token_count(F.col("s.text")).alias("n"))
+    return typed.groupBy("by_heading", "section_type").agg(F.count("*").alias("sections"), F.sum("n").cast("bigint").alias("tokens"))
+
+
+def window_chunks(spark: SparkSession, d: str) -> DataFrame:
+    pieces = table(spark, d, "documents").select("doc_id", F.posexplode(chunking.windows(F.col("text"), 300, 50)).alias("chunk_index", "piece"))
+    return pieces.select("doc_id", F.col("chunk_index").cast("bigint").alias("chunk_index"), F.md5("piece").alias("piece"))
+
+
+def sentence_chunks(spark: SparkSession, d: str) -> DataFrame:
+    return chunking.paper_chunks(table(spark, d, "parsed_papers"))
+
+
+def chunk_report(spark: SparkSession, d: str) -> DataFrame:
+    return chunking.chunk_report(table(spark, d, "chunks"))
+
+
+def chunk_profile(spark: SparkSession, d: str) -> DataFrame:
+    rows = _chunks(spark, d, "section_type", "source_format", "token_count")
+    return rows.groupBy("section_type", "source_format").agg(F.count("*").alias("chunks"), F.sum("token_count").cast("bigint").alias("tokens"))
+
+
+def parsed_xml(spark: SparkSession, d: str) -> DataFrame:
+    """All papers written as JATS and parsed again, a row per section."""
+    parsed = xml_papers.parse_papers(xml_papers.as_jats(table(spark, d, "parsed_papers")), "record_id", "paper_id", "xml")
+    rows = parsed.select("record_id", F.explode("paper.sections").alias("s"))
+    return rows.select("record_id", F.col("s.section_order").cast("bigint").alias("section_order"), F.col("s.section_type").alias("section_type"), F.md5("s.text").alias("text"))
+
+
+# joins, duplicates and order
+
+
+def discovery_dedup(spark: SparkSession, d: str) -> DataFrame:
+    works = table(spark, d, "works").withColumn("work_id", F.nullif(ids.work_id(F.col("id")), F.lit("")))
+    lists = dedup.merged_lists(works, "work_id", "matched_queries", "record_id")
+    return lists.select("work_id", F.col("first").alias("first_record"), F.array_join("matched_queries", "|").alias("queries"), F.size("matched_queries").cast("bigint").alias("n"))
+
+
+def latest_candidates(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "candidates").select("question_id", "chunk_id", "cand_id", "loaded_at")
+    return ingest.latest(rows, ["question_id", "chunk_id"], "loaded_at", "cand_id")
+
+
+def greedy_dedup(spark: SparkSession, d: str) -> DataFrame:
+    """Works, then parsed papers, duplicates by work id, DOI or title of a kept record."""
+    named = lambda t, i: table(spark, d, t).select("record_id", F.nullif(ids.work_id(F.col(i)), F.lit("")).alias("work"), ids.plain_doi(F.col("doi")).alias("doi"), ids.title_key(F.col("title")).alias("title"))
+    both = named("works", "id").withColumn("source", F.lit(0)).unionByName(named("parsed_papers", "paper_id").withColumn("source", F.lit(1)))
+    rows = dedup.numbered(both, ["source", "record_id"], "at")
+    return rows.select("at", "record_id").join(dedup.greedy_first(rows, "at", ["work", "doi", "title"]), "at").select("record_id", "kept", "reason")
+
+
+def parsed_union(spark: SparkSession, d: str) -> DataFrame:
+    papers = table(spark, d, "parsed_papers").withColumn("work_id", ids.work_id_anywhere(F.upper("paper_id"))).where("work_id is not null")
+    sides = [papers.where(F.col("source_format") == f).select("work_id", "record_id", "source_format") for f in ("jats_xml", "grobid_tei")]
+    return dedup.ordered_union(*sides, ["work_id"], [F.col("record_id")]).select("work_id", "record_id", "source_format")
+
+
+def numbered_chunks(spark: SparkSession, d: str) -> DataFrame:
+    return dedup.numbered(table(spark, d, "chunks").select("chunk_id").distinct(), ["chunk_id"]).select("chunk_id", "number")
+
+
+def paper_dates(spark: SparkSession, d: str) -> DataFrame:
+    works = table(spark, d, "works").select(ids.work_id(F.col("id")).alias("work_id"), "publication_date", "record_id")
+    full = works.where(F.col("publication_date").rlike(r"^\d{4}-\d{2}-\d{2}$") & (F.col("work_id") != ""))
+    return ingest.latest(full, ["work_id"], "record_id", "record_id").select("work_id", "publication_date")
+
+
+def dated_chunks(spark: SparkSession, d: str) -> DataFrame:
+    dates = paper_dates(spark, d).select(F.col("work_id").alias("paper_id"), F.col("publication_date").alias("known"))
+    rows = _chunks(spark, d, "paper_id", "publication_date").join(dates, "paper_id", "left")
+    return rows.select("vector_id", F.coalesce("publication_date", "known").alias("publication_date"))
+
 
+def coverage(spark: SparkSession, d: str) -> DataFrame:
+    works = table(spark, d, "works").select(ids.work_id_anywhere(F.upper("id")).alias("work_id"))
+    parsed = table(spark, d, "parsed_papers").select(ids.work_id_anywhere(F.upper("paper_id")).alias("work_id"))
+    chunked = table(spark, d, "chunks").select(ids.work_id_anywhere(F.upper("paper_id")).alias("work_id"))
+    return joins.key_coverage({"works": works, "parsed": parsed, "chunked": chunked}, "work_id")
 
-def oracle_sql() -> dict[str, str]:
-    return {}
+
+def repaired_ids(spark: SparkSession, d: str) -> DataFrame:
+    """Chunk ids of the candidates, cut after 26 characters, led back to the one chunk each can mean."""
+    cut_ids = table(spark, d, "candidates").select(F.left("chunk_id", F.lit(26)).alias("given")).where("given is not null").distinct()
+    return joins.repaired_ids(cut_ids, table(spark, d, "chunks").select("chunk_id").distinct(), "given", "chunk_id", 22)
+
+
+def screening(spark: SparkSession, d: str) -> DataFrame:
+    labels = ingest.latest(table(spark, d, "doc_labels"), ["doc_id"], "labelled_at", "label_id").select("doc_id", F.lower(F.trim("label")).alias("label"))
+    rows = table(spark, d, "documents").select("doc_id", "source").join(labels, "doc_id", "left")
+    return rows.groupBy("source", F.coalesce("label", F.lit("open")).alias("decision")).agg(F.count("*").alias("documents"))
+
+
+def remaining_chunks(spark: SparkSession, d: str) -> DataFrame:
+    chunks = table(spark, d, "chunks").select("chunk_id", "indexed_at")
+    done = chunks.where(F.col("indexed_at") < F.lit(CUTOFF).cast("timestamp_ntz"))
+    return ingest.remaining(chunks, done, ["chunk_id"]).select("chunk_id").distinct()
+
+
+# scores and reports
+
+
+def _scored_works(spark: SparkSession, d: str) -> DataFrame:
+    works = table(spark, d, "works")
+    score = selection.relevance(F.col("title"), F.col("abstract_inverted_index"), F.col("topics"), F.col("matched_queries"), F.col("query_match_count"), LEXICON)
+    fails = selection.failures(
+        retracted=F.col("is_retracted"), missing_title=F.trim(F.coalesce("title", F.lit(""))) == "", missing_abstract=nested.abstract_text(F.col("abstract_inverted_index")) == "",
+        missing_content=~(F.coalesce("has_content.pdf", F.lit(False)) | F.coalesce("has_content.grobid_xml", F.lit(False))),
+    )
+    return works.select("record_id", "publication_year", score.cast("bigint").alias("score"), fails.alias("fails"))
+
+
+def relevance_scores(spark: SparkSession, d: str) -> DataFrame:
+    return _scored_works(spark, d).select("record_id", "score", F.array_join("fails", "|").alias("fails"))
+
+
+def failure_counts(spark: SparkSession, d: str) -> DataFrame:
+    return _scored_works(spark, d).select(F.explode("fails").alias("reason")).groupBy("reason").agg(F.count("*").alias("works"))
+
+
+def score_histogram(spark: SparkSession, d: str) -> DataFrame:
+    return _scored_works(spark, d).groupBy("score").agg(F.count("*").alias("works"), F.count_if(F.size("fails") > 0).alias("failing"))
+
+
+def discovery_report(spark: SparkSession, d: str) -> DataFrame:
+    works = table(spark, d, "works")
+    by = lambda kind, c: works.select(c.alias("key")).where("key is not null").groupBy("key").agg(F.count("*").alias("works")).select(F.lit(kind).alias("kind"), "key", "works")
+    topics = by("topic", F.explode(F.expr("transform(topics, t -> t.display_name)")))
+    return by("year", F.col("publication_year").cast("string")).unionByName(by("query", F.explode("matched_queries"))).unionByName(topics)
+
+
+def audit_counts(spark: SparkSession, d: str) -> DataFrame:
+    w = table(spark, d, "works").withColumn("work_id", ids.work_id_anywhere(F.upper("id")))
+    full = lambda c: F.coalesce(c, F.lit(False))
+    pdf, xml = full(F.col("has_content.pdf")), full(F.col("has_content.grobid_xml"))
+    return w.agg(
+        F.count("*").alias("records"), F.count_distinct("work_id").alias("works"), F.count_if(F.col("work_id").isNull()).alias("without_id"), F.count_if(F.trim("doi") != "").alias("with_doi"),
+        F.count_if(pdf & ~xml).alias("pdf_only"), F.count_if(xml & ~pdf).alias("xml_only"), F.count_if(pdf & xml).alias("both"), F.count_if(~pdf & ~xml).alias("neither"),
+        (F.count("work_id") - F.count_distinct("work_id")).alias("repeated"), F.count_if("is_retracted").alias("retracted"),
+    )
+
+
+def index_terms(spark: SparkSession, d: str) -> DataFrame:
+    """The 100 terms found in the most chunks: a top-k report."""
+    terms = _chunks(spark, d, "text").select("vector_id", F.explode(F.array_distinct(text.words(F.col("text")))).alias("term"))
+    counts = terms.groupBy("term").agg(F.count("*").alias("chunks"))
+    return counts.orderBy(F.desc("chunks"), "term").limit(100)
+
+
+def event_windows(spark: SparkSession, d: str) -> DataFrame:
+    return ingest.windowed_counts(table(spark, d, "events"), "ts", "event_type")
+
+
+def ingested_lines(spark: SparkSession, d: str) -> DataFrame:
+    """The lines as a stream of files into a table, and what of them is valid."""
+    import uuid
+
+    home = f"{shared_folder(spark)}/ingest-{uuid.uuid4().hex}"
+    rows = ingest.ingest_lines(spark, f"{d}/raw_lines.parquet", "record_id bigint, feed string, payload string", f"{home}/table", f"{home}/progress")
+    return rows.groupBy("feed", "valid").agg(F.count("*").alias("lines"), F.sum(F.length("payload")).cast("bigint").alias("characters"))
+
+
+# search and its measures
+
+
+def bm25_topk(spark: SparkSession, d: str) -> DataFrame:
+    return search.bm25(table(spark, d, "questions"), _chunks(spark, d, "text"), "question_id", "question", "vector_id", "text", 50).withColumn("rank", F.col("rank").cast("bigint"))
+
+
+def nearest_vectors(spark: SparkSession, d: str) -> DataFrame:
+    """For every vector whose id is divisible by 100 its ten nearest among all."""
+    vectors = table(spark, d, "embeddings")
+    asked = vectors.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("v"))
+    found = search.nearest(asked, vectors, "query_id", "v", "vec_id", "embedding", 10, others_only=True)
+    return found.select("query_id", "vec_id", F.round("cosine", 6).alias("cosine"), F.col("rank").cast("bigint").alias("rank"))
+
+
+def hybrid_search(spark: SparkSession, d: str) -> DataFrame:
+    chunks = _chunks(spark, d, "paper_id", "text", "embedding")
+    return search.hybrid(table(spark, d, "questions"), chunks, "question_id", "question", "vector_id", "paper_id", "text", "embedding").withColumn("rank", F.col("rank").cast("bigint"))
+
+
+def _lists(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Dense and sparse lists of each question from the candidates."""
+    rows = table(spark, d, "candidates")
+    out = []
+    for score in ("dense_score", "sparse_score"):
+        known = rows.where(F.col(score).isNotNull() & ~F.isnan(score)).groupBy("question_id", "chunk_id").agg(F.max(score).alias("s"))
+        out.append(search.best(known, ["question_id"], [F.desc("s"), F.asc("chunk_id")], 50).select("question_id", "chunk_id", "rank"))
+    return out[0], out[1]
+
+
+def fused_candidates(spark: SparkSession, d: str) -> DataFrame:
+    long = lambda c: F.col(c).cast("bigint").alias(c)
+    return search.fuse(*_lists(spark, d), "question_id", "chunk_id").select("question_id", "chunk_id", "score", long("dense_rank"), long("sparse_rank"), long("rank"))
+
+
+def capped_candidates(spark: SparkSession, d: str) -> DataFrame:
+    papers = table(spark, d, "candidates").groupBy("chunk_id").agg(F.min("paper_id").alias("paper_id"))
+    ranked = search.fuse(*_lists(spark, d), "question_id", "chunk_id").join(papers, "chunk_id")
+    return search.capped(ranked, "question_id", "paper_id", 2, 10).select("question_id", "chunk_id", "paper_id", F.col("rank").cast("bigint").alias("rank"))
+
+
+def merged_evidence(spark: SparkSession, d: str) -> DataFrame:
+    """At most 12 results per question: half from the dense list, half from the sparse one, the rest filled from both in order."""
+    dense, sparse = _lists(spark, d)
+    found = joins.budget_merge(dense, sparse, "question_id", "chunk_id", 12)
+    return found.select("question_id", "chunk_id", F.col("rank").cast("bigint").alias("rank"))
+
+
+def _judged(spark: SparkSession, d: str) -> DataFrame:
+    """Per question what the fused search finds, what was rated high, and the three best rated."""
+    top = search.fuse(*_lists(spark, d), "question_id", "chunk_id", k=10).groupBy("question_id").agg(F.expr("transform(array_sort(collect_list(struct(rank, chunk_id))), x -> x.chunk_id)").alias("got"))
+    rated = table(spark, d, "candidates").where("rerank_score is not null and not isnan(rerank_score)").groupBy("question_id", "chunk_id").agg(F.max("rerank_score").alias("s"))
+    ranked = search.best(rated, ["question_id"], [F.desc("s"), F.asc("chunk_id")], 5)
+    gold = ranked.groupBy("question_id").agg(
+        F.expr("array_sort(collect_list(case when s > 2 then chunk_id end))").alias("gold"), F.expr("transform(array_sort(collect_list(case when rank <= 3 then struct(rank, chunk_id) end)), x -> x.chunk_id)").alias("cited")
+    )
+    return table(spark, d, "questions").select("question_id", "category").join(top, "question_id", "left").join(gold, "question_id", "left")
+
+
+def _measures(spark: SparkSession, d: str) -> DataFrame:
+    got, gold, cited = F.col("got"), F.col("gold"), F.col("cited")
+    measures = {
+        "precision": nested.precision_at(got, gold, 10), "recall": nested.recall_at(got, gold, 10), "reciprocal_rank": nested.reciprocal_rank(got, gold), "ndcg": nested.ndcg_at(got, gold, 10),
+        "citation_validity": nested.citation_validity(cited, got), "citation_recall": nested.citation_recall(cited, gold),
+    }
+    return _judged(spark, d).select("question_id", "category", *(F.round(m, 6).alias(n) for n, m in measures.items()))
+
+
+def rank_metrics(spark: SparkSession, d: str) -> DataFrame:
+    return _measures(spark, d)
+
+
+def evaluation_report(spark: SparkSession, d: str) -> DataFrame:
+    """Means per category over the questions that have a value, and the share of all questions with a hit."""
+    rows = _measures(spark, d)
+    means = [F.round(F.avg(m), 5).alias(m) for m in ("precision", "recall", "reciprocal_rank", "ndcg")]
+    hit = F.when(F.coalesce("recall", F.lit(0.0)) > 0, 1.0).otherwise(0.0)
+    return rows.groupBy("category").agg(F.count("*").alias("questions"), F.count("recall").alias("judged"), *means, F.round(F.avg(hit), 5).alias("success"))
+
+
+def keyword_coverage(spark: SparkSession, d: str) -> DataFrame:
+    """Share of the long words of each reference answer that stand in the text of any of the first ten fused chunks."""
+    asked = table(spark, d, "questions").select("question_id", F.explode(F.array_distinct(F.filter(text.words(F.col("reference_answer")), lambda w: F.length(w) >= 9))).alias("word"))
+    texts = _chunks(spark, d, "chunk_id", "text").groupBy("chunk_id").agg(F.min("text").alias("text"))
+    top = search.fuse(*_lists(spark, d), "question_id", "chunk_id", k=10).join(texts, "chunk_id").select("question_id", "text")
+    each = asked.join(top, "question_id").groupBy("question_id", "word").agg(F.max(text.has_phrase(F.col("text"), F.col("word")).cast("int")).alias("hit"))
+    return each.groupBy("question_id").agg(F.count("*").alias("words"), F.round(F.avg("hit"), 6).alias("coverage"))
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    found = (
+        hybrid_search, bm25_topk, nearest_vectors, fused_candidates, capped_candidates, merged_evidence, rank_metrics, evaluation_report, keyword_coverage,
+        p3_found, p3_locations, token_counts, last_tokens, work_identifiers, title_keys, abstracts, paper_texts, encoder_texts, open_pdf_urls, url_hosts, date_windows,
+        section_profile, window_chunks, sentence_chunks, chunk_report, chunk_profile, parsed_xml, discovery_dedup, latest_candidates, greedy_dedup, parsed_union, numbered_chunks,
+        paper_dates, dated_chunks, coverage, repaired_ids, screening, remaining_chunks, relevance_scores, failure_counts, score_histogram, discovery_report, audit_counts, index_terms,
+        event_windows, ingested_lines,
+    )
+    return {f.__name__: f for f in found}

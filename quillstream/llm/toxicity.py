@@ -19,7 +19,7 @@ from quillstream.runtime import cut
 LEET = str.maketrans("013457@$!", "oieastasi")
 # fixed values: letters of other scripts that look like Latin ones
 LOOKS = str.maketrans("аеорсухіјѕԁһꞵοαεικντρυω", "aeopcyxijsdhboaeikvtpuw")
-START, END, UNKNOWN = 0, 1, 2
+START, END, UNKNOWN, NUMBER, MASKED, MIXED = range(6)
 SPECIAL = ["<s>", "</s>", "<unknown>", "<number>", "<masked>", "<mixed>", "<quote>"]
 FOLDS = 5
 
@@ -79,13 +79,13 @@ class Vocabulary:
                 return self.lookup(plain)
             return self.mixed.get(signature(word), UNKNOWN) if len(word) >= 4 else UNKNOWN
         if "*" in word:
-            return 4
+            return MASKED
         plain = word.translate(LEET)
         if plain.isalpha():
             k = self.number.get(plain) or self.mixed.get(signature(plain))
             if k:
                 return k
-        return 3 if word[0].isdigit() else 5
+        return NUMBER if word[0].isdigit() else MIXED
 
     def encode(self, words: list[str], cache: dict[str, int]) -> list[int]:
         out = [START, START]
@@ -121,6 +121,8 @@ class Classifier:
         at = np.flatnonzero(keep)
         a, b, c = flat[at - 2], flat[at - 1], flat[at]
         gain = self.toxic.log_prob(a, b, c) - self.ordinary.log_prob(a, b, c)
+        new = (c == UNKNOWN) | (c == MIXED)  # a word no class knows is no sign of the smaller class
+        gain[new] = np.minimum(gain[new], 0)
         return np.bincount(np.repeat(np.arange(len(size)), size), weights=gain, minlength=len(size)) / (size + 2)
 
 

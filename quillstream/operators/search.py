@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillstream.functions.text import search_terms, words
+from quillstream.runtime import cut
 
 K1, B, LEAST_IDF = 1.2, 0.75, 1e-6
 
@@ -117,7 +118,8 @@ def relevance_vectors(found: DataFrame, chunks: DataFrame, qid: str, doc: str, v
 
 def hybrid(queries: DataFrame, chunks: DataFrame, qid: str, query: str, doc: str, group: str, text: str, vec: str, k: int = 10, wide: int = 50, fused: int = 30, cap: int = 2, dim: int = 64) -> DataFrame:
     """``qid, doc, group, score, rank``: lexical and vector lists fused, then at most ``cap`` results of one group."""
-    sparse = bm25(queries, chunks, qid, query, doc, text, wide)
+    chunks = cut(chunks.select(doc, group, text, vec))  # read four times
+    sparse = cut(bm25(queries, chunks, qid, query, doc, text, wide))
     dense = nearest(relevance_vectors(sparse, chunks, qid, doc, vec, dim=dim), chunks, qid, "query_vector", doc, vec, wide, dim)
     ranked = fuse(dense, sparse, qid, doc, k=fused).join(chunks.select(doc, group), doc)
     return capped(ranked, qid, group, cap, k).select(qid, doc, group, "score", "rank")

@@ -5,10 +5,11 @@ from __future__ import annotations
 import re
 from bisect import bisect_right
 from collections.abc import Iterator
+from typing import BinaryIO
+from urllib.parse import unquote, urlparse
 
-import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 TOKEN = re.compile(r"\w+|[^\w\s]")
@@ -175,3 +176,77 @@ def split_items(df: DataFrame, keys: list[str], text: str, max_tokens: int = 300
         *(F.col(f"p.{p}").alias(k) for k, p in zip(keys, plain)), (F.col("q.before") + F.col("p.local_index")).cast("int").alias("chunk_index"), *(F.col(f"p.{c}") for c in last)
     )
     return out.unionByName(numbered)
+
+
+def _after_word_in_file(file: BinaryIO, at: int, length: int) -> int:
+    """The first byte from ``at`` on that begins a character and does not lie within a word; read as far as the word goes."""
+    if at <= 0 or at >= length:
+        return min(max(at, 0), length)
+    back = min(4, at)
+    file.seek(at - back)
+    head = file.read(back + 4)
+    k = back
+    while k < len(head) and head[k] & 0xC0 == 0x80:
+        k += 1
+    place = at - back + k
+    before = head[:k].decode(errors="ignore")[-1:]
+    if not _WORD_CHAR.match(before):
+        return place
+    file.seek(place)
+    rest = b""
+    while more := file.read(1 << 16):
+        rest += more
+        text = rest.decode(errors="ignore")
+        end = _WORD.match(text).end()
+        if end < len(text):
+            return place + len(text[:end].encode())
+    return length
+
+
+def cut_file_range(path: str, number: int, size: int, length: int, halo: int, most: int, overlap: int) -> list[tuple[int, int, int, int, str]]:
+    """Pieces of one byte range of a UTF-8 file as (first byte, byte after, tokens, strength, text), from the range and its halos alone."""
+    with open(path, "rb") as file:
+        begin, end = (_after_word_in_file(file, n * size, length) for n in (number, number + 1))
+        if begin >= end:
+            return []
+        base = _after_word_in_file(file, begin - halo, length) if begin else 0
+        file.seek(base)
+        left, core, right = (file.read(n).decode(errors="surrogateescape") for n in (begin - base, end - begin, halo))
+    text = left + core + right
+    out, done, at = [], base, 0
+    for a, b, n, kind in cut_range(text, len(left), len(core), begin == 0, end == length, most, overlap, halo // 2):
+        done += len(text[at:a].encode(errors="surrogateescape")) if a >= at else -len(text[a:at].encode(errors="surrogateescape"))
+        raw = text[a:b].encode(errors="surrogateescape")
+        out.append((done, done + len(raw), n, kind, raw.decode(errors="replace")))
+        at = a
+    return out
+
+
+def split_files(spark: SparkSession, paths: str | list[str], max_tokens: int = 300, overlap: int = 50, range_bytes: int = 8 << 20, halo: int = 1 << 16) -> DataFrame:
+    """``path, chunk_index, start, stop, token_count, ends_at, piece`` of UTF-8 text files of any size; ``start`` and ``stop`` are byte offsets.
+
+    Only names and lengths of the files are listed. Each task seeks to its byte range, reads it with a halo on both sides and cuts it as
+    ``split_items`` does, so a file is never held whole and its text is never shuffled; what is gathered is the number of pieces per range, whose prefix sums number the pieces. Files must lie in a
+    folder that all executors see under the same path. Empty files give no piece; bytes that are no UTF-8 become the replacement character.
+    """
+    if not 0 <= overlap < max_tokens:
+        raise ValueError("overlap must be at least 0 and less than max_tokens")
+    files = spark.read.format("binaryFile").load(paths).select("path", "length").where("length > 0")
+    last = F.floor((F.col("length") - 1) / range_bytes).cast("int")
+    ranges = files.select("path", "length", F.explode(F.sequence(F.lit(0), last)).alias("range_no")).repartition("path", "range_no")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for path, length, number in zip(*(batch.column(c).to_pylist() for c in ("path", "length", "range_no"))):
+                found = cut_file_range(unquote(urlparse(path).path), number, range_bytes, length, halo, max_tokens, overlap)
+                if found:
+                    n = len(found)
+                    kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.string()]
+                    data = [pa.array([path] * n), pa.array([number] * n, pa.int32()), pa.array(range(n), pa.int32()), *(pa.array(c, t) for c, t in zip(zip(*found), kinds))]
+                    yield pa.RecordBatch.from_arrays(data, names=["path", *(c.split()[0] for c in PIECES.split(", "))])
+
+    pieces = ranges.mapInArrow(run, f"path string, {PIECES}")
+    order = Window.partitionBy("path").orderBy("range_no").rowsBetween(Window.unboundedPreceding, -1)
+    totals = pieces.groupBy("path", "range_no").agg(F.count("*").alias("n")).withColumn("before", F.coalesce(F.sum("n").over(order), F.lit(0)))
+    index = (F.col("before") + F.col("local_index")).cast("int").alias("chunk_index")
+    return pieces.join(totals, ["path", "range_no"]).select("path", index, "start", "stop", "token_count", "ends_at", "piece")

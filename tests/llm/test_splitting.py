@@ -61,3 +61,26 @@ def test_null_empty_blank_and_limit(spark):
     assert split_items(spark.createDataFrame([], SCHEMA), ["id"], "text").collect() == []
     with pytest.raises(ValueError):
         split(spark, ["x"], max_tokens=5, overlap=5)
+
+
+@pytest.mark.parametrize("seed,range_bytes", [(1, 700), (2, 1000), (3, 1 << 20)])
+def test_files_are_cut_by_byte_ranges(spark, tmp_path, seed, range_bytes):
+    from quillstream.llm.splitting import split_files
+
+    text = prose(2500, seed) + "x" * 3000 + " " + prose(200, seed)
+    (tmp_path / "a b.txt").write_bytes(text.encode())
+    (tmp_path / "empty.txt").write_bytes(b"")
+    rows = split_files(spark, str(tmp_path), 60, 10, range_bytes, 1200).orderBy("chunk_index").collect()
+    raw = text.encode()
+    assert all(raw[r["start"] : r["stop"]].decode() == r["piece"] for r in rows)
+    at = [len(raw[: r["start"]].decode()) for r in rows]
+    as_items = [{"chunk_index": r["chunk_index"], "start": a, "stop": a + len(r["piece"]), "token_count": r["token_count"], "piece": r["piece"]} for r, a in zip(rows, at)]
+    check(text, as_items, 60, 10, exact=False)
+
+
+def test_bytes_that_are_no_text(spark, tmp_path):
+    from quillstream.llm.splitting import split_files
+
+    (tmp_path / "a.txt").write_bytes(b"one \xff\xfe two. " * 200)
+    rows = split_files(spark, str(tmp_path), 60, 10, 300, 400).collect()
+    assert rows and sum(r["stop"] - r["start"] for r in rows) >= 200 * 12

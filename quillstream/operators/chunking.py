@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -13,6 +15,11 @@ def _check(most: int, overlap: int) -> None:
         raise ValueError("most must be positive, and overlap at least 0 and less than most")
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is computed once per row, however often it occurs in the result."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def windows(text: Column, most: int, overlap: int) -> Column:
     """Windows of ``most`` tokens of the text as it stands, each ``most - overlap`` tokens on; the last ends with the text."""
     _check(most, overlap)
@@ -32,36 +39,43 @@ def sentence_chunks(text: Column, most: int, overlap: int) -> Column:
     ends the chunk before it and is cut into windows, after which nothing is passed on. Blank text gives no chunk.
     """
     _check(most, overlap)
-    clean = squeeze(text)
-    sentences = F.filter(F.split(F.regexp_replace(clean, r"([.!?]) ", "$1\u0001"), "\u0001"), lambda s: s != "")
-    start = F.struct(F.expr("cast(array() as array<string>)").alias("out"), F.lit("").alias("now"), F.lit(0).alias("n"))
+    none = F.expr("cast(array() as array<string>)")
+
+    def packed(clean: Column) -> Column:
+        parts = F.filter(F.split(F.regexp_replace(clean, r"([.!?]) ", "$1\u0001"), "\u0001"), lambda s: s != "")
+        counted = F.transform(parts, lambda s: F.struct(s.alias("s"), token_count(s).alias("n")))
+        start = F.struct(none.alias("out"), F.lit("").alias("now"), F.lit(0).alias("n"))
+        return F.aggregate(counted, start, step, flushed)
 
     def flushed(acc: Column) -> Column:
         return F.when(acc["now"] != "", F.array_append(acc["out"], acc["now"])).otherwise(acc["out"])
 
-    def tail(acc: Column) -> Column:
+    def state(out: Column, now: Column, n: Column) -> Column:
+        return F.struct(out.alias("out"), now.alias("now"), n.cast("int").alias("n"))
+
+    def passed_on(acc: Column) -> Column:
+        """The last tokens of a full chunk and their number."""
         if not overlap:
-            return F.lit("")
+            return F.struct(F.lit("").alias("s"), F.lit(0).alias("n"))
         spaced = F.regexp_extract_all(acc["now"], F.lit(rf"(?:{TOKEN})[{SPACE}]*"), F.lit(0))
-        return F.trim(F.array_join(F.slice(spaced, F.greatest(F.size(spaced) - overlap + 1, F.lit(1)), overlap), ""))
-
-    def step(acc: Column, s: Column) -> Column:
-        n = token_count(s)
-        glued = F.when(acc["now"] == "", s).otherwise(F.concat(acc["now"], F.lit(" "), s))
-        over = tail(acc)
-        carried = token_count(over)
-        fresh = F.when((over != "") & (carried + n <= most), F.concat(over, F.lit(" "), s)).otherwise(s)
-        fresh_n = F.when((over != "") & (carried + n <= most), carried + n).otherwise(n)
-        state = lambda out, now, k: F.struct(out.alias("out"), now.alias("now"), k.cast("int").alias("n"))
+        tail = F.slice(spaced, F.greatest(F.size(spaced) - overlap + 1, F.lit(1)), overlap)
+        return F.struct(F.trim(F.array_join(tail, "")).alias("s"), F.least(F.size(spaced), F.lit(overlap)).alias("n"))
+
+    def step(acc: Column, x: Column) -> Column:
+        glued = F.when(acc["now"] == "", x["s"]).otherwise(F.concat(acc["now"], F.lit(" "), x["s"]))
+        next_ = let(
+            passed_on(acc),
+            lambda over: F.when((over["s"] != "") & (over["n"] + x["n"] <= most), state(flushed(acc), F.concat(over["s"], F.lit(" "), x["s"]), over["n"] + x["n"])).otherwise(state(flushed(acc), x["s"], x["n"])),
+        )
         return (
-            F.when(n > most, state(F.concat(flushed(acc), windows(s, most, overlap)), F.lit(""), F.lit(0)))
-            .when(acc["n"] + n <= most, state(acc["out"], glued, acc["n"] + n))
-            .otherwise(state(flushed(acc), fresh, fresh_n))
+            F.when(x["n"] > most, state(F.concat(flushed(acc), windows(x["s"], most, overlap)), F.lit(""), F.lit(0)))
+            .when(acc["n"] + x["n"] <= most, state(acc["out"], glued, acc["n"] + x["n"]))
+            .otherwise(next_)
         )
 
-    packed = F.aggregate(sentences, start, step, flushed)
-    none = F.expr("cast(array() as array<string>)")
-    return F.when(F.coalesce(token_count(clean), F.lit(0)) == 0, none).when(token_count(clean) <= most, F.array(clean)).otherwise(packed)
+    clean = squeeze(text)
+    whole = let(F.struct(clean.alias("t"), token_count(clean).alias("n")), lambda c: F.when(c["n"] <= most, F.when(c["n"] > 0, F.array(c["t"])).otherwise(none)).otherwise(packed(c["t"])))
+    return F.when(text.isNull(), none).otherwise(whole)
 
 
 def paper_chunks(papers: DataFrame, most: int = 300, overlap: int = 50, abstracts: bool = True) -> DataFrame:

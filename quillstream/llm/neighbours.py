@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from quillstream.llm.hnsw import build, search
 from quillstream.runtime import cut
 
-ROUTED = "shard long, home boolean, vector_id long, vector binary"
+ROUTED = "shard long, home boolean, asked boolean, vector_id long, vector binary"
 FOUND = "vector_id long, neighbour_id long, cosine double"
 
 
@@ -54,7 +54,7 @@ def _sample(rows: DataFrame, dim: int, total: int, size: int) -> np.ndarray:
     return _unit(_matrix(column, dim)[1]).astype(np.float32) if len(column) else np.zeros((0, dim), np.float32)
 
 
-def _route(rows: DataFrame, dim: int, centres: np.ndarray, parts: np.ndarray, margin: float) -> DataFrame:
+def _route(rows: DataFrame, dim: int, centres: np.ndarray, parts: np.ndarray, margin: float, every: int) -> DataFrame:
     """A row for the shard that indexes the vector, and one for every shard that it is a query to.
 
     A vector is a query to the shards of its own cell and of every cell whose centre is hardly less similar to it: by no more than ``margin`` times the distance of the two centres.
@@ -71,17 +71,22 @@ def _route(rows: DataFrame, dim: int, centres: np.ndarray, parts: np.ndarray, ma
             ids = batch.column("vector_id").to_numpy(zero_copy_only=False)[at].astype(np.int64)
             sims = _unit(vectors).astype(np.float32) @ centres.T
             home = sims.argmax(1)
-            asked = sims.max(1)[:, None] - sims <= margin * apart[home]
-            asked[np.arange(len(home)), home] = True
-            row, cell = np.nonzero(asked)
+            near = sims.max(1)[:, None] - sims <= margin * apart[home]
+            near[ids % every != 0] = False
+            near[np.arange(len(home)), home] = True
+            row, cell = np.nonzero(near)
             many = parts[cell]
             row, cell = np.repeat(row, many), np.repeat(cell, many)
             part = np.arange(len(row)) - np.repeat(np.cumsum(many) - many, many)
             mine = (ids.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)).astype(np.int64) % parts[home]
             is_home = (cell == home[row]) & (part == mine[row])
+            query = ids[row] % every == 0
+            used = is_home | query
+            row, cell, part, is_home, query = row[used], cell[used], part[used], is_home[used], query[used]
             packed = pa.FixedSizeBinaryArray.from_buffers(pa.binary(4 * dim), len(vectors), [None, pa.py_buffer(np.ascontiguousarray(vectors))])
             yield pa.RecordBatch.from_arrays(
-                [pa.array(first[cell] + part), pa.array(is_home), pa.array(ids[row]), packed.take(pa.array(row)).cast(pa.binary())], names=["shard", "home", "vector_id", "vector"]
+                [pa.array(first[cell] + part), pa.array(is_home), pa.array(query), pa.array(ids[row]), packed.take(pa.array(row)).cast(pa.binary())],
+                names=["shard", "home", "asked", "vector_id", "vector"],
             )
 
     return rows.select("vector_id", "embedding").mapInArrow(run, ROUTED)
@@ -94,7 +99,7 @@ def _vectors(column: pa.ChunkedArray, dim: int) -> np.ndarray:
 def _search_shard(dim: int, k: int, m: int, ef: int, ef_search: int, least: float):
     def run(table: pa.Table) -> pa.Table:
         ids = table.column("vector_id").to_numpy()
-        home = table.column("home").to_numpy()
+        home, asked = (table.column(c).to_numpy() for c in ("home", "asked"))
         vectors = _unit(_vectors(table.column("vector"), dim))
         points, first = np.unique(ids[home], return_index=True)
         index = np.flatnonzero(home)[first]
@@ -106,7 +111,8 @@ def _search_shard(dim: int, k: int, m: int, ef: int, ef_search: int, least: floa
             graph = build(exact.astype(np.float32), m, ef)
             guests, where = np.unique(ids[~home], return_index=True)
             where = np.flatnonzero(~home)[where]
-            for who, vec, own in ((points, exact, np.arange(len(points))), (guests, vectors[where], None)):
+            own = np.flatnonzero(asked[index])
+            for who, vec, own in ((points[own], exact[own], own), (guests, vectors[where], None)):
                 if not len(who):
                     continue
                 near, _ = search(graph, vec.astype(np.float32), k + 6, ef_search, own)
@@ -132,7 +138,7 @@ def _usable(embedding: Column, dim: int) -> Column:
 
 
 def most_similar(
-    df: DataFrame, key: str, vector: str, k: int = 5, dim: int = 64, least: float = -1.0, margin: float = 0.25, shard: int = 16_000, max_cells: int = 4096, sample: int = 65_536, m: int = 16, ef: int = 32, ef_search: int = 48
+    df: DataFrame, key: str, vector: str, k: int = 5, dim: int = 64, least: float = -1.0, margin: float = 0.25, every: int = 1, shard: int = 16_000, max_cells: int = 4096, sample: int = 65_536, m: int = 16, ef: int = 32, ef_search: int = 48
 ) -> DataFrame:
     """``vector_id, neighbour_id, cosine, rank``: the ``k`` most similar other vectors of every vector, equal cosines by smaller id.
 
@@ -141,6 +147,8 @@ def most_similar(
     shards of its own cell and of all cells it lies close to (``margin``), and the results are merged. ``least`` drops less similar
     pairs before they are shuffled, which loses none above it. A smaller ``margin`` than the default is enough for high ``least``.
 
+    Every vector is indexed; ``every`` restricts the vectors that neighbours are asked for to ids divisible by it.
+
     Of vectors that are equal in all entries, any number of them, the ``k + 1`` smallest ids are indexed; the others take these for their neighbours.
 
     A vector counts if it has ``dim`` finite entries, not all zero; others, null vectors and null ids give no row. Repeated rows of an id count once.
@@ -163,11 +171,11 @@ def most_similar(
         placed = hashed.join(crowds, "h", "left")
         first = placed.where("ids is not null and vector_id = ids[0]").where(_usable(F.col("embedding"), dim)).select("h", F.col("embedding").alias("same")).dropDuplicates(["h"])
         beyond = F.col("ids").isNotNull() & (F.col("vector_id") > F.col("ids")[k])
-        held = placed.where(beyond).join(first, "h").where("embedding = same")
+        held = placed.where(beyond & (F.col("vector_id") % every == 0)).join(first, "h").where("embedding = same")
         spare = held.select("vector_id", F.explode(F.slice("ids", 1, k)).alias("neighbour_id")).distinct().withColumn("cosine", F.lit(1.0))
         rows = placed.where(~beyond).select("vector_id", "embedding")
 
-    routed = _route(rows, dim, centres, parts, margin).repartition(2 * int(parts.sum()), "shard")
+    routed = _route(rows, dim, centres, parts, margin, every).repartition(2 * int(parts.sum()), "shard")
     found = routed.groupBy("shard").applyInArrow(_search_shard(dim, k, m, ef, ef_search, least), FOUND)
     if spare is not None:
         found = found.unionByName(spare)

@@ -18,7 +18,12 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
 
 def p1_recall(spark: SparkSession, d: str) -> DataFrame:
     chunks = table(spark, d, "chunks")
-    return neighbours.recall(chunks, "vector_id", "embedding", neighbours.most_similar(chunks, "vector_id", "embedding"))
+    return neighbours.recall(chunks, "vector_id", "embedding", neighbours.most_similar(chunks, "vector_id", "embedding", every=100))
+
+
+def p1_neighbours(spark: SparkSession, d: str) -> DataFrame:
+    """The five nearest of every vector whose id is divisible by 100, among all."""
+    return neighbours.most_similar(table(spark, d, "chunks"), "vector_id", "embedding", every=100)
 
 
 def _paper_records(spark: SparkSession, d: str) -> DataFrame:
@@ -99,7 +104,7 @@ def p8_rates(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p1_recall, p2_found, p2_collapsed, p4_found, p4_pieces, p5_found, p6_containers, p6_fill, p7_mix, p7_shares, p8_found, p8_scores, p8_rates)}
+    return {f.__name__: f for f in (p1_found, p1_recall, p1_neighbours, p2_found, p2_collapsed, p4_found, p4_pieces, p5_found, p6_containers, p6_fill, p7_mix, p7_shares, p8_found, p8_scores, p8_rates)}
 
 
 P5_SQL = """

@@ -83,5 +83,7 @@ def test_dirty_vectors_and_empty_table(spark):
 
 def test_recall_is_measured_against_brute_force(spark):
     df = frame(spark, planted())
-    row = recall(df, "vid", "emb", most_similar(df, "vid", "emb", shard=400), block=500).first()
+    found = most_similar(df, "vid", "emb", every=100, shard=400)
+    assert {r["vector_id"] % 100 for r in found.select("vector_id").collect()} == {0}
+    row = recall(df, "vid", "emb", found, block=500).first()
     assert row["queries"] == 15 and row["expected"] == 75 and row["recall"] >= 0.9

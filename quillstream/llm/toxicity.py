@@ -22,6 +22,7 @@ LOOKS = str.maketrans("аеорсухіјѕԁһꞵοαεικντρυω", "aeopcy
 START, END, UNKNOWN, NUMBER, MASKED, MIXED = range(6)
 SPECIAL = ["<s>", "</s>", "<unknown>", "<number>", "<masked>", "<mixed>", "<quote>"]
 FOLDS = 5
+WINDOW = 12
 
 _QUOTED = re.compile(r'"[^"\n]{1,600}"|“[^”\n]{1,600}”|„[^“”\n]{1,600}[“”]|«[^»\n]{1,600}»|‘[^’\n]{1,600}’|(?<!\w)\'[^\'\n]{3,600}\'(?!\w)')
 _SPACED = re.compile(r"(?<!\w)(?:[^\W\d_][ .·_*-]){3,}[^\W\d_](?!\w)")
@@ -44,8 +45,10 @@ def sentences(text: str | None) -> list[list[str]]:
     found = []
     for part in _SENTENCE.split(text):
         words = _WORD.findall(part)
-        if len(words) > 1:
+        if 1 < len(words) <= 40:
             found.append(words)
+        elif words[1:]:  # no sentence: stretches of 20 words
+            found += [words[k : k + 20] for k in range(0, len(words) - 1, 20)]
     return found
 
 
@@ -110,7 +113,10 @@ class Classifier:
     threshold: float = 0.0
 
     def sentence_scores(self, encoded: list[list[int]]) -> np.ndarray:
-        """Difference of the log-likelihoods per word, with two words more in the length so that the shortest sentences don't swing widest."""
+        """Difference of the log-likelihoods per word, with two words more in the length so that the shortest sentences don't swing widest.
+
+        In a sentence of more words than a window has, the worst window counts if it is worse: two sentences may stand there without a stop between them.
+        """
         if not encoded:
             return np.zeros(0)
         size = np.array([len(e) - 2 for e in encoded])
@@ -123,7 +129,37 @@ class Classifier:
         gain = self.toxic.log_prob(a, b, c) - self.ordinary.log_prob(a, b, c)
         new = (c == UNKNOWN) | (c == MIXED)  # a word no class knows is no sign of the smaller class
         gain[new] = np.minimum(gain[new], 0)
-        return np.bincount(np.repeat(np.arange(len(size)), size), weights=gain, minlength=len(size)) / (size + 2)
+        owner = np.repeat(np.arange(len(size)), size)
+        score = np.bincount(owner, weights=gain, minlength=len(size)) / (size + 2)
+        if len(gain) > WINDOW:
+            total = np.concatenate([[0.0], np.cumsum(gain)])
+            inside = (owner[: len(owner) - WINDOW + 1] == owner[WINDOW - 1 :]) & (size[owner[: len(owner) - WINDOW + 1]] > WINDOW + 4)
+            at = np.flatnonzero(inside)
+            np.maximum.at(score, owner[at], (total[at + WINDOW] - total[at]) / (WINDOW + 2))
+        return score
+
+
+@dataclass
+class Contrast:
+    """How much more frequent each trigram is in toxic than in ordinary documents, to sort sentences before there are models.
+
+    A few wrongly labelled documents are enough to teach a model of ordinary text how an insult goes on once it has begun; against
+    the many rightly labelled ones they hardly change how frequent it is.
+    """
+
+    vocabulary: Vocabulary
+    keys: np.ndarray
+    gain: np.ndarray
+
+    def sentence_scores(self, encoded: list[list[int]]) -> np.ndarray:
+        """Mean over the words of the logarithm of the ratio, 0 for trigrams seen nowhere."""
+        if not encoded:
+            return np.zeros(0)
+        size = len(self.vocabulary.number)
+        flat = np.array([(x * size + y) * size + z for e in encoded for x, y, z in zip(e, e[1:], e[2:])], np.int64)
+        owner = np.repeat(np.arange(len(encoded)), [len(e) - 2 for e in encoded])
+        total = np.bincount(owner, weights=kneser_ney._get(self.keys, self.gain, flat), minlength=len(encoded))
+        return total / np.array([len(e) - 2 for e in encoded])
 
 
 def label_class(label: Column) -> Column:
@@ -187,7 +223,20 @@ def _models(counts: dict, vocabulary: Vocabulary, without: int | None) -> Classi
     return Classifier(vocabulary, *(kneser_ney.fit(size, *parts[k], base) for k in (True, False)))
 
 
-def _cross_scores(split: DataFrame, models: list[Classifier]) -> DataFrame:
+def _contrast(counts: dict, vocabulary: Vocabulary, without: int | None, strength: float = 2.0) -> Contrast:
+    """Ratios shrunk towards 1 as if each trigram had been seen ``strength`` times more, in proportion to the classes."""
+    parts = []
+    for kind in (True, False):
+        some = [v for (k, f), v in counts.items() if k == kind and f != without]
+        parts.append((np.concatenate([s[0] for s in some]), np.concatenate([s[1] for s in some]).astype(float)))
+    keys, at = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
+    n = [np.bincount(at[: len(parts[0][0])], weights=parts[0][1], minlength=len(keys)), np.bincount(at[len(parts[0][0]) :], weights=parts[1][1], minlength=len(keys))]
+    share = np.clip(n[0].sum() / max(n[0].sum() + n[1].sum(), 1), 1e-6, 1 - 1e-6)
+    gain = np.log((n[0] + strength * share) / (n[1] + strength * (1 - share)) * (1 - share) / share)
+    return Contrast(vocabulary, keys, gain)
+
+
+def _cross_scores(split: DataFrame, models: list[Classifier] | list[Contrast]) -> DataFrame:
     """The score of each sentence under the models that haven't seen its fold."""
     held = split.sparkSession.sparkContext.broadcast(models)
     types = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in split.drop("kind", "score").schema)
@@ -207,21 +256,21 @@ def _cross_scores(split: DataFrame, models: list[Classifier]) -> DataFrame:
 
 
 def best_threshold(score: np.ndarray, toxic: np.ndarray, weight: np.ndarray) -> float:
-    """The score that parts the classes with the best F1, in the middle of the gap it lies in."""
+    """The middle of the scores that part the classes with an F1 of nearly the best; between two classes far apart wrong labels alone would decide on the exact best."""
     order = np.argsort(-score)
     s, t, w = score[order], toxic[order], weight[order]
     hit, all_ = np.cumsum(w * t), np.cumsum(w)
     f1 = 2 * hit / (all_ + (w * t).sum())
     f1[:-1][s[:-1] == s[1:]] = -1
-    k = int(np.argmax(f1))
-    return float((s[k] + s[min(k + 1, len(s) - 1)]) / 2)
+    good = np.flatnonzero(f1 >= 0.985 * f1.max())
+    return float((s[good[0]] + s[min(good[-1] + 1, len(s) - 1)]) / 2)
 
 
-def train(documents: DataFrame, labels: DataFrame, most: int = 4000, rounds: int = 3) -> Classifier | None:
+def train(documents: DataFrame, labels: DataFrame, most: int = 4000, rounds: int = 2) -> Classifier | None:
     """Fit on at most about ``most`` labelled documents of each class; None if a class is missing.
 
-    A toxic document holds mostly ordinary sentences, and some labels are wrong. So after a first fit on whole documents, sentences are classed anew by models that haven't seen
-    them: of toxic documents only sentences that score as toxic, and at least half as much as the worst one, count as such, and sentences of ordinary documents that clearly do are left out. The
+    A toxic document holds mostly ordinary sentences, and some labels are wrong. So sentences are classed anew, first by how frequent their trigrams are in the two kinds of documents, then by the models, always
+    by what has not seen them: of toxic documents only sentences that score as toxic count as such (at first if they do so at least half as much as the worst one), of ordinary ones those that do not clearly score as toxic, and the rest is left out. The
     threshold is that of the best F1 over the labelled documents, again scored by models that haven't seen them.
     """
     split = cut(_split(_labelled(documents, labels, most)))
@@ -231,13 +280,14 @@ def train(documents: DataFrame, labels: DataFrame, most: int = 4000, rounds: int
     if present != {True, False}:
         return None
     vocabulary = Vocabulary.of([w for w in words if w.isalpha() or w in "!?"])
+    top = F.max("score").over(Window.partitionBy("doc_id"))
     marked = split.withColumn("kind", F.col("toxic"))
-    for least in (0.5, 1.0, 1.0)[-rounds:]:
+    for step in range(rounds + 1):
         counts = _counts(marked, vocabulary)
-        scored = cut(_cross_scores(marked, [_models(counts, vocabulary, f) for f in range(FOLDS)]))
-        top = F.max("score").over(Window.partitionBy("doc_id"))
-        kind = F.when(F.col("toxic"), (F.col("score") > least) & (F.col("score") >= top / 2)).when(F.col("score") < 1.5, False)
-        marked = scored.withColumn("kind", kind)
+        judges = [(_models if step else _contrast)(counts, vocabulary, f) for f in range(FOLDS)]
+        worst = F.col("score") > (1.5 if step else F.greatest(F.lit(1), top / 2))
+        kind = F.when(F.col("toxic") & worst, True).when(~F.col("toxic") & (F.col("score") < 2), False)
+        marked = cut(_cross_scores(marked, judges).withColumn("kind", kind))
     counts = _counts(marked, vocabulary)
     last = _cross_scores(marked, [_models(counts, vocabulary, f) for f in range(FOLDS)])
     per = last.groupBy("doc_id").agg(F.max("score").alias("score"), F.first("toxic").alias("toxic"), F.first("weight").alias("weight")).toArrow()

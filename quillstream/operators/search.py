@@ -123,3 +123,29 @@ def hybrid(queries: DataFrame, chunks: DataFrame, qid: str, query: str, doc: str
     dense = nearest(relevance_vectors(sparse, chunks, qid, doc, vec, dim=dim), chunks, qid, "query_vector", doc, vec, wide, dim)
     ranked = fuse(dense, sparse, qid, doc, k=fused).join(chunks.select(doc, group), doc)
     return capped(ranked, qid, group, cap, k).select(qid, doc, group, "score", "rank")
+
+
+def term_coverage(queries: DataFrame, found: DataFrame, docs: DataFrame, qid: str, query: str, doc: str, text: str, first: int = 5) -> DataFrame:
+    """``qid, terms, met``: distinct content words of each query, and how many stand in any of its first results; 0 for a query without results."""
+    terms = queries.select(qid, F.explode(search_terms(F.col(query))).alias("term")).distinct()
+    seen = found.where(F.col("rank") <= first).join(docs.select(doc, text), doc).select(qid, F.explode(F.array_distinct(words(F.col(text)))).alias("term")).distinct()
+    met = terms.join(seen.withColumn("met", F.lit(1)), [qid, "term"], "left")
+    return met.groupBy(qid).agg(F.count("*").alias("terms"), F.coalesce(F.sum("met"), F.lit(0)).alias("met"))
+
+
+def corrective(queries: DataFrame, docs: DataFrame, qid: str, query: str, doc: str, text: str, title: str, enough: float = 0.8, most: int = 12, k: int = 10) -> DataFrame:
+    """``qid, doc, round, rank``: evidence per query after at most one correction.
+
+    A query whose first results hold less than the share ``enough`` of its content words is asked again together with the title of its best result. The second
+    round's results come before the first round's others, each document once, at most ``most``. All queries go through each round
+    together, as rows. A query without any result keeps none.
+    """
+    docs = cut(docs.select(doc, text, title))
+    first = cut(bm25(queries, docs, qid, query, doc, text, k))
+    weak = term_coverage(queries, first, docs, qid, query, doc, text).where(F.col("met") < enough * F.col("terms")).select(qid)
+    best_title = first.where("rank = 1").join(docs.select(doc, title), doc).select(qid, F.col(title).alias("__hint"))
+    again = queries.join(weak, qid).join(best_title, qid).select(qid, F.concat_ws(" ", query, "__hint").alias(query))
+    second = bm25(again, docs, qid, query, doc, text, k)
+    both = first.select(qid, doc, F.lit(1).alias("round"), "rank").unionByName(second.select(qid, doc, F.lit(2).alias("round"), "rank"))
+    once = best(both, [qid, doc], [F.desc("round"), F.asc("rank")], 1, "__one").drop("__one")
+    return best(once.withColumnRenamed("rank", "__rank"), [qid], [F.desc("round"), F.asc("__rank"), F.asc(doc)], most).drop("__rank")

@@ -78,6 +78,18 @@ BM25 = f"""{CHUNKS}, asked AS (
 )"""
 
 
+def _bm25_round(terms: str, out: str) -> str:
+    """The ten best of each query of a term list, over the tables of BM25."""
+    return f"""{out} AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY score DESC, vector_id) AS rank FROM (
+      SELECT question_id, vector_id, round(sum(greatest(ln((n - df + 0.5) / (df + 0.5)), 1e-6) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len / mean))), 6) AS score
+      FROM {terms} JOIN df USING (term) JOIN tf USING (term), stats GROUP BY question_id, vector_id)) WHERE rank <= 10)"""
+
+
+def _terms(source: str, query: str, out: str) -> str:
+    return f"""{out} AS (SELECT DISTINCT question_id, unnest(CASE WHEN len(content) > 0 THEN content ELSE ws END) AS term FROM (
+      SELECT question_id, ws, list_filter(ws, lambda w: w NOT IN ({STOP})) AS content FROM (SELECT question_id, regexp_extract_all(lower({query}), '{WORD}') AS ws FROM {source})))"""
+
+
 def _list(score: str, name: str) -> str:
     return f"""{name} AS (SELECT * FROM (
   SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY s DESC, chunk_id) AS rank FROM (
@@ -222,6 +234,16 @@ def oracle_sql() -> dict[str, str]:
               SELECT * FROM (SELECT f.*, d.paper_id, row_number() OVER (PARTITION BY question_id, paper_id ORDER BY f.rank) AS r FROM fused f JOIN docs d USING (vector_id)) WHERE r <= 2
             ), last AS (SELECT question_id, vector_id, paper_id, score, row_number() OVER (PARTITION BY question_id ORDER BY rank) AS rank FROM few)
             SELECT * FROM last WHERE rank <= 10""",
+        "corrected_search": f"""WITH {BM25}, {_bm25_round('terms', 'first_')}, seen AS (
+              SELECT DISTINCT question_id, unnest(regexp_extract_all(lower(text), '{WORD}')) AS term FROM first_ JOIN docs USING (vector_id) WHERE rank <= 5
+            ), weak AS (
+              SELECT question_id FROM (SELECT question_id, count(*) AS terms, count(s.term) AS met FROM terms t LEFT JOIN seen s USING (question_id, term) GROUP BY question_id) WHERE met < 0.8 * terms
+            ), again AS (SELECT question_id, concat_ws(' ', question, title) AS query FROM questions JOIN weak USING (question_id) JOIN first_ f USING (question_id) JOIN docs USING (vector_id) WHERE f.rank = 1),
+            {_terms('again', 'query', 'more')}, {_bm25_round('more', 'second_')},
+            both_ AS (SELECT question_id, vector_id, 1 AS round, rank FROM first_ UNION ALL SELECT question_id, vector_id, 2, rank FROM second_),
+            once AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY question_id, vector_id ORDER BY round DESC, rank) AS r FROM both_) WHERE r = 1),
+            last AS (SELECT question_id, vector_id, CAST(round AS BIGINT) AS round, row_number() OVER (PARTITION BY question_id ORDER BY round DESC, rank, vector_id) AS rank FROM once)
+            SELECT * FROM last WHERE rank <= 12""",
         "fused_candidates": f"WITH {LISTS}, {_fuse('chunk_id', 30)} SELECT question_id, chunk_id, score, dense_rank, sparse_rank, rank FROM fused",
         "capped_candidates": f"""WITH {LISTS}, {_fuse('chunk_id', 30)}, papers AS (SELECT chunk_id, min(paper_id) AS paper_id FROM candidates GROUP BY chunk_id),
             few AS (SELECT * FROM (SELECT f.*, p.paper_id, row_number() OVER (PARTITION BY question_id, paper_id ORDER BY rank) AS r FROM fused f JOIN papers p USING (chunk_id)) WHERE r <= 2),
@@ -232,6 +254,14 @@ def oracle_sql() -> dict[str, str]:
         "rank_metrics": f"WITH {JUDGED} SELECT * FROM measured",
         "evaluation_report": f"""WITH {JUDGED} SELECT category, count(*) AS questions, count(recall) AS judged, round(avg(precision), 5) AS precision, round(avg(recall), 5) AS recall, round(avg(reciprocal_rank), 5) AS reciprocal_rank,
             round(avg(ndcg), 5) AS ndcg, round(avg(CASE WHEN recall > 0 THEN 1.0 ELSE 0.0 END), 5) AS success FROM measured GROUP BY category""",
+        "evidence_routes": f"""WITH {CHUNKS}, {LISTS}, {_fuse('chunk_id', 10)}, {_terms('questions', 'question', 'terms')}, texts AS (SELECT chunk_id, regexp_extract_all(lower(min(text)), '{WORD}') AS ws FROM docs GROUP BY chunk_id),
+            scored AS (SELECT question_id, chunk_id, avg(CASE WHEN list_contains(ws, term) THEN 1.0 ELSE 0.0 END) AS s FROM fused JOIN texts USING (chunk_id) JOIN terms USING (question_id) GROUP BY ALL)
+            SELECT question_id, CASE WHEN max(s) >= 0.8 THEN 'correct' WHEN max(s) >= 0.4 THEN 'ambiguous' ELSE 'incorrect' END AS route, count(*) AS documents, count(*) FILTER (s >= 0.4) AS useful FROM scored GROUP BY question_id""",
+        "evidence_contexts": f"""WITH {CHUNKS}, {LISTS}, {_fuse('chunk_id', 10)}, texts AS (SELECT chunk_id, min(title) AS title, min(section_heading) AS heading, trim(min(text), ' ') AS text FROM docs GROUP BY chunk_id),
+            shown AS (SELECT question_id, rank, concat_ws(chr(10), 'Document ' || rank, CASE WHEN trim(title, ' ') <> '' THEN 'Title: ' || trim(title, ' ') END, CASE WHEN trim(heading, ' ') <> '' THEN 'Section: ' || trim(heading, ' ') END,
+              CASE WHEN length(text) > 400 THEN rtrim(left(text, 400), ' ') || '...' ELSE text END) AS s FROM fused JOIN texts USING (chunk_id)),
+            joined AS (SELECT question_id, string_agg(s, chr(10) || '---' || chr(10) ORDER BY rank) AS c FROM shown GROUP BY question_id)
+            SELECT question_id, md5(c) AS context, length(c) AS characters FROM joined""",
         "keyword_coverage": f"""WITH {CHUNKS}, {LISTS}, {_fuse('chunk_id', 10)}, asked AS (
               SELECT DISTINCT question_id, unnest(list_filter(regexp_extract_all(lower(reference_answer), '{WORD}'), lambda w: length(w) >= 9)) AS word FROM questions
             ), texts AS (SELECT chunk_id, min(text) AS text FROM docs GROUP BY chunk_id), top_ AS (SELECT question_id, text FROM fused JOIN texts USING (chunk_id)),

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillstream.functions import ids, nested, text
-from quillstream.operators import chunking, dedup, joins, search, selection
+from quillstream.operators import chunking, dedup, grading, joins, search, selection
 from quillstream.operators.works import work_children
 from quillstream.plans.oracle import oracle_sql
 from quillstream.plans.settings import CUTOFF, FAILS, LEXICON, WINDOW
@@ -279,6 +279,11 @@ def hybrid_search(spark: SparkSession, d: str) -> DataFrame:
     return search.hybrid(table(spark, d, "questions"), chunks, "question_id", "question", "vector_id", "paper_id", "text", "embedding").withColumn("rank", F.col("rank").cast("bigint"))
 
 
+def corrected_search(spark: SparkSession, d: str) -> DataFrame:
+    found = search.corrective(table(spark, d, "questions"), _chunks(spark, d, "text", "title"), "question_id", "question", "vector_id", "text", "title")
+    return found.select("question_id", "vector_id", F.col("round").cast("bigint").alias("round"), F.col("rank").cast("bigint").alias("rank"))
+
+
 def _lists(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     """Dense and sparse lists of each question from the candidates."""
     rows = table(spark, d, "candidates")
@@ -339,6 +344,23 @@ def evaluation_report(spark: SparkSession, d: str) -> DataFrame:
     return rows.groupBy("category").agg(F.count("*").alias("questions"), F.count("recall").alias("judged"), *means, F.round(F.avg(hit), 5).alias("success"))
 
 
+def _evidence(spark: SparkSession, d: str) -> DataFrame:
+    """The first ten fused chunks of each question with their texts."""
+    texts = _chunks(spark, d, "chunk_id", "title", "section_heading", "text").groupBy("chunk_id").agg(*(F.min(c).alias(c) for c in ("title", "section_heading", "text")))
+    return search.fuse(*_lists(spark, d), "question_id", "chunk_id", k=10).join(texts, "chunk_id")
+
+
+def evidence_routes(spark: SparkSession, d: str) -> DataFrame:
+    asked = table(spark, d, "questions").select("question_id", "question")
+    scored = _evidence(spark, d).join(asked, "question_id").withColumn("grade", grading.grade(grading.overlap_score(F.col("question"), F.col("text"))))
+    return grading.routes(scored, "question_id")
+
+
+def evidence_contexts(spark: SparkSession, d: str) -> DataFrame:
+    shown = grading.contexts(_evidence(spark, d), "question_id", "rank", "title", "section_heading", "text", 400)
+    return shown.select("question_id", F.md5("context").alias("context"), F.length("context").cast("bigint").alias("characters"))
+
+
 def keyword_coverage(spark: SparkSession, d: str) -> DataFrame:
     """Share of the long words of each reference answer that stand in the text of any of the first ten fused chunks."""
     asked = table(spark, d, "questions").select("question_id", F.explode(F.array_distinct(F.filter(text.words(F.col("reference_answer")), lambda w: F.length(w) >= 9))).alias("word"))
@@ -350,7 +372,7 @@ def keyword_coverage(spark: SparkSession, d: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = (
-        hybrid_search, bm25_topk, nearest_vectors, fused_candidates, capped_candidates, merged_evidence, rank_metrics, evaluation_report, keyword_coverage,
+        hybrid_search, bm25_topk, corrected_search, nearest_vectors, fused_candidates, capped_candidates, merged_evidence, rank_metrics, evaluation_report, keyword_coverage, evidence_routes, evidence_contexts,
         p3_found, p3_locations, token_counts, last_tokens, work_identifiers, title_keys, abstracts, paper_texts, encoder_texts, open_pdf_urls, url_hosts, date_windows,
         section_profile, window_chunks, sentence_chunks, chunk_report, chunk_profile, parsed_xml, discovery_dedup, latest_candidates, greedy_dedup, parsed_union, numbered_chunks,
         paper_dates, dated_chunks, coverage, repaired_ids, screening, remaining_chunks, relevance_scores, failure_counts, score_histogram, discovery_report, audit_counts, index_terms,

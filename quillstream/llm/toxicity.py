@@ -26,9 +26,10 @@ WINDOW = 12
 
 _QUOTED = re.compile(r'"[^"\n]{1,600}"|“[^”\n]{1,600}”|„[^“”\n]{1,600}[“”]|«[^»\n]{1,600}»|‘[^’\n]{1,600}’|(?<!\w)\'[^\'\n]{3,600}\'(?!\w)')
 _SPACED = re.compile(r"(?<!\w)(?:[^\W\d_][ .·_*-]){3,}[^\W\d_](?!\w)")
-_SENTENCE = re.compile(r"[.!?…]+\s+|\s*[\n\r]+\s*")
+_SENTENCE = re.compile(r"[.!?…]+\s+|\n")
 _WORD = re.compile(r"<quote>|[^\W_](?:[\w'’*@$!]*[^\W_])?|[!?]")
-_WRAPPED, _HYPHEN = re.compile(r"\r?\n(?=[a-zà-ÿ])"), re.compile(r"(?<=[^\W\d_])-\r?\n(?=[a-zà-ÿ])")
+_WRAPPED, _HYPHEN = re.compile(r"\n(?=[a-zà-ÿ])"), re.compile(r"-\n(?=[a-zà-ÿ])")
+_UNSEEN = re.compile("[\u00ad\u200b-\u200f\u202a-\u202e\u2060-\u206f\ufeff]")
 _LATIN, _GAP = re.compile("[a-z]"), re.compile(r"[ .·_*-]")
 
 
@@ -38,9 +39,10 @@ def sentences(text: str | None) -> list[list[str]]:
         return []
     text = unicodedata.normalize("NFKC", text)
     if not text.isascii():
-        text = "".join(c for c in text if unicodedata.category(c) != "Cf")
+        text = _UNSEEN.sub("", text)
+    text = text.replace("\r\n", "\n").replace("\r", "\n")
     if "\n" in text:
-        text = _WRAPPED.sub(" ", _HYPHEN.sub("", text))
+        text = _WRAPPED.sub(" ", _HYPHEN.sub("", text) if "-\n" in text else text)
     text = _SPACED.sub(lambda m: _GAP.sub("", m[0]), _QUOTED.sub(" <quote> ", text)).lower()
     found = []
     for part in _SENTENCE.split(text):

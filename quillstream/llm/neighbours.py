@@ -13,6 +13,7 @@ from quillstream.llm.hnsw import build, search
 from quillstream.runtime import cut
 
 ROUTED = "shard long, home boolean, asked boolean, vector_id long, vector binary"
+FEW = 20_000
 FOUND = "vector_id long, neighbour_id long, cosine double"
 
 
@@ -167,7 +168,10 @@ def most_similar(
     ranked = hashed.groupBy("h", "vector_id").count().withColumn("r", F.row_number().over(Window.partitionBy("h").orderBy("vector_id"))).where(F.col("r") <= k + 2)
     crowds = cut(ranked.groupBy("h").agg(F.sort_array(F.collect_list("vector_id")).alias("ids")).where(F.size("ids") > k + 1).select("h", F.slice("ids", 1, k + 1).alias("ids")))
     spare = None
-    if not crowds.isEmpty():
+    number = crowds.count()
+    if number:
+        if number <= FEW:  # counted, so the broadcast is bounded; more are joined by shuffling
+            crowds = F.broadcast(crowds)
         placed = hashed.join(crowds, "h", "left")
         first = placed.where("ids is not null and vector_id = ids[0]").where(_usable(F.col("embedding"), dim)).select("h", F.col("embedding").alias("same")).dropDuplicates(["h"])
         beyond = F.col("ids").isNotNull() & (F.col("vector_id") > F.col("ids")[k])

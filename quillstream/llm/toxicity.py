@@ -180,7 +180,7 @@ def _labelled(documents: DataFrame, labels: DataFrame, most: int) -> DataFrame:
     spot = F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000))
     rate = F.when(F.col("toxic"), share[True]).otherwise(share[False])
     chosen = classed.where(spot < rate * 1_000_000).withColumn("weight", 1 / rate)
-    return documents.select("doc_id", "text").where("text is not null").join(chosen, "doc_id")
+    return documents.select("doc_id", "text").where("text is not null").join(F.broadcast(chosen), "doc_id")  # about 2 x most rows
 
 
 def _split(rows: DataFrame) -> DataFrame:

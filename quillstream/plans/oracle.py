@@ -58,6 +58,7 @@ def _scored() -> str:
 )"""
 
 
+LOCATION = ["is_oa", "landing_page_url", "pdf_url", "license", "version", "source.id", "source.display_name", "source.type", "source.host.name"]
 CHUNKS = "docs AS (SELECT DISTINCT ON (vector_id) * FROM chunks)"
 STOP = ", ".join(f"'{w}'" for w in STOPWORDS)
 BM25 = f"""{CHUNKS}, asked AS (
@@ -124,6 +125,21 @@ right_ AS (SELECT question_id, count(*) AS n FROM cited JOIN gold USING (questio
   FROM sizes LEFT JOIN hits h USING (question_id) LEFT JOIN seen s USING (question_id) LEFT JOIN right_ r USING (question_id)
 )"""
 
+SOME = r"""regexp_matches(CAST({0} AS VARCHAR), '[:\[]\s*("|true|false|-?[0-9])|null\s*,\s*"[^"]*"\s*[,\]]')"""
+NESTED = f"""src AS (
+  SELECT record_id, to_json(locations) AS l, to_json(best_oa_location) AS b, to_json(open_access) AS o, to_json(abstract_inverted_index) AS a FROM works
+  UNION ALL SELECT record_id, json_extract(payload, '$.locations'), json_extract(payload, '$.best_oa_location'), json_extract(payload, '$.open_access'), json_extract(payload, '$.abstract_inverted_index')
+  FROM raw_lines WHERE feed = 'works' AND json_valid(payload)
+), places AS (
+  SELECT record_id, unnest(range(0, len(ls))) AS pos, unnest(ls) AS item FROM (
+    SELECT record_id, CASE json_type(l) WHEN 'ARRAY' THEN json_extract(l, '$[*]') WHEN 'OBJECT' THEN [l] END AS ls FROM src)
+), inner_ AS (
+  SELECT record_id, 'locations_issn' AS child, pos, unnest(range(0, len(v))) AS sub_pos, unnest(v) AS x FROM (SELECT record_id, pos, json_extract(item, '$.source.issn[*]') AS v FROM places)
+  UNION ALL SELECT record_id, 'locations_lineage', pos, unnest(range(0, len(v))), unnest(v) FROM (SELECT record_id, pos, json_extract(item, '$.source.host.lineage[*]') AS v FROM places)
+), words AS (
+  SELECT DISTINCT record_id, TRY_CAST(CAST(p AS VARCHAR) AS INT) AS pos FROM (SELECT record_id, unnest(json_extract(v, '$[*]')) AS p FROM (SELECT record_id, unnest(json_extract(a, '$.*')) AS v FROM src))
+)"""
+
 SAFE = "regexp_matches(url, '^https?://') AND NOT regexp_matches(host, '^(localhost|.*\\.local|127\\..*|10\\..*|192\\.168\\..*|169\\.254\\..*|172\\.(1[6-9]|2\\d|3[01])\\..*|0\\.0\\.0\\.0|\\[.*)$')"
 FULL_DATES = f"""dates AS (
   SELECT work_id, arg_max(publication_date, record_id) AS publication_date FROM (SELECT {work_id('id')} AS work_id, publication_date, record_id FROM works)
@@ -135,6 +151,11 @@ def oracle_sql() -> dict[str, str]:
     begin, end, days = WINDOW
     vec = "list_transform(embedding, lambda x: CAST(x AS DOUBLE))"
     return {
+        "p3_found": f"""WITH {NESTED} SELECT record_id, 'locations' AS child, CAST(pos AS INT) AS pos, -1 AS sub_pos FROM places WHERE {SOME.format('item')}
+            UNION ALL SELECT record_id, child, CAST(pos AS INT), CAST(sub_pos AS INT) FROM inner_ WHERE json_type(x) <> 'NULL'
+            UNION ALL SELECT record_id, 'best_oa_location', 0, -1 FROM src WHERE {SOME.format('b')} UNION ALL SELECT record_id, 'open_access', 0, -1 FROM src WHERE {SOME.format('o')}
+            UNION ALL SELECT record_id, 'abstract_word', pos, -1 FROM words WHERE pos >= 0""",
+        "p3_locations": f"""WITH {NESTED} SELECT record_id, CAST(pos AS INT) AS pos, {", ".join(f"item ->> '$.{c}' AS {c.replace('.', '_')}" for c in LOCATION)} FROM places WHERE {SOME.format('item')}""",
         "token_counts": f"SELECT doc_id, {counted('text')} AS tokens, length(text) AS characters, md5({squeezed('text')}) AS squeezed FROM documents",
         "last_tokens": f"""SELECT doc_id, md5(CASE WHEN text IS NULL THEN NULL WHEN len(p) = 0 THEN '' ELSE trim(array_to_string(p[greatest(len(p) - 49, 1):], '')) END) AS tail
             FROM (SELECT doc_id, text, regexp_extract_all(text, '(?:{TOKEN})[{SPACE}]*') AS p FROM documents)""",

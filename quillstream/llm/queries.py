@@ -126,5 +126,42 @@ SELECT DISTINCT item_kind, item_id FROM items
 WHERE len(regexp_extract_all(text, '[\p{L}\p{N}_]+|[^\p{L}\p{N}_\s\p{Z}\x{1c}-\x{1f}\x{85}\x{0b}]')) > 300"""
 
 
+def _compatible(c: str) -> str:
+    """NFKC as far as the tables need it: full-width letters, ligatures and composed accents; letters, accents and digits of it in lower case."""
+    wide, plain = ("".join(chr(k + d) for k in range(0x21, 0x7F) if chr(k) != "'") for d in (0xFEE0, 0))
+    out = f"translate(coalesce({c}, ''), '{wide}', '{plain}')"
+    for ligature, letters in (("ﬀ", "ff"), ("ﬁ", "fi"), ("ﬂ", "fl"), ("ﬃ", "ffi"), ("ﬄ", "ffl"), ("ß", "ss")):
+        out = f"replace({out}, '{ligature}', '{letters}')"
+    return f"lower(nfc_normalize({out}))"
+
+
+def _bare(c: str) -> str:
+    return f"regexp_replace({c}, '[^\\p{{L}}\\p{{N}}\\p{{M}}]+', '', 'g')"
+
+
+def _p2_sql(last: str) -> str:
+    paper, doi = _bare(_compatible("paper_id")), f"regexp_replace({_compatible('doi')}, '[\\x{{ad}}\\x{{200b}}\\x{{2060}}\\x{{feff}}]', '', 'g')"
+    return f"""
+WITH r AS (
+  SELECT record_id, paper_id, title, doi FROM parsed_papers
+  UNION ALL SELECT record_id, payload ->> '$.paper_id', payload ->> '$.title', payload ->> '$.doi' FROM raw_lines WHERE feed = 'parsed' AND json_valid(payload)
+), f AS (
+  SELECT record_id, coalesce(nullif(regexp_extract({paper}, '.*(w[0-9].*)', 1), ''), {paper}) AS p, {_bare(_compatible('title'))} AS t,
+    {_bare(f"coalesce(nullif(regexp_extract({doi}, '10\\..*'), ''), {doi})")} AS d FROM r
+), g AS (SELECT record_id, min(record_id) OVER (PARTITION BY p, t, d) AS kept, count(*) OVER (PARTITION BY p, t, d) AS copies FROM f)
+{last}"""
+
+
+P1_SQL = """
+WITH v AS (
+  SELECT DISTINCT ON (vector_id) vector_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM chunks
+  WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = 64 AND len(list_filter(embedding, lambda x: x <> 0)) > 0
+), s AS (SELECT a.vector_id AS a, b.vector_id AS b, round(list_cosine_similarity(a.e, b.e), 12) AS c FROM v a JOIN v b ON a.vector_id <> b.vector_id),
+r AS (SELECT *, row_number() OVER (PARTITION BY a ORDER BY c DESC, b) AS k FROM s)
+SELECT DISTINCT least(a, b) AS vector_id_a, greatest(a, b) AS vector_id_b FROM r WHERE k <= 5 AND c >= 0.9"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"p4_found": P4_SQL.replace("\\\\", "\\"), "p5_found": P5_SQL}
+    pairs = "SELECT kept AS kept_record_id, record_id AS copy_record_id FROM g WHERE kept < record_id"
+    kept = "SELECT kept AS kept_record_id, copies FROM g WHERE kept = record_id"
+    return {"p1_found": P1_SQL, "p2_found": _p2_sql(pairs), "p2_collapsed": _p2_sql(kept), "p4_found": P4_SQL.replace("\\\\", "\\"), "p5_found": P5_SQL}

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import sys
 from collections.abc import Iterator
 
@@ -9,6 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+_BETWEEN = re.compile(r"\S \S")
 DEFAULT = "byte_bpe_50k.tiktoken"
 
 
@@ -28,18 +30,18 @@ def _encoding(path: str | None):
 
 
 def _count(encoding, text: str, step: int = 200_000) -> int:
-    """Tokens of one text; very long ones are counted in stretches cut at line ends or spaces, which the tokenizer never merges a word across."""
-    if len(text) <= step:
-        return len(encoding.encode_ordinary(text))
+    """Tokens of one text; very long ones are counted in stretches cut before a single space between two words, which no token reaches across."""
     total, at = 0, 0
-    while at < len(text):
-        to = at + step
-        if to < len(text):
-            to = max(text.rfind(" ", at, to), text.rfind("\n", at, to))
-            to = to if to > at else at + step
+    while len(text) - at > step:
+        to = text.rfind(" ", at + 1, at + step)
+        while to > 0 and (text[to - 1].isspace() or text[to + 1].isspace()):
+            to = text.rfind(" ", at + 1, to)
+        if to < 0:  # no such place: the stretch grows up to the next one
+            found = _BETWEEN.search(text, at + step)
+            to = found.start() + 1 if found else len(text)
         total += len(encoding.encode_ordinary(text[at:to]))
         at = to
-    return total
+    return total + len(encoding.encode_ordinary(text[at:]))
 
 
 def token_sizes(df: DataFrame, keys: list[str], text: str, path: str | None = None) -> DataFrame:

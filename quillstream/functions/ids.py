@@ -29,6 +29,12 @@ def work_id_anywhere(value: Column) -> Column:
     return F.nullif(F.upper(F.regexp_extract(value, r"(?i)W\d+", 0)), F.lit(""))
 
 
+def pmc_id(value: Column) -> Column:
+    """PMC and digits in upper case, else null."""
+    plain = F.upper(F.trim(value))
+    return F.when(plain.rlike(r"^PMC\d+$"), plain)
+
+
 def plain_doi(value: Column) -> Column:
     """Lower case, without the address or label before it; '' for null."""
     return F.trim(F.regexp_replace(F.lower(F.trim(F.coalesce(value, F.lit("")))), r"^(https?://(dx\.)?doi\.[a-z]+/|doi:)", ""))

@@ -75,3 +75,20 @@ def citation_recall(cited: Column, gold: Column) -> Column:
     """Share of the gold set that is cited; null without gold."""
     want = ranked_ids(gold)
     return F.when(F.size(want) > 0, F.size(F.array_intersect(ranked_ids(cited), want)) / F.size(want))
+
+
+def valid_indexes(values: Column, size: Column) -> Column:
+    """Distinct whole numbers from 0 below ``size``, in order of first sight."""
+    return F.array_distinct(F.filter(values, lambda i: i.isNotNull() & (i >= 0) & (i < size)))
+
+
+def with_citations(answer: Column, sources: Column) -> Column:
+    """The answer with ``[id]`` of every declared source that it does not cite yet put at its end, in order."""
+    missing = F.filter(F.array_distinct(F.coalesce(sources, F.expr("cast(array() as array<string>)"))), lambda s: ~F.contains(answer, F.concat(F.lit("["), s, F.lit("]"))))
+    return F.concat_ws(" ", answer, *[F.nullif(F.array_join(F.transform(missing, lambda s: F.concat(F.lit("["), s, F.lit("]"))), " "), F.lit(""))])
+
+
+def unknown_citations(sources: Column, evidence: Column) -> Column:
+    """Declared sources that are not among the evidence."""
+    none = F.expr("cast(array() as array<string>)")
+    return F.array_except(F.coalesce(sources, none), F.coalesce(evidence, none))

@@ -72,12 +72,22 @@ def search_terms(query: Column) -> Column:
     return F.array_distinct(F.when(F.size(content) > 0, content).otherwise(all_words))
 
 
+def first_label(text: Column, cases: list[tuple[str, str]], default: str) -> Column:
+    """The label of the first part that occurs in the text, whatever case; ``default`` if none does, or for null."""
+    low = F.lower(F.coalesce(text, F.lit("")))
+    out = F.when(low.contains(cases[0][0]), cases[0][1])
+    for part, label in cases[1:]:
+        out = out.when(low.contains(part), label)
+    return out.otherwise(default)
+
+
 def section_type(heading: Column) -> Column:
-    low = F.lower(F.coalesce(heading, F.lit("")))
-    out = F.when(low.contains(SECTION_TYPES[0][0]), SECTION_TYPES[0][1])
-    for part, kind in SECTION_TYPES[1:]:
-        out = out.when(low.contains(part), kind)
-    return out.otherwise("body")
+    return first_label(heading, SECTION_TYPES, "body")
+
+
+def redacted(text: Column, parameter: str = "api_key") -> Column:
+    """The text with the value of an address parameter blotted out."""
+    return F.regexp_replace(text, rf"({parameter}=)[^&\s'\"]+", "$1REDACTED")
 
 
 def has_phrase(text: Column, phrase: Column) -> Column:

@@ -94,3 +94,11 @@ def test_citations(spark):
     df = spark.createDataFrame([(["a", "a", "z"], ["a", "b"]), ([], ["a"]), (None, [])], "cited array<string>, other array<string>")
     got = df.select(nested.citation_validity(F.col("cited"), F.col("other")), nested.citation_recall(F.col("cited"), F.col("other"))).collect()
     assert [tuple(r) for r in got] == [(2 / 3, 0.5), (0.0, 0.0), (0.0, None)]
+
+
+def test_small_helpers(spark):
+    assert [one(spark, v, "string", ids.pmc_id) for v in (" pmc12 ", "PMC", "x", None)] == ["PMC12", None, None, None]
+    assert one(spark, "u?api_key=secret&x=1", "string", text.redacted) == "u?api_key=REDACTED&x=1"
+    df = spark.createDataFrame([([3, 0, -1, 3, None, 9], "See [a].", ["a", "b", "b"], ["b"]), (None, "x", None, None)], "i array<int>, answer string, s array<string>, e array<string>")
+    got = df.select(nested.valid_indexes(F.col("i"), F.lit(5)), nested.with_citations(F.col("answer"), F.col("s")), nested.unknown_citations(F.col("s"), F.col("e"))).collect()
+    assert tuple(got[0]) == ([3, 0], "See [a]. [b]", ["a"]) and tuple(got[1]) == (None, "x", [])

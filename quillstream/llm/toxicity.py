@@ -268,12 +268,13 @@ def best_threshold(score: np.ndarray, toxic: np.ndarray, weight: np.ndarray) ->
     return float((s[good[0]] + s[min(good[-1] + 1, len(s) - 1)]) / 2)
 
 
-def train(documents: DataFrame, labels: DataFrame, most: int = 4000, rounds: int = 2) -> Classifier | None:
+def train(documents: DataFrame, labels: DataFrame, most: int = 4000, rounds: int = 2, least: float = 0.8) -> Classifier | None:
     """Fit on at most about ``most`` labelled documents of each class; None if a class is missing.
 
     A toxic document holds mostly ordinary sentences, and some labels are wrong. So sentences are classed anew, first by how frequent their trigrams are in the two kinds of documents, then by the models, always
     by what has not seen them: of toxic documents only sentences that score as toxic count as such (at first if they do so at least half as much as the worst one), of ordinary ones those that do not clearly score as toxic, and the rest is left out. The
-    threshold is that of the best F1 over the labelled documents, again scored by models that haven't seen them.
+    threshold is that of the best F1 over the labelled documents, again scored by models that haven't seen them, and at least ``least`` (natural logarithm per word): few labels, richer in toxic documents than
+    the corpus, know little of what else looks like it.
     """
     split = cut(_split(_labelled(documents, labels, most)))
     seen = split.select("toxic", F.explode("words").alias("word")).groupBy("word").agg(F.count("*").alias("n"), F.max("toxic").alias("toxic"))
@@ -294,7 +295,8 @@ def train(documents: DataFrame, labels: DataFrame, most: int = 4000, rounds: int
     last = _cross_scores(marked, [_models(counts, vocabulary, f) for f in range(FOLDS)])
     per = last.groupBy("doc_id").agg(F.max("score").alias("score"), F.first("toxic").alias("toxic"), F.first("weight").alias("weight")).toArrow()
     model = _models(counts, vocabulary, None)
-    model.threshold = best_threshold(*(per.column(c).to_numpy(zero_copy_only=False).astype(float) for c in ("score", "toxic", "weight")))
+    best = best_threshold(*(per.column(c).to_numpy(zero_copy_only=False).astype(float) for c in ("score", "toxic", "weight")))
+    model.threshold = max(best, least)
     return model
 
 

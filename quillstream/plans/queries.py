@@ -20,8 +20,8 @@ __all__ = ["oracle_sql", "queries"]
 
 
 def _chunks(spark: SparkSession, d: str, *columns: str) -> DataFrame:
-    """Chunks without repeated rows."""
-    return table(spark, d, "chunks").dropDuplicates(["vector_id"]).select("vector_id", *columns)
+    """Chunks without repeated rows: only the columns in use are hashed, and nothing is sorted."""
+    return table(spark, d, "chunks").select("vector_id", *columns).distinct()
 
 
 def _work_children(spark: SparkSession, d: str) -> DataFrame:

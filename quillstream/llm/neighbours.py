@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -33,6 +35,57 @@ def _unit(vectors: np.ndarray) -> np.ndarray:
     return wide / np.linalg.norm(wide, axis=1, keepdims=True)
 
 
+def _parallel(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Whether unit vectors have a cosine of 1 at 12 places."""
+    return np.round(np.einsum("ij,ij->i", a, b), 12) >= 1
+
+
+def _key(unit: np.ndarray) -> np.ndarray:
+    """A number for the direction of each unit vector, hashed from its entries at 4 places; scaled copies differ in it only where an entry lies at the edge of rounding."""
+    weights = np.random.default_rng(11).integers(-(2**63), 2**63 - 1, unit.shape[1], np.int64) | 1
+    return (np.rint(unit * 1e4).astype(np.int64) * weights).sum(1)
+
+
+def _leaders(unit: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    """For each unit vector the number of the one of smallest id among those of cosine 1 to it: only vectors next to each other on a random line are compared."""
+    lead = np.arange(len(unit))
+    line = np.random.default_rng(5).normal(size=unit.shape[1])
+    on = unit @ (line / np.linalg.norm(line))
+    order = np.argsort(on)
+    ends = np.append(np.flatnonzero(np.diff(on[order]) > 2e-6) + 1, len(order))
+    begins = np.append(0, ends[:-1])
+    for begin, end in zip(begins[ends - begins > 1], ends[ends - begins > 1]):
+        rest = order[begin:end]
+        rest = rest[np.argsort(ids[rest], kind="stable")]
+        while len(rest):
+            same = np.round(unit[rest] @ unit[rest[0]], 12) >= 1
+            same[0] = True
+            lead[rest[same]] = rest[0]
+            rest = rest[~same]
+    return lead
+
+
+@dataclass
+class Crowds:
+    """Directions that more than ``k + 1`` vectors share: sorted keys, a unit vector and its id for each, and the largest id that is indexed."""
+
+    key: np.ndarray
+    unit: np.ndarray
+    first: np.ndarray
+    last: np.ndarray
+
+    def of(self, unit: np.ndarray) -> np.ndarray:
+        """The number of the crowd each unit vector belongs to, or -1."""
+        out = np.full(len(unit), -1)
+        if len(self.key) and len(unit):
+            key = _key(unit)
+            at = np.minimum(np.searchsorted(self.key, key), len(self.key) - 1)
+            hit = np.flatnonzero(self.key[at] == key)
+            hit = hit[_parallel(unit[hit], self.unit[at[hit]])]
+            out[hit] = at[hit]
+        return out
+
+
 def fit_cells(sample: np.ndarray, cells: int, rounds: int = 10) -> tuple[np.ndarray, np.ndarray]:
     """Unit centres of ``cells`` cells and each cell's share of the sample."""
     rng = np.random.default_rng(7)
@@ -55,8 +108,63 @@ def _sample(rows: DataFrame, dim: int, total: int, size: int) -> np.ndarray:
     return _unit(_matrix(column, dim)[1]).astype(np.float32) if len(column) else np.zeros((0, dim), np.float32)
 
 
-def _route(rows: DataFrame, dim: int, centres: np.ndarray, parts: np.ndarray, margin: float, every: int) -> DataFrame:
-    """A row for the shard that indexes the vector, and one for every shard that it is a query to.
+def _each_batch(batches: Iterator[pa.RecordBatch], dim: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Ids and vectors of the usable rows."""
+    for batch in batches:
+        at, vectors = _matrix(batch.column("embedding"), dim)
+        if len(at):
+            yield batch.column("vector_id").to_numpy(zero_copy_only=False)[at].astype(np.int64), vectors
+
+
+def _crowds(rows: DataFrame, dim: int, k: int) -> tuple[Broadcast, DataFrame] | None:
+    """The at most ``FEW`` largest crowds, and ``crowd, vector_id`` of their members beyond the ``k + 1`` smallest ids; None if there is no crowd.
+
+    Smaller crowds beyond that number are left to the shards, which are exact for any crowd.
+    """
+
+    def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for ids, vectors in _each_batch(batches, dim):
+            yield pa.RecordBatch.from_arrays([pa.array(_key(_unit(vectors))), pa.array(ids)], names=["h", "vector_id"])
+
+    keyed = rows.select("vector_id", "embedding").mapInArrow(keys, "h long, vector_id long").distinct()
+    many = keyed.groupBy("h").agg(F.count("*").alias("n"), F.min("vector_id").alias("first")).where(F.col("n") > k + 1).orderBy(F.desc("n"), "h").limit(FEW).toArrow()
+    if not many.num_rows:
+        return None
+    order = np.argsort(many.column("h").to_numpy())
+    key, first = (many.column(c).to_numpy()[order] for c in ("h", "first"))
+
+    def firsts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for ids, vectors in _each_batch(batches, dim):
+            some = np.flatnonzero(np.isin(ids, first))
+            h = _key(_unit(vectors[some]))
+            at = np.minimum(np.searchsorted(key, h), len(key) - 1)
+            good = (key[at] == h) & (first[at] == ids[some])
+            yield pa.RecordBatch.from_arrays([pa.array(at[good]), pa.array([v.tobytes() for v in vectors[some[good]]], pa.binary())], names=["crowd", "vector"])
+
+    found = rows.select("vector_id", "embedding").mapInArrow(firsts, "crowd long, vector binary").dropDuplicates(["crowd"]).orderBy("crowd").toArrow()
+    sc = rows.sparkSession.sparkContext
+    whole = Crowds(key, _unit(_vectors(found.column("vector"), dim)), first, np.full(len(key), np.iinfo(np.int64).max))
+    held = sc.broadcast(whole)
+
+    def members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for ids, vectors in _each_batch(batches, dim):
+            crowd = held.value.of(_unit(vectors))
+            yield pa.RecordBatch.from_arrays([pa.array(crowd[crowd >= 0]), pa.array(ids[crowd >= 0])], names=["crowd", "vector_id"])
+
+    inside = cut(rows.select("vector_id", "embedding").mapInArrow(members, "crowd long, vector_id long").distinct())
+    ranked = inside.withColumn("r", F.row_number().over(Window.partitionBy("crowd").orderBy("vector_id"))).where(F.col("r") <= k + 1)
+    last = ranked.where(F.col("r") == k + 1).select("crowd", F.col("vector_id").alias("last"))
+    limits = last.toArrow()
+    bound = whole.last.copy()
+    bound[limits.column("crowd").to_numpy()] = limits.column("last").to_numpy()
+    schema = "crowd long, first long, last long"
+    table = rows.sparkSession.createDataFrame(list(zip(range(len(key)), first.tolist(), bound.tolist())), schema)
+    beyond = inside.join(F.broadcast(table), "crowd").where(F.col("vector_id") > F.col("last")).select("vector_id", "first")
+    return sc.broadcast(Crowds(key, whole.unit, first, bound)), beyond
+
+
+def _route(rows: DataFrame, dim: int, centres: np.ndarray, parts: np.ndarray, margin: float, every: int, crowds: Broadcast | None = None) -> DataFrame:
+    """A row for the shard that indexes the vector, and one for every shard that it is a query to; none for members of ``crowds`` beyond the last that is indexed.
 
     A vector is a query to the shards of its own cell and of every cell whose centre is hardly less similar to it: by no more than ``margin`` times the distance of the two centres.
     A cell with more vectors than a shard takes is spread over several shards, all of which are asked.
@@ -65,15 +173,20 @@ def _route(rows: DataFrame, dim: int, centres: np.ndarray, parts: np.ndarray, ma
     apart = np.sqrt(np.maximum(0, 2 - 2 * centres @ centres.T))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            at, vectors = _matrix(batch.column("embedding"), dim)
-            if not len(at):
-                continue
-            ids = batch.column("vector_id").to_numpy(zero_copy_only=False)[at].astype(np.int64)
-            sims = _unit(vectors).astype(np.float32) @ centres.T
+        for ids, vectors in _each_batch(batches, dim):
+            unit = _unit(vectors)
+            wanted = ids % every == 0
+            if crowds is not None:
+                crowd = crowds.value.of(unit)
+                stays = (crowd < 0) | (ids <= crowds.value.last[crowd])
+                wanted |= (crowd >= 0) & (ids == crowds.value.first[crowd])
+                ids, vectors, unit, wanted = ids[stays], vectors[stays], unit[stays], wanted[stays]
+                if not len(ids):
+                    continue
+            sims = unit.astype(np.float32) @ centres.T
             home = sims.argmax(1)
             near = sims.max(1)[:, None] - sims <= margin * apart[home]
-            near[ids % every != 0] = False
+            near[~wanted] = False
             near[np.arange(len(home)), home] = True
             row, cell = np.nonzero(near)
             many = parts[cell]
@@ -81,7 +194,7 @@ def _route(rows: DataFrame, dim: int, centres: np.ndarray, parts: np.ndarray, ma
             part = np.arange(len(row)) - np.repeat(np.cumsum(many) - many, many)
             mine = (ids.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)).astype(np.int64) % parts[home]
             is_home = (cell == home[row]) & (part == mine[row])
-            query = ids[row] % every == 0
+            query = wanted[row]
             used = is_home | query
             row, cell, part, is_home, query = row[used], cell[used], part[used], is_home[used], query[used]
             packed = pa.FixedSizeBinaryArray.from_buffers(pa.binary(4 * dim), len(vectors), [None, pa.py_buffer(np.ascontiguousarray(vectors))])
@@ -109,21 +222,34 @@ def _search_shard(dim: int, k: int, m: int, ef: int, ef_search: int, least: floa
         out = []
         if len(index):
             exact = vectors[index]
-            graph = build(exact.astype(np.float32), m, ef)
+            # the graph holds one point for each direction; the k + 1 smallest ids of a direction stand for it in the results
+            leaders, group = np.unique(_leaders(exact, points), return_inverse=True)
+            order = np.lexsort((points, group))
+            begin = np.searchsorted(group[order], np.arange(len(leaders)))
+            size = np.minimum(np.bincount(group), k + 1)
+            graph = build(exact[leaders].astype(np.float32), m, ef)
             guests, where = np.unique(ids[~home], return_index=True)
             where = np.flatnonzero(~home)[where]
             own = np.flatnonzero(asked[index])
-            for who, vec, own in ((points[own], exact[own], own), (guests, vectors[where], None)):
+            for who, vec, mine in ((points[own], exact[own], group[own]), (guests, vectors[where], None)):
                 if not len(who):
                     continue
-                near, _ = search(graph, vec.astype(np.float32), k + 6, ef_search, own)
+                if mine is None:
+                    near, _ = search(graph, vec.astype(np.float32), k + 6, ef_search)
+                else:
+                    once, back = np.unique(mine, return_inverse=True)
+                    near, _ = search(graph, graph.points[once], k + 6, ef_search, once)
+                    near = np.concatenate([once[:, None], near], 1)[back]
                 row, col = np.nonzero(near >= 0)
-                other = near[row, col]
+                met = near[row, col]
+                many = size[met]
+                row = np.repeat(row, many)
+                other = order[np.repeat(begin[met] - (np.cumsum(many) - many), many) + np.arange(len(row))]
                 cos = np.round(np.einsum("ij,ij->i", vec[row], exact[other]), 12)
                 good = (cos >= least) & (points[other] != who[row])
                 row, other, cos = row[good], other[good], cos[good]
-                order = np.lexsort((points[other], -cos, row))
-                row, other, cos = row[order], other[order], cos[order]
+                by = np.lexsort((points[other], -cos, row))
+                row, other, cos = row[by], other[by], cos[by]
                 rank = np.arange(len(row)) - np.searchsorted(row, row)
                 best = rank < k
                 out.append(pa.table({"vector_id": who[row[best]], "neighbour_id": points[other[best]], "cosine": cos[best]}))
@@ -150,7 +276,7 @@ def most_similar(
 
     Every vector is indexed; ``every`` restricts the vectors that neighbours are asked for to ids divisible by it.
 
-    Of vectors that are equal in all entries, any number of them, the ``k + 1`` smallest ids are indexed; the others take these for their neighbours.
+    Of vectors of one direction (cosine 1 at 12 places, whatever their lengths), any number of them, the ``k + 1`` smallest ids are indexed; the others take these for their neighbours.
 
     A vector counts if it has ``dim`` finite entries, not all zero; others, null vectors and null ids give no row. Repeated rows of an id count once.
     An empty table gives an empty result. Other columns are not looked at.
@@ -164,27 +290,19 @@ def most_similar(
     centres, share = fit_cells(points, min(cells, len(points)))
     parts = np.maximum(1, np.ceil(share * total / (2 * shard))).astype(np.int64)
 
-    hashed = rows.withColumn("h", F.xxhash64("embedding"))
-    ranked = hashed.groupBy("h", "vector_id").count().withColumn("r", F.row_number().over(Window.partitionBy("h").orderBy("vector_id"))).where(F.col("r") <= k + 2)
-    crowds = cut(ranked.groupBy("h").agg(F.sort_array(F.collect_list("vector_id")).alias("ids")).where(F.size("ids") > k + 1).select("h", F.slice("ids", 1, k + 1).alias("ids")))
-    spare = None
-    number = crowds.count()
-    if number:
-        if number <= FEW:  # counted, so the broadcast is bounded; more are joined by shuffling
-            crowds = F.broadcast(crowds)
-        placed = hashed.join(crowds, "h", "left")
-        first = placed.where("ids is not null and vector_id = ids[0]").where(_usable(F.col("embedding"), dim)).select("h", F.col("embedding").alias("same")).dropDuplicates(["h"])
-        beyond = F.col("ids").isNotNull() & (F.col("vector_id") > F.col("ids")[k])
-        held = placed.where(beyond & (F.col("vector_id") % every == 0)).join(first, "h").where("embedding = same")
-        spare = held.select("vector_id", F.explode(F.slice("ids", 1, k)).alias("neighbour_id")).distinct().withColumn("cosine", F.lit(1.0))
-        rows = placed.where(~beyond).select("vector_id", "embedding")
-
-    routed = _route(rows, dim, centres, parts, margin, every).repartition(2 * int(parts.sum()), "shard")
+    crowds, beyond = _crowds(rows, dim, k) or (None, None)
+    routed = _route(rows, dim, centres, parts, margin, every, crowds).repartition(2 * int(parts.sum()), "shard")
     found = routed.groupBy("shard").applyInArrow(_search_shard(dim, k, m, ef, ef_search, least), FOUND)
-    if spare is not None:
-        found = found.unionByName(spare)
     order = Window.partitionBy("vector_id").orderBy(F.desc("cosine"), "neighbour_id")
-    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    best = lambda d: d.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    if beyond is None:
+        return best(found)
+    found = cut(found)
+    firsts = rows.sparkSession.createDataFrame([(int(i),) for i in np.unique(crowds.value.first)], "first long")
+    near = best(found.join(F.broadcast(firsts), F.col("vector_id") == F.col("first")).where("cosine >= 1")).select("first", "neighbour_id")
+    near = near.unionByName(firsts.select("first", F.col("first").alias("neighbour_id")))
+    spare = beyond.where(F.col("vector_id") % every == 0).join(F.broadcast(near), "first").select("vector_id", "neighbour_id").distinct().withColumn("cosine", F.lit(1.0))
+    return best(found.where(F.col("vector_id") % every == 0).unionByName(spare))
 
 
 def near_pairs(df: DataFrame, key: str, vector: str, k: int = 5, dim: int = 64, least: float = 0.9, margin: float = 0.1) -> DataFrame:

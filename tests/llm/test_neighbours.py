@@ -70,6 +70,18 @@ def test_crowds_of_equal_vectors(spark):
     assert got == exact_pairs(x, np.arange(300), 5, 0.9)
 
 
+def test_crowds_of_one_direction_and_mixed_lengths(spark):
+    x = planted(300)
+    x[100:250] = x[99]
+    x[100:250:2] *= np.random.default_rng(3).uniform(0.1, 9, size=(75, 1))
+    x[20:45] = x[19] * np.arange(2, 27)[:, None] / 7  # no two are equal
+    want = exact_pairs(x, np.arange(300), 5, 0.9)
+    assert {tuple(r) for r in near_pairs(frame(spark, x), "vid", "emb").collect()} == want
+    assert most_pairs(frame(spark, x)) == want
+    some = most_similar(frame(spark, x), "vid", "emb", every=50).where("cosine = 1").collect()
+    assert {(r["vector_id"], r["neighbour_id"]) for r in some if r["vector_id"] == 150} == {(150, i) for i in range(99, 104)}
+
+
 def test_dirty_vectors_and_empty_table(spark):
     good = planted(40)
     rows = [*good, None, good[0][:10], [None, *good[1][1:]], [float("nan"), *good[2][1:]], [float("inf"), *good[3][1:]], np.zeros(64), 1e-30 * good[4], 3 * good[5]]

@@ -36,8 +36,9 @@ def top_n_per_group(df: DataFrame, group: str, item: str, score: str, tie: str |
         F.col(group).alias("g"), F.col(item).alias("i"), F.col(score).cast("double").alias("s"), F.when(_usable(second), second).alias("t")
     )
     order = [F.desc("s"), F.desc_nulls_last("t"), F.asc("i")]
-    # in a lower band fewer than n items are already kept from above, so 2n distinct ones surely hold n new ones
-    best = lambda d, most: d.withColumn("r", F.dense_rank().over(Window.partitionBy("g").orderBy(*order))).where(F.col("r") <= most).drop("r")
+    # one row an item, its best; fewer than n items are already kept from the bands above, so 2n items of a band surely hold n new ones
+    single = lambda d: d.groupBy("g", "i").agg(F.max(F.struct("s", "t")).alias("best")).select("g", "i", "best.s", "best.t")
+    best = lambda d, most: d.withColumn("r", F.row_number().over(Window.partitionBy("g").orderBy(*order))).where(F.col("r") <= most).drop("r")
     edges = band_edges(rows, "s", shares)
     kept: DataFrame | None = None
     upper = None
@@ -50,7 +51,7 @@ def top_n_per_group(df: DataFrame, group: str, item: str, score: str, tie: str |
         if kept is not None:
             filled = kept.groupBy("g").agg(F.count_distinct("i").alias("n")).where(F.col("n") >= n).select("g")
             band = band.join(filled, "g", "left_anti")
-        found = cut(best(band.distinct(), 2 * n))
+        found = cut(best(single(band), 2 * n))
         kept = found if kept is None else kept.unionByName(found)
         upper = lower
     once = kept.withColumn("k", F.row_number().over(Window.partitionBy("g", "i").orderBy(F.desc("s"), F.desc_nulls_last("t")))).where("k = 1")

@@ -32,6 +32,15 @@ def test_equals_brute_force_with_dirt_ties_and_a_hot_group(spark, seed):
     assert {(r["grp"], r["item"]) for r in got.collect()} == brute(rows, 3)
 
 
+def test_an_item_scored_more_often_than_a_band_keeps(spark):
+    rows = [("hot", 1, 100.0 - k, 1.0, 0, 0, 0) for k in range(20)]
+    rows += [("hot", 2, 100.5, None, 0, 0, 0), ("hot", 2, 100.5, 2.0, 0, 0, 0), ("hot", 3, 80.5, 1.0, 0, 0, 0), ("hot", 4, 80.0, 1.0, 0, 0, 0)]
+    rows += [("cold", k, float(k % 50), 1.0, 0, 0, 0) for k in range(400)]
+    got = top_n_per_group(spark.createDataFrame(rows, SCHEMA), "grp", "item", "score", "tie", 3)
+    assert {(r["grp"], r["item"]) for r in got.collect()} == brute(rows, 3)
+    assert [(r["item"], r["score"], r["tie"]) for r in got.where("grp = 'hot'").orderBy("rank").collect()] == [(2, 100.5, 2.0), (1, 100.0, 1.0), (3, 80.5, 1.0)]
+
+
 def test_empty_table_infinite_scores_and_no_tie(spark):
     assert top_n_per_group(spark.createDataFrame([], SCHEMA), "grp", "item", "score", "tie").collect() == []
     rows = [("a", 1, math.inf, None, 0, 0, 0), ("a", 2, -math.inf, None, 0, 0, 0), ("a", 3, 0.0, None, 0, 0, 0)]

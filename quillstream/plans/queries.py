@@ -74,7 +74,7 @@ def paper_texts(spark: SparkSession, d: str) -> DataFrame:
 
 def encoder_texts(spark: SparkSession, d: str) -> DataFrame:
     rows = _chunks(spark, d, "title", "section_heading", "text")
-    return rows.select("vector_id", F.md5(text.shortened(text.embedding_text(F.col("title"), F.col("section_heading"), F.col("text")), 1600)).alias("encoded"))
+    return rows.select("vector_id", F.md5(text.embedding_text(F.col("title"), F.col("section_heading"), F.col("text"))).alias("encoded"))
 
 
 def open_pdf_urls(spark: SparkSession, d: str) -> DataFrame:

@@ -1,0 +1,12 @@
+import hashlib
+
+from quillstream.plans.queries import queries
+
+CHUNK = "vector_id long, chunk_id string, title string, section_heading string, text string"
+
+
+def test_an_encoder_reads_the_whole_text(spark, tmp_path):
+    long = "word " * 400 + "end"
+    spark.createDataFrame([(1, "c1", "T", "H", long), (2, "c2", "T", "H", long[:-3] + "other")], CHUNK).write.parquet(f"{tmp_path}/chunks.parquet")
+    got = {r["vector_id"]: r["encoded"] for r in queries()["encoder_texts"](spark, str(tmp_path)).collect()}
+    assert got == {k: hashlib.md5(f"Paper: T\nSection: H\n{t}".encode()).hexdigest() for k, t in ((1, long), (2, long[:-3] + "other"))}

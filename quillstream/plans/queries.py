@@ -357,7 +357,7 @@ def evidence_routes(spark: SparkSession, d: str) -> DataFrame:
 
 
 def evidence_contexts(spark: SparkSession, d: str) -> DataFrame:
-    shown = grading.contexts(_evidence(spark, d), "question_id", "rank", "title", "section_heading", "text", 400)
+    shown = grading.contexts(_evidence(spark, d), "question_id", "rank", "title", "section_heading", "text")
     return shown.select("question_id", F.md5("context").alias("context"), F.length("context").cast("bigint").alias("characters"))
 
 

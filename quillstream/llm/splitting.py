@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 from bisect import bisect_right
 from collections.abc import Iterator
+from itertools import islice
 from typing import BinaryIO
 from urllib.parse import unquote, urlparse
 
@@ -116,8 +117,8 @@ def _pieces(df: DataFrame, keys: list[str], most: int, overlap: int, reach: int,
     return df.select(*keys, "range_no", "base", "left", "core", "is_last", "range_text").mapInArrow(run, f"{types}, {PIECES}")
 
 
-def _ranges(df: DataFrame, keys: list[str], text: str, size: int, halo: int) -> DataFrame:
-    """Ranges of ``size`` characters of long texts, with a halo on both sides; spread over all tasks, as one text may be most of the data."""
+def _ranges(df: DataFrame, keys: list[str], text: str, size: int, halo: int, most: int) -> DataFrame:
+    """Ranges of ``size`` characters of long texts, with a halo on both sides, or one for a text of at most ``most`` tokens, which is one piece; spread over all tasks, as one text may be most of the data."""
     types = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.select(*keys).schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -125,7 +126,8 @@ def _ranges(df: DataFrame, keys: list[str], text: str, size: int, halo: int) ->
             for k in range(batch.num_rows):
                 whole = batch.column(text)[k].as_py()
                 starts = [0]
-                while (at := after_word(whole, starts[-1] + size)) < len(whole):
+                few = next(islice(TOKEN.finditer(whole), most, None), None) is None
+                while not few and (at := after_word(whole, starts[-1] + size)) < len(whole):
                     starts.append(at)
                 ends = [*starts[1:], len(whole)]
                 for some in range(0, len(starts), 64):  # so many at a time, to keep batches small
@@ -147,7 +149,7 @@ def split_items(df: DataFrame, keys: list[str], text: str, max_tokens: int = 300
 
     A token is a run of letters, digits and underscores or any other single non-space character. Pieces end at the end of a paragraph, line or
     sentence (``ends_at`` 3, 2, 1) where one lies in reach, else at the limit (0), and consecutive pieces share ``overlap`` tokens.
-    ``start`` and ``stop`` are character offsets into the item. Items within the limit give one piece.
+    ``start`` and ``stop`` are character offsets into the item. Items within the limit give one piece, however long the white space or words in them.
 
     Texts of up to ``range_chars`` characters are cut where they are, without a shuffle. Longer ones are cut into ranges with a
     ``halo`` on both sides, spread over the cluster; neighbours agree on the natural boundary at their seam from the characters around it, and a prefix
@@ -168,7 +170,7 @@ def split_items(df: DataFrame, keys: list[str], text: str, max_tokens: int = 300
     named = [F.col(p).alias(k) for k, p in zip(keys, plain)]
     last = ["start", "stop", "token_count", "ends_at", *(["piece"] if with_text else [])]
     out = _pieces(short, plain, max_tokens, overlap, reach, with_text).select(*named, F.col("local_index").alias("chunk_index"), *last)
-    long = _pieces(_ranges(rows.where(F.length("t") > range_chars), plain, "t", range_chars, halo), plain, max_tokens, overlap, reach, with_text)
+    long = _pieces(_ranges(rows.where(F.length("t") > range_chars), plain, "t", range_chars, halo, max_tokens), plain, max_tokens, overlap, reach, with_text)
     order = Window.partitionBy(*plain).orderBy("range_no").rowsBetween(Window.unboundedPreceding, -1)
     totals = long.groupBy(*plain, "range_no").agg(F.count("*").alias("n")).withColumn("before", F.coalesce(F.sum("n").over(order), F.lit(0)))
     same = [F.col(f"p.{p}").eqNullSafe(F.col(f"q.{p}")) for p in plain] + [F.col("p.range_no") == F.col("q.range_no")]

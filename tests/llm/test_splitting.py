@@ -84,3 +84,10 @@ def test_bytes_that_are_no_text(spark, tmp_path):
     (tmp_path / "a.txt").write_bytes(b"one \xff\xfe two. " * 200)
     rows = split_files(spark, str(tmp_path), 60, 10, 300, 400).collect()
     assert rows and sum(r["stop"] - r["start"] for r in rows) >= 200 * 12
+
+
+def test_long_texts_of_few_tokens_are_one_piece(spark):
+    texts = ["a b" + " " * 5000 + "c.\n\nd" + " " * 3000 + "e", " " * 4000, "w " * 60 + " " * 4000, "w " * 61 + " " * 4000, "x" * 5000]
+    got = split(spark, texts, max_tokens=60, overlap=10, range_chars=1000, halo=600)
+    assert [(p["start"], p["stop"], p["token_count"], p["chunk_index"]) for p in got[0]] == [(0, len(texts[0]), 6, 0)]
+    assert [len(got[k]) for k in range(1, 5)] == [0, 1, 2, 1]

@@ -28,6 +28,7 @@ _QUOTED = re.compile(r'"[^"\n]{1,600}"|“[^”\n]{1,600}”|„[^“”\n]{1,60
 _SPACED = re.compile(r"(?<!\w)(?:[^\W\d_][ .·_*-]){3,}[^\W\d_](?!\w)")
 _SENTENCE = re.compile(r"[.!?…]+\s+|\n")
 _WORD = re.compile(r"<quote>|[^\W_](?:[\w'’*@$!]*[^\W_])?|[!?]")
+_BARE = [[], ["!"], ["?"], ["<quote>"]]  # nothing of the document's own words
 _WRAPPED, _HYPHEN = re.compile(r"\n(?=[a-zà-ÿ])"), re.compile(r"-\n(?=[a-zà-ÿ])")
 _UNSEEN = re.compile("[\u00ad\u200b-\u200f\u202a-\u202e\u2060-\u206f\ufeff]")
 _LATIN, _GAP = re.compile("[a-z]"), re.compile(r"[ .·_*-]")
@@ -47,10 +48,12 @@ def sentences(text: str | None) -> list[list[str]]:
     found = []
     for part in _SENTENCE.split(text):
         words = _WORD.findall(part)
-        if 1 < len(words) <= 40:
+        if words in _BARE:
+            continue
+        if len(words) <= 40:
             found.append(words)
-        elif words[1:]:  # no sentence: stretches of 20 words
-            found += [words[k : k + 20] for k in range(0, len(words) - 1, 20)]
+        else:  # no sentence: stretches of 20 words
+            found += [words[k : k + 20] for k in range(0, len(words), 20)]
     return found
 
 
@@ -301,7 +304,7 @@ def train(documents: DataFrame, labels: DataFrame, most: int = 4000, rounds: int
 
 
 def score_documents(documents: DataFrame, model: Classifier | None) -> DataFrame:
-    """``doc_id, source, score, flagged`` for every document: the score of its worst sentence, null for a text without any sentence of two words.
+    """``doc_id, source, score, flagged`` for every document: the score of its worst sentence, null for a text without any word of its own.
 
     The whole text counts. Null and empty texts are not flagged. The model is as small as its training sample and is broadcast. With no model all scores are null.
     """

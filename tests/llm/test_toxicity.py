@@ -80,3 +80,9 @@ def test_threshold_parts_the_classes():
 def test_labels_in_other_spellings(spark):
     rows = spark.createDataFrame([("Abusive ",), ("hate",), ("NONE",), ("maybe",), (None,)], "label string")
     assert [r[0] for r in rows.select(toxicity.label_class(F.col("label"))).collect()] == ["toxic", "toxic", "ordinary", None, None]
+
+
+def test_sentences_of_one_word_and_the_last_word_of_long_ones():
+    assert sentences("We met. Scumbag! Then he left.") == [["we", "met"], ["scumbag"], ["then", "he", "left"]]
+    assert sentences("?") == sentences("! ! ") == sentences('"Quoted words." ') == []
+    assert [len(s) for s in sentences(" ".join(["word"] * 41))] == [20, 20, 1]

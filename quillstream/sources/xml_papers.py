@@ -159,7 +159,9 @@ def pdf_problem(content: Column, length: Column, least: int = 10_000) -> Column:
 
 
 def file_index(files: DataFrame, suffix: str) -> DataFrame:
-    """``work_id, paths``: sorted paths of the files with a suffix, any case, by the work id in their name; a null id gathers the others."""
+    """``work_id, paths``: sorted paths of the files with a suffix, any case, by the work id in their name; each of the others has a row with a null id."""
     name = F.regexp_extract("path", r"[^/]*$", 0)
     rows = files.where(F.lower("path").endswith(suffix.lower()))
-    return rows.groupBy(F.nullif(F.upper(F.regexp_extract(name, r"(?i)W\d+", 0)), F.lit("")).alias("work_id")).agg(F.sort_array(F.collect_list("path")).alias("paths"))
+    named = rows.select(F.nullif(F.upper(F.regexp_extract(name, r"(?i)W\d+", 0)), F.lit("")).alias("work_id"), "path")
+    found = named.where("work_id is not null").groupBy("work_id").agg(F.sort_array(F.collect_list("path")).alias("paths"))
+    return found.unionByName(named.where("work_id is null").select("work_id", F.array("path").alias("paths")))

@@ -124,3 +124,9 @@ def test_latest_and_remaining(spark):
     assert {tuple(r) for r in ingest.latest(rows, ["k"], "at", "tie").collect()} == {("a", 3, 2), ("b", None, 9), (None, 1, 1)}
     done = spark.createDataFrame([("a",), (None,)], "k string")
     assert {r["k"] for r in ingest.remaining(rows, done, ["k"]).collect()} == {"b", None}
+
+
+def test_files_without_a_work_id_are_not_gathered(spark):
+    files = spark.createDataFrame([("/a/W7.pdf",), ("/b/w7.pdf",), ("/a/x.pdf",), ("/a/y.pdf",)], "path string")
+    got = sorted((r["work_id"] or "", r["paths"]) for r in xml_papers.file_index(files, ".pdf").collect())
+    assert got == [("", ["/a/x.pdf"]), ("", ["/a/y.pdf"]), ("W7", ["/a/W7.pdf", "/b/w7.pdf"])]

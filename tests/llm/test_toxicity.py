@@ -2,9 +2,14 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from quillstream.llm import kneser_ney, toxicity
-from quillstream.llm.toxicity import Vocabulary, best_threshold, rates, score_documents, sentences, train
+from quillstream.llm.toxicity import Units, Vocabulary, best_threshold, rates, score_documents, tokens, train
 
 DOCS = "doc_id long, text string, source string, score double, flagged boolean"
+MARKS = {"\x00": "|", "\x01": "(", "\x02": ")"}
+
+
+def shown(text):
+    return [MARKS.get(t, "." if t.strip() in "\n.!?" and t not in "!?" else t) for t in tokens([text])]
 LABELS = "label_id long, doc_id long, label string, annotator string"
 
 
@@ -52,24 +57,70 @@ def test_no_labels_or_no_documents(spark):
 
 
 def test_words_in_disguise():
-    v = Vocabulary.of(["idiot", "filthy", "nakеd", "naked"])
-    assert v.lookup("1d10t") == v.lookup("idiot") == v.lookup("idoit")
-    assert v.lookup("nаkеd") in (v.lookup("naked"), v.number["nakеd"])
-    assert v.lookup("zzz") == toxicity.UNKNOWN and v.lookup("50") == 3
-    assert sentences('He said "you fool." and left.\nI d i o t s\n\nbad-\nly cut') == [["he", "said", "<quote>", "and", "left"], ["badly", "cut"]] or sentences("h o r n y talk") == [["horny", "talk"]]
-    assert sentences(None) == [] and sentences("") == []
+    v = Vocabulary(["idiot", "filthy", "nakеd", "naked", "horny"])
+    assert v["1d10t"] == v["idiot"] == v["idoit"] and v["h_o_r_n_y"] == v["horny"]
+    assert v["nаkеd"] in (v["naked"], v.number["nakеd"])
+    assert v["zzz"] == toxicity.UNKNOWN and v["50"] == 3
+    assert shown('He said "you fool." and left.\nI d i o t s\n\nbad-\nly cut') == ["he", "said", "(", "you", "fool", ")", "and", "left", ".", "idiots", ".", "badly", "cut", "|"]
+    assert tokens([None]) == tokens([""]) == ["\x00"] and tokens([]) == []
+    assert v.stream(tokens(["no\x00t a mark", "b"])).tolist().count(toxicity.END_OF_TEXT) == 2
+
+
+def units(text, v, quoted=False):
+    u = Units.of(v.stream(tokens([text])), quoted)
+    return [int(n) for n in np.bincount(u.unit)] if len(u) else [], u
+
+
+def test_no_word_of_a_long_stretch_is_lost_and_no_trigram_is_cut():
+    v = Vocabulary([f"w{chr(97 + k // 26)}{chr(97 + k % 26)}" for k in range(100)])
+    names = [w for w in v.number if w.startswith("w")]
+    for n in (1, 40, 41, 60, 61, 100):
+        words = names[:n]
+        sizes, u = units(" ".join(words), v)
+        assert sum(sizes) == n + 1 and len(sizes) == (1 if n <= 40 else -(-n // 20))
+        numbers = [0, 0, *(v[w] for w in words), 1]
+        assert list(zip(u.a.tolist(), u.b.tolist(), u.c.tolist())) == list(zip(numbers, numbers[1:], numbers[2:]))
+
+
+def test_sentences_of_one_word_count_and_bare_signs_do_not():
+    v = Vocabulary(["we", "met", "scumbag", "then", "he", "left"])
+    assert units("We met. Scumbag! Then he left.", v)[0] == [3, 2, 4]
+    assert units("?", v)[0] == units("! ! ", v)[0] == units('"Quoted words." ', v)[0] == []
+
+
+def test_quotations_of_any_length_are_scored_apart():
+    v = Vocabulary(["fool"])
+    for n in (1, 599, 601, 5000):
+        text = 'It says "' + "fool " * n + '" here.'
+        own, quoted = units(text, v)[1], units(text, v, True)[1]
+        assert own.c.tolist() == [2, 2, toxicity.QUOTE, 2, 1] and (quoted.c == v["fool"]).sum() == n
+    assert (units('He is 6" tall, a fool.\nAnd 5" wide.', v)[1].c == v["fool"]).sum() == 1, "a sign that isn't closed in its paragraph quotes nothing"
+
+
+def test_a_quoted_document_has_a_score_but_no_flag(spark):
+    docs, labels = corpus()
+    model = train(spark.createDataFrame(docs, DOCS), spark.createDataFrame(labels, LABELS))
+    (row,) = score_documents(spark.createDataFrame([(1, '"You are a filthy idiot number 3."', "s", 0.0, False)], DOCS), model).collect()
+    assert row["score"] is None and row["quoted_score"] > model.threshold and not row["flagged"]
 
 
 def test_probabilities_sum_to_one():
     rng = np.random.default_rng(0)
     n = 12
-    keys = np.unique(rng.integers(0, n**3, 200))
-    counts = rng.integers(1, 5, len(keys))
-    model = kneser_ney.fit(n, keys, counts, kneser_ney.shared_base(n, [keys]))
+    keys = [np.unique(rng.integers(0, n**3, size)) for size in (200, 40)]
+    model = kneser_ney.fit(n, keys, [rng.integers(1, 5, len(k)) for k in keys])
     words = np.arange(n)
-    for a, b in [(0, 0), (3, 4), (int(keys[0] // n // n), int(keys[0] // n % n))]:
-        total = np.exp(model.log_prob(np.full(n, a), np.full(n, b), words)).sum()
-        assert abs(total - 1) < 1e-9
+    for a, b in [(0, 0), (3, 4), *((int(k[0] // n // n), int(k[0] // n % n)) for k in keys)]:
+        total = np.exp(model.log_prob(np.full(n, a), np.full(n, b), words)).sum(1)
+        assert np.abs(total - 1).max() < 1e-9
+        assert abs(model.shared(np.full(n, b), words).sum() - 1) < 1e-9
+
+
+def test_what_neither_class_has_seen_speaks_for_neither():
+    keys = [np.array([5 * 144 + 6 * 12 + 7]), np.array([5 * 144 + 6 * 12 + 8])]
+    model = kneser_ney.fit(12, keys, [np.array([3]), np.array([3])])
+    toxic, ordinary = model.log_prob(np.array([9, 5, 5]), np.array([10, 6, 6]), np.array([11, 7, 8]))
+    assert abs(toxic[0] - ordinary[0]) < 1e-9 and toxic[1] > ordinary[1] and toxic[2] < ordinary[2]
 
 
 def test_threshold_parts_the_classes():
@@ -80,9 +131,3 @@ def test_threshold_parts_the_classes():
 def test_labels_in_other_spellings(spark):
     rows = spark.createDataFrame([("Abusive ",), ("hate",), ("NONE",), ("maybe",), (None,)], "label string")
     assert [r[0] for r in rows.select(toxicity.label_class(F.col("label"))).collect()] == ["toxic", "toxic", "ordinary", None, None]
-
-
-def test_sentences_of_one_word_and_the_last_word_of_long_ones():
-    assert sentences("We met. Scumbag! Then he left.") == [["we", "met"], ["scumbag"], ["then", "he", "left"]]
-    assert sentences("?") == sentences("! ! ") == sentences('"Quoted words." ') == []
-    assert [len(s) for s in sentences(" ".join(["word"] * 41))] == [20, 20, 1]

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillstream.llm import fingerprint, mixing, neighbours, packing, splitting, tokens, topn, toxicity
-from quillstream.runtime import cut, table
+from quillstream.runtime import cut, remove, shared_folder, table
 from quillstream.sources.json_lines import field_texts
 
 
@@ -57,13 +58,26 @@ ITEM = ["item_kind", "item_id", "record_id", "place"]
 
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
-    pieces = splitting.split_items(_items(spark, d), ITEM, "text", 300, 50, with_text=False)
+    pieces = splitting.plan_items(_items(spark, d), ITEM, "text", 300, 50)
     return pieces.where("chunk_index = 1").select("item_kind", "item_id").distinct()
 
 
 def p4_pieces(spark: SparkSession, d: str) -> DataFrame:
-    items = _items(spark, d).dropDuplicates(ITEM)
-    return splitting.split_items(items, [*ITEM, "section_type"], "text", 300, 50)
+    return splitting.split_items(_items(spark, d), [*ITEM, "section_type"], "text", 300, 50)
+
+
+def p4_files(spark: SparkSession, d: str) -> DataFrame:
+    """All texts of documents written into large files, about a thousand texts each, and these cut by byte ranges: for each file the tokens that its pieces hold, overlaps once, and the pieces over the limit."""
+    texts = table(spark, d, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("value"))
+    n = max(1, -(-texts.count() // 1000))
+    home = f"{shared_folder(spark)}/texts-{uuid.uuid4().hex}"
+    filed = texts.select("value", F.pmod("doc_id", F.lit(n)).alias("file"), "doc_id").repartition(n, "file").sortWithinPartitions("file", "doc_id")
+    filed.select("value", "file").write.partitionBy("file").text(home)
+    pieces = splitting.split_files(spark, home, 300, 50, range_bytes=1 << 18)
+    held = F.sum(F.col("token_count") - F.when(F.col("chunk_index") > 0, 50).otherwise(0)).cast("bigint")
+    per = cut(pieces.groupBy(F.regexp_extract("path", r"file=(\d+)", 1).cast("bigint").alias("file")).agg(held.alias("tokens"), F.count_if(F.col("token_count") > 300).alias("over")))
+    remove(spark, home)
+    return per
 
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
@@ -104,7 +118,7 @@ def p8_rates(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p1_recall, p1_neighbours, p2_found, p2_collapsed, p4_found, p4_pieces, p5_found, p6_containers, p6_fill, p7_mix, p7_shares, p8_found, p8_scores, p8_rates)}
+    return {f.__name__: f for f in (p1_found, p1_recall, p1_neighbours, p2_found, p2_collapsed, p4_found, p4_pieces, p4_files, p5_found, p6_containers, p6_fill, p7_mix, p7_shares, p8_found, p8_scores, p8_rates)}
 
 
 P5_SQL = """
@@ -117,13 +131,44 @@ WITH c AS (
 SELECT paper_id, cand_id FROM r WHERE k <= 3"""
 
 
-P4_SQL = r"""
-WITH items AS (
-  SELECT 'section' AS item_kind, s.section_id AS item_id, s.text AS text FROM (SELECT unnest(sections) AS s FROM parsed_papers)
-  UNION ALL SELECT 'chunk', chunk_id, text FROM chunks
+P4_SPACE = r"\s\p{Z}\x{1c}-\x{1f}\x{85}\x{0b}"
+P4_TOKEN = rf"[\p{{L}}\p{{N}}_]+|[^\p{{L}}\p{{N}}_{P4_SPACE}]"
+P4_ITEMS = """
+  SELECT 'section' AS item_kind, s.section_id AS item_id, record_id, k - 1 AS place, s.section_type AS section_type, s.text AS text
+    FROM (SELECT record_id, generate_subscripts(sections, 1) AS k, unnest(sections) AS s FROM parsed_papers)
+  UNION SELECT 'chunk', chunk_id, vector_id, 0, section_type, text FROM chunks"""
+P4_SQL = f"""
+WITH items AS ({P4_ITEMS})
+SELECT DISTINCT item_kind, item_id FROM items WHERE len(regexp_extract_all(text, '{P4_TOKEN}')) > 300"""
+# where the piece after each possible end ends, then the chain of pieces of each item
+P4_PIECES = f"""
+WITH RECURSIVE items AS (SELECT row_number() OVER () AS i, * FROM ({P4_ITEMS})), parts AS (
+  SELECT i, regexp_extract_all(text, '([{P4_SPACE}]*)({P4_TOKEN})', 1) AS gaps, regexp_extract_all(text, '([{P4_SPACE}]*)({P4_TOKEN})', 2) AS toks FROM items
+), tok AS (SELECT i, unnest(range(0, len(toks))) AS k, unnest(gaps) AS gap, unnest(toks) AS tok FROM parts),
+placed AS (
+  SELECT *, sum(length(gap) + length(tok)) OVER (PARTITION BY i ORDER BY k) AS z, lag(tok) OVER (PARTITION BY i ORDER BY k) AS left_,
+    length(gap) - length(replace(gap, chr(10), '')) AS feeds, length(gap) - length(replace(gap, chr(13), '')) AS returns FROM tok
+), cuts AS (
+  SELECT i, k AS spot, CASE WHEN n > 1 THEN 3 WHEN n = 1 THEN 2 WHEN right(left_, 1) IN ('.', '!', '?', '…', '。', '！', '？') THEN 1 ELSE 0 END AS kind
+  FROM (SELECT *, CASE WHEN feeds > 0 THEN feeds ELSE returns END AS n FROM placed) WHERE k > 0 AND gap <> ''
+), sizes AS (SELECT i, count(*) AS total FROM tok GROUP BY i),
+ends AS (SELECT i, total, unnest(range(0, total)) AS new FROM sizes), reach AS (SELECT *, greatest(0, new - 50) AS start FROM ends),
+best AS (
+  SELECT r.i, r.new, max((CASE WHEN spot - start > 150 THEN 4 ELSE 0 END + kind) * 1000000000::BIGINT + spot) AS b FROM reach r JOIN cuts c ON r.i = c.i AND spot > greatest(new, start + 50) AND spot <= start + 300 AND kind > 0
+  WHERE total - start > 300 GROUP BY r.i, r.new
+), step AS (
+  SELECT r.i, r.new, start, total, CASE WHEN total - start <= 300 THEN total WHEN b IS NULL THEN start + 300 ELSE b % 1000000000 END AS stop,
+    CASE WHEN total - start <= 300 THEN 3 WHEN b IS NULL THEN 0 ELSE (b // 1000000000) % 4 END AS ends_at FROM reach r LEFT JOIN best USING (i, new)
+), chain AS (
+  SELECT i, 0 AS chunk_index, start, stop, total, ends_at FROM step WHERE new = 0
+  UNION ALL SELECT s.i, chunk_index + 1, s.start, s.stop, s.total, s.ends_at FROM chain c JOIN step s ON s.i = c.i AND s.new = c.stop WHERE c.stop < c.total
 )
-SELECT DISTINCT item_kind, item_id FROM items
-WHERE len(regexp_extract_all(text, '[\p{L}\p{N}_]+|[^\p{L}\p{N}_\s\p{Z}\x{1c}-\x{1f}\x{85}\x{0b}]')) > 300"""
+SELECT item_kind, item_id, record_id, CAST(place AS INT) AS place, section_type, CAST(chunk_index AS INT) AS chunk_index, CAST(a.z - length(a.tok) AS BIGINT) AS start, CAST(b.z AS BIGINT) AS stop,
+  CAST(c.stop - c.start AS INT) AS token_count, CAST(ends_at AS INT) AS ends_at, substring(text, CAST(a.z - length(a.tok) + 1 AS BIGINT), CAST(b.z - a.z + length(a.tok) AS BIGINT)) AS piece
+FROM chain c JOIN items USING (i) JOIN placed a ON a.i = c.i AND a.k = c.start JOIN placed b ON b.i = c.i AND b.k = c.stop - 1"""
+P4_FILES = f"""
+SELECT doc_id % n AS file, CAST(sum(len(regexp_extract_all(text, '{P4_TOKEN}'))) AS BIGINT) AS tokens, CAST(0 AS BIGINT) AS over
+FROM documents, (SELECT greatest(1, CAST(ceil(count(*) / 1000.0) AS BIGINT)) AS n FROM documents) GROUP BY 1"""
 
 
 def _compatible(c: str) -> str:
@@ -164,4 +209,4 @@ SELECT DISTINCT least(a, b) AS vector_id_a, greatest(a, b) AS vector_id_b FROM r
 def oracle_sql() -> dict[str, str]:
     pairs = "SELECT kept AS kept_record_id, record_id AS copy_record_id FROM g WHERE kept < record_id"
     kept = "SELECT kept AS kept_record_id, copies FROM g WHERE kept = record_id"
-    return {"p1_found": P1_SQL, "p2_found": _p2_sql(pairs), "p2_collapsed": _p2_sql(kept), "p4_found": P4_SQL.replace("\\\\", "\\"), "p5_found": P5_SQL}
+    return {"p1_found": P1_SQL, "p2_found": _p2_sql(pairs), "p2_collapsed": _p2_sql(kept), "p4_found": P4_SQL, "p4_pieces": P4_PIECES, "p4_files": P4_FILES, "p5_found": P5_SQL}

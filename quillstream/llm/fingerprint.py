@@ -71,25 +71,26 @@ def with_fingerprint(df: DataFrame, key: str, forms: dict[str, Column]) -> DataF
 def duplicate_links(df: DataFrame, key: str, forms: dict[str, Column]) -> DataFrame:
     """``kept, copy``: one row per record whose fields all equal those of a record with a smaller ``key``.
 
-    Groups form on the fingerprint alone, counted map-side first, so that a group that holds a third of all rows costs one row
-    per map task. Members then meet their group's smallest key in a join (adaptive execution splits a hot key, as the other
-    side has one row per group), and every field is compared; records that only share a hash are grouped again by their fields.
+    Records are normalised once. Groups form on the fingerprint alone, counted map-side first, so that a group that holds a third of all rows costs one row
+    per map task. Members then meet the record of their group's smallest key in hash joins (adaptive execution splits a hot key, as the other
+    side has one row per group), and every field is compared; records that only share a hash are grouped again by their fields. Nothing is sorted.
 
     Null, empty and blank values are one value. Rows with a null key give none. A key that repeats counts once.
     """
-    rows = with_fingerprint(df, key, forms)
+    rows = cut(with_fingerprint(df, key, forms))
     names = [c for c in rows.columns if c.startswith("f_")]
+    hashed = lambda d: d.hint("shuffle_hash")
     groups = rows.groupBy("h1", "h2").agg(F.min("id").alias("kept"), F.max("id").alias("last")).where("kept < last").drop("last")
-    members = cut(rows.join(groups, ["h1", "h2"]))
+    members = cut(rows.join(hashed(groups), ["h1", "h2"]).drop("h1", "h2"))
     first = members.where("id = kept").select("kept", *(F.col(n).alias(f"of_{n}") for n in names)).dropDuplicates(["kept", *(f"of_{n}" for n in names)])
     same = F.lit(True)
     for n in names:
         same = same & (F.col(n) == F.col(f"of_{n}"))
-    compared = members.where("id != kept").join(first, "kept").withColumn("same", same)
+    compared = members.where("id != kept").join(hashed(first), "kept").withColumn("same", same)
     sure = compared.where("same").select("kept", F.col("id").alias("copy"))
     clashed = compared.where("not same").drop("kept")
     again = clashed.groupBy(*names).agg(F.min("id").alias("kept"), F.max("id").alias("last")).where("kept < last").drop("last")
-    rest = clashed.join(again, names).where("id != kept").select("kept", F.col("id").alias("copy"))
+    rest = clashed.join(hashed(again), names).where("id != kept").select("kept", F.col("id").alias("copy"))
     return sure.unionByName(rest).distinct()
 
 
@@ -97,5 +98,5 @@ def collapse(df: DataFrame, key: str, forms: dict[str, Column]) -> DataFrame:
     """One row per distinct record: ``kept`` (its smallest key) and ``copies``, the number of records it stands for."""
     links = cut(duplicate_links(df, key, forms))
     more = links.groupBy("kept").agg(F.count("*").alias("more"))
-    alone = df.select(F.col(key).alias("kept")).where(F.col("kept").isNotNull()).distinct().join(links.select(F.col("copy").alias("kept")), "kept", "left_anti")
-    return alone.join(more, "kept", "left").select("kept", (F.lit(1) + F.coalesce("more", F.lit(0))).cast("bigint").alias("copies"))
+    alone = df.select(F.col(key).alias("kept")).where(F.col("kept").isNotNull()).distinct().join(links.select(F.col("copy").alias("kept")).hint("shuffle_hash"), "kept", "left_anti")
+    return alone.join(more.hint("shuffle_hash"), "kept", "left").select("kept", (F.lit(1) + F.coalesce("more", F.lit(0))).cast("bigint").alias("copies"))

@@ -60,3 +60,14 @@ def test_a_group_of_a_third_of_all_rows(spark):
     rows = [(k, "W1" if k % 3 == 0 else f"W9{k}", "same", None) for k in range(3000)]
     links = duplicate_links(table(spark, rows), "id", forms())
     assert links.count() == 999 and links.select("kept").distinct().collect() == [(0,)]
+
+
+def test_nothing_is_sorted(spark):
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for found in (duplicate_links(table(spark, ROWS), "id", forms()), collapse(table(spark, ROWS), "id", forms())):
+            found.collect()
+            plan = found._jdf.queryExecution().executedPlan().toString()
+            assert "ShuffledHashJoin" in plan and "Sort" not in plan
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from quillstream.runtime import cut
 
+FEW = 100_000  # names of groups that are broadcast at most
+
 
 def _usable(score: Column) -> Column:
     return score.isNotNull() & ~F.isnan(score)
@@ -21,9 +23,10 @@ def band_edges(rows: DataFrame, score: str, shares: tuple[float, ...]) -> list[f
 def top_n_per_group(df: DataFrame, group: str, item: str, score: str, tie: str | None = None, n: int = 3, shares: tuple[float, ...] = (0.02, 0.2)) -> DataFrame:
     """The ``n`` items of each group with the highest ``score``, then highest ``tie``, then smallest ``item``.
 
-    The score range is cut into bands that hold the given ``shares`` of the rows from the top. A band is read only
-    for groups that the bands above have not filled (anti-join); what lies in the band that fills a group is ranked exactly. Within a band
-    only rows that can still be among the ``n`` leave their map task, so a group of any size is never gathered.
+    The score range is cut into bands that hold the given ``shares`` of the rows from the top. Groups that the bands above have filled are left out of a band (anti-join, against
+    a broadcast table while they are at most ``FEW``), so that the rows of a large group are mostly dropped where they are read. Of the rest only the ``2 n`` first rows of each group leave their map task, and what lies in
+    the band that fills a group is ranked exactly, so a group of any size is never gathered. Where so few items
+    have so many rows that ``2 n`` rows don't hold ``n`` items, the group's items of the band are reduced to their best rows first.
 
     Result: ``group, item, score, tie, rank`` with ranks from 1. Rows with null group, null item or null or NaN score do not
     count. A null or NaN ``tie`` ranks below every number. An item that occurs more than once in a group counts once, with its best row.
@@ -36,7 +39,6 @@ def top_n_per_group(df: DataFrame, group: str, item: str, score: str, tie: str |
         F.col(group).alias("g"), F.col(item).alias("i"), F.col(score).cast("double").alias("s"), F.when(_usable(second), second).alias("t")
     )
     order = [F.desc("s"), F.desc_nulls_last("t"), F.asc("i")]
-    # one row an item, its best; fewer than n items are already kept from the bands above, so 2n items of a band surely hold n new ones
     single = lambda d: d.groupBy("g", "i").agg(F.max(F.struct("s", "t")).alias("best")).select("g", "i", "best.s", "best.t")
     best = lambda d, most: d.withColumn("r", F.row_number().over(Window.partitionBy("g").orderBy(*order))).where(F.col("r") <= most).drop("r")
     edges = band_edges(rows, "s", shares)
@@ -48,10 +50,18 @@ def top_n_per_group(df: DataFrame, group: str, item: str, score: str, tie: str |
             band = band.where(F.col("s") >= lower)
         if upper is not None:
             band = band.where(F.col("s") < upper)
+        filled, few = None, True
         if kept is not None:
-            filled = kept.groupBy("g").agg(F.count_distinct("i").alias("n")).where(F.col("n") >= n).select("g")
-            band = band.join(filled, "g", "left_anti")
-        found = cut(best(single(band), 2 * n))
+            filled = cut(kept.groupBy("g").agg(F.count_distinct("i").alias("n")).where(F.col("n") >= n).select("g"))
+            few = filled.count() <= FEW
+            if few:
+                band = band.join(F.broadcast(filled), "g", "left_anti")
+        near = best(band, 2 * n)
+        found = cut(near if few else near.join(filled, "g", "left_anti"))
+        # at most n - 1 items are kept from above, so n items surely hold those that fill the group; fewer do if these are all rows there are
+        short = cut(found.groupBy("g").agg(F.count("*").alias("rows"), F.count_distinct("i").alias("n")).where((F.col("rows") == 2 * n) & (F.col("n") < n)).select("g"))
+        if not short.isEmpty():
+            found = found.join(short, "g", "left_anti").unionByName(cut(best(single(band.join(short, "g", "left_semi")), n)))
         kept = found if kept is None else kept.unionByName(found)
         upper = lower
     once = kept.withColumn("k", F.row_number().over(Window.partitionBy("g", "i").orderBy(F.desc("s"), F.desc_nulls_last("t")))).where("k = 1")

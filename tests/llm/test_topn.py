@@ -3,6 +3,7 @@ import random
 
 import pytest
 
+from quillstream.llm import topn
 from quillstream.llm.topn import top_n_per_group
 
 SCHEMA = "grp string, item long, score double, tie double, g int, i int, s int"
@@ -20,7 +21,7 @@ def brute(rows, n):
 
 
 @pytest.mark.parametrize("seed", [1, 2])
-def test_equals_brute_force_with_dirt_ties_and_a_hot_group(spark, seed):
+def test_equals_brute_force_with_dirt_ties_and_a_hot_group(spark, seed, monkeypatch):
     rnd = random.Random(seed)
     rows = []
     for k in range(3000):
@@ -30,6 +31,9 @@ def test_equals_brute_force_with_dirt_ties_and_a_hot_group(spark, seed):
     rows += rows[:200]
     got = top_n_per_group(spark.createDataFrame(rows, SCHEMA), "grp", "item", "score", "tie", 3)
     assert {(r["grp"], r["item"]) for r in got.collect()} == brute(rows, 3)
+    monkeypatch.setattr(topn, "FEW", 0)  # without a broadcast
+    got = top_n_per_group(spark.createDataFrame(rows, SCHEMA), "grp", "item", "score", "tie", 3)
+    assert {(r["grp"], r["item"]) for r in got.collect()} == brute(rows, 3)
 
 
 def test_an_item_scored_more_often_than_a_band_keeps(spark):

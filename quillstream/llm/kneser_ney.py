@@ -6,7 +6,7 @@ from dataclasses import dataclass
 
 import numpy as np
 
-DISCOUNT = 0.75
+DISCOUNT = np.float64(0.75)  # counts are kept in single precision, probabilities are not
 
 
 def _at(keys: np.ndarray, wanted: np.ndarray) -> np.ndarray:
@@ -20,7 +20,7 @@ def _at(keys: np.ndarray, wanted: np.ndarray) -> np.ndarray:
 def _share(wide: np.ndarray, fine: np.ndarray, values: np.ndarray) -> np.ndarray:
     """Sums of ``values`` over the fine keys of each wide key, for each class, and a 0 at the end for what is not there."""
     at = np.searchsorted(wide, fine)
-    return np.stack([np.append(np.bincount(at, weights=v, minlength=len(wide)), 0.0) for v in values])
+    return np.stack([np.append(np.bincount(at, weights=v, minlength=len(wide)), 0.0) for v in values]).astype(np.float32)
 
 
 @dataclass
@@ -78,7 +78,7 @@ class Models:
 def fit(words: int, keys: list[np.ndarray], counts: list[np.ndarray]) -> Models:
     """``keys`` of each class: (first * words + second) * words + third, unique; ``counts`` of each."""
     tri = np.unique(np.concatenate(keys)).astype(np.int64)
-    tri_n = np.zeros((2, len(tri) + 1))
+    tri_n = np.zeros((2, len(tri) + 1), np.float32)
     for k in (0, 1):
         tri_n[k][np.searchsorted(tri, keys[k])] = counts[k]
     has = (tri_n[:, :-1] > 0).astype(float)

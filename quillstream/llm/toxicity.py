@@ -10,6 +10,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -353,8 +354,8 @@ def _worst(units: Units, score: np.ndarray, n: int) -> np.ndarray:
     return out
 
 
-def _judged(marked: DataFrame, judges: list[Classifier] | list[Contrast], first: bool) -> DataFrame:
-    """The rows with their units classed anew by the judge that hasn't seen their fold, and ``worst``, the highest score in the document."""
+def _judged(marked: DataFrame, judges: list[Classifier] | list[Contrast], first: bool) -> tuple[DataFrame, Broadcast]:
+    """The rows with their units classed anew by the judge that hasn't seen their fold, and ``worst``, the highest score in the document; and the broadcast judges, to be dropped once the rows are there."""
     held = marked.sparkSession.sparkContext.broadcast(judges)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -371,7 +372,7 @@ def _judged(marked: DataFrame, judges: list[Classifier] | list[Contrast], first:
                 cols = [*(batch.column(c) for c in ("doc_id", "toxic", "weight", "fold", "stream")), pa.array([kinds[a:b].tobytes() for a, b in zip(ends, ends[1:])], pa.binary()), pa.array(worst, mask=np.isnan(worst))]
                 yield pa.RecordBatch.from_arrays(cols, names=[*(c.split()[0] for c in STREAMS.split(", ")), "worst"])
 
-    return marked.select("doc_id", "toxic", "weight", "fold", "stream").mapInArrow(run, f"{STREAMS}, worst double")
+    return marked.select("doc_id", "toxic", "weight", "fold", "stream").mapInArrow(run, f"{STREAMS}, worst double"), held
 
 
 def best_threshold(score: np.ndarray, toxic: np.ndarray, weight: np.ndarray) -> float:
@@ -401,10 +402,13 @@ def train(documents: DataFrame, labels: DataFrame, most: int = 4000, rounds: int
     size = len(vocabulary.number)
     for step in range(rounds + 1):
         counts = _counts(marked, size)
-        marked = cut(_judged(marked, [(_models if step else _contrast)(counts, vocabulary, f) for f in range(FOLDS)], not step))
+        judged, held = _judged(marked, [(_models if step else _contrast)(counts, vocabulary, f) for f in range(FOLDS)], not step)
+        marked = cut(judged)
+        held.destroy()
     counts = _counts(marked, size)
-    last = _judged(marked, [_models(counts, vocabulary, f) for f in range(FOLDS)], False)
+    last, held = _judged(marked, [_models(counts, vocabulary, f) for f in range(FOLDS)], False)
     per = last.where("worst is not null").select("worst", "toxic", "weight").toArrow()
+    held.destroy()
     model = _models(counts, vocabulary, None)
     best = best_threshold(*(per.column(c).to_numpy(zero_copy_only=False).astype(float) for c in ("worst", "toxic", "weight"))) if per.num_rows else least
     model.threshold = max(best, least)

@@ -12,10 +12,9 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
-CHILD_ROWS = "child string, pos int, sub_pos int, fields map<string,string>"
-
 
 @dataclass
 class Levels:
@@ -80,35 +79,51 @@ def shred(column: pa.Array) -> dict[tuple[str, ...], Levels]:
     return out
 
 
-def rebuild(levels: dict[tuple[str, ...], Levels], under: tuple[str, ...], depth: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[list[tuple[str, str]]]]:
-    """Rows of the ancestor ``under``, an element of a list of ``depth`` (0: no list): record, index in the outer list, index in the inner one, fields.
+@dataclass
+class Rows:
+    """Rows of one flat table: the record each belongs to, its index in the outer and in the inner list, and its columns by name."""
+
+    record: np.ndarray
+    outer: np.ndarray
+    inner: np.ndarray
+    columns: dict[str, pa.Array]
+
 
-    An element counts if any leaf below it, however deep, has a value; indexes count all elements. Fields are the non-null values of leaves that repeat no further.
+def rebuild(levels: dict[tuple[str, ...], Levels], under: tuple[str, ...], depth: int, told: bool = True) -> Rows:
+    """Rows of the ancestor ``under``, an element of a list of ``depth`` (0: no list, the record itself).
+
+    An element counts if any leaf below it, however deep, has a value; indexes count all elements. Columns are the leaves that repeat no further. Every leaf below an ancestor
+    numbers its elements alike, so a column is one take of the leaf's values at the entries of the elements that count. ``told``: whether columns are wanted.
     """
-    found: dict[tuple[int, int, int], dict[str, str]] = {}
-    for path, lv in levels.items():
-        if path[: len(under)] != under:
-            continue
-        keep = lv.dfn >= lv.full
-        outer = np.full(len(lv.row), -1)
-        inner = outer
-        if depth >= 1:
-            inside, outer, _ = lv.elements(1)
-            keep = keep & inside
-        if depth >= 2:
-            inside, inner, _ = lv.elements(2)
-            keep = keep & inside
-        where = np.flatnonzero(keep)
-        name = ".".join(path[len(under) :]) or path[-1]
-        flat = len(lv.present) == depth
-        texts = lv.values.take(pa.array(where)).to_pylist() if flat else None
-        for k, key in enumerate(zip(lv.row[where].tolist(), outer[where].tolist(), inner[where].tolist())):
-            fields = found.setdefault(key, {})
-            if flat:
-                fields[name] = texts[k]
-    keys = list(found)
-    rows, outer, inner = (np.array([k[j] for k in keys], dtype=np.int64) for j in range(3))
-    return rows, outer, inner, [list(found[k].items()) for k in keys]
+    below = {path: lv for path, lv in levels.items() if path[: len(under)] == under}
+    size, found, at = 0, [], {}
+    for path, lv in below.items():
+        if depth:
+            inside, index, number = lv.elements(depth)
+        else:
+            inside, index, number = np.ones(len(lv.row), bool), np.full(len(lv.row), -1), lv.row
+        if not found:
+            # the first entry of each element tells its place
+            first = np.flatnonzero(inside & (np.diff(number, prepend=-1) > 0)) if depth else np.flatnonzero(np.diff(number, prepend=-1) > 0)
+            record = lv.row[first]
+            outer = lv.elements(1)[1][first] if depth == 2 else index[first]
+            inner = index[first] if depth == 2 else np.full(len(first), -1)
+            size = len(first)
+            present = np.zeros(size, bool)
+        where = np.flatnonzero(inside & (lv.dfn >= lv.full))
+        present[number[where]] = True
+        found.append(path)
+        if told and len(lv.present) == depth:
+            entry = np.full(size, -1)
+            entry[number[where]] = where
+            at[path] = entry
+    if not found:
+        none = np.zeros(0, np.int64)
+        return Rows(none, none, none, {})
+    keep = np.flatnonzero(present)
+    names = {path: ".".join(path[len(under) :]) or path[-1] for path in at}
+    columns = {names[p]: below[p].values.take(pa.array(e[keep], mask=e[keep] < 0)) if len(below[p].values) else pa.nulls(len(keep), below[p].values.type) for p, e in at.items()}
+    return Rows(record[keep], outer[keep], inner[keep], columns)
 
 
 @dataclass(frozen=True)
@@ -127,34 +142,50 @@ class Child:
     told: tuple[str, ...] = ()
 
 
-def _whole(text: str | None) -> int:
-    try:
-        return int(text)
-    except (TypeError, ValueError):
-        return -1
-
-
-def place_by_value(levels: dict[tuple[str, ...], Levels], child: Child) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[list[tuple[str, str]]]]:
-    """Rows of a child whose values are positions."""
+def place_by_value(levels: dict[tuple[str, ...], Levels], child: Child) -> Rows:
+    """Rows of a child whose values are positions: one for each position of a record, told the smallest text."""
     lv, told = levels[child.under], levels[child.told]
-    _, outer, _ = told.elements(1)
-    where = np.flatnonzero(told.dfn >= told.full)
-    texts = dict(zip(zip(told.row[where].tolist(), outer[where].tolist()), told.values.take(pa.array(where)).to_pylist()))
-    inside, outer, _ = lv.elements(1)
+    inside, entry, _ = lv.elements(1)
     where = np.flatnonzero(inside & (lv.dfn >= lv.full))
-    found: dict[tuple[int, int], str] = {}
-    for row, entry, value in zip(lv.row[where].tolist(), outer[where].tolist(), lv.values.take(pa.array(where)).to_pylist()):
-        spot = _whole(value)
-        if 0 <= spot < 2**31:
-            text = texts.get((row, entry), "")
-            if text <= found.get((row, spot), text):
-                found[row, spot] = text
-    rows, spots = (np.array([k[j] for k in found], dtype=np.int64) for j in range(2))
-    return rows, spots, np.full(len(rows), -1), [[(child.told[-1], t)] for t in found.values()]
+    texts = lv.values.take(pa.array(where))
+    good = pc.fill_null(pc.match_substring_regex(texts, r"^\s*\+?[0-9]{1,18}\s*$"), False).to_numpy(zero_copy_only=False)
+    where = where[good]
+    spot = pc.utf8_ltrim(pc.utf8_trim_whitespace(texts.filter(pa.array(good))), "+").cast(pa.int64()).to_numpy()
+    where, spot = where[spot < 2**31], spot[spot < 2**31]
+    record, entry = lv.row[where], entry[where]
+    # the text of the outer element that each position stands in: both leaves number the outer elements alike
+    _, _, number = lv.elements(1)
+    inside, _, told_number = told.elements(1)
+    text_at = np.full(int(max(number.max(initial=-1), told_number.max(initial=-1))) + 1, -1)
+    have = np.flatnonzero(inside & (told.dfn >= told.full))
+    text_at[told_number[have]] = have
+    held = text_at[number[where]]
+    words = told.values.dictionary_encode()
+    order = pc.array_sort_indices(words.dictionary).to_numpy()
+    rank = np.empty(len(order) + 1, np.int64)
+    rank[order] = np.arange(len(order))
+    rank[-1] = -1  # no text, which comes first
+    codes = np.append(pc.fill_null(words.indices, len(order)).to_numpy(zero_copy_only=False).astype(np.int64), len(order))
+    by = np.lexsort((rank[codes[held]], spot, record))
+    record, spot, held = record[by], spot[by], held[by]
+    first = np.ones(len(by), bool)
+    first[1:] = (record[1:] != record[:-1]) | (spot[1:] != spot[:-1])
+    record, spot, held = record[first], spot[first], held[first]
+    column = told.values.take(pa.array(held, mask=held < 0)) if len(told.values) else pa.nulls(len(held), told.values.type)
+    return Rows(record, spot, np.full(len(record), -1), {child.told[-1]: column})
+
+
+def _rows_of(levels: dict[tuple[str, ...], Levels], child: Child, told: bool) -> Rows:
+    if child.placed:
+        return place_by_value(levels, child)
+    rows = rebuild(levels, child.under, child.depth, told)
+    if not child.depth:
+        rows.outer = np.zeros(len(rows.record), np.int64)
+    return rows
 
 
 def child_rows(df: DataFrame, key: str, children: list[Child]) -> DataFrame:
-    """``key, child, pos, sub_pos, fields``: one row per element of each repeated ancestor, linked to its record and its place in it.
+    """``key, child, pos, sub_pos``: one row per element of each repeated ancestor, linked to its record and its place in it.
 
     ``pos`` is the index in the outer list, ``sub_pos`` that in the inner one; with no list above they are 0 and -1. Leaves must be
     strings. Null and empty columns, lists and objects give no row, and neither does an object without any non-null value, though
@@ -164,25 +195,28 @@ def child_rows(df: DataFrame, key: str, children: list[Child]) -> DataFrame:
     kind = df.select(key).schema[0].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = None
         for batch in batches:
             levels = {c: shred(batch.column(c)) for c in columns}
-            ids = batch.column(key)
             for child in children:
-                if child.placed:
-                    rows, outer, inner, fields = place_by_value(levels[child.column], child)
-                else:
-                    rows, outer, inner, fields = rebuild(levels[child.column], child.under, child.depth)
-                if child.depth == 0 and not child.placed:
-                    outer = np.zeros(len(rows), np.int64)
-                data = [
-                    ids.take(pa.array(rows)),
-                    pa.array([child.name] * len(rows), pa.string()),
-                    pa.array(outer, pa.int32()),
-                    pa.array(inner, pa.int32()),
-                    pa.array(fields, pa.map_(pa.string(), pa.string())),
-                ]
-                schema = schema or pa.schema(list(zip([key, "child", "pos", "sub_pos", "fields"], [a.type for a in data])))
-                yield pa.RecordBatch.from_arrays(data, schema=schema)
-
-    return df.select(key, *columns).mapInArrow(run, f"`{key}` {kind}, {CHILD_ROWS}")
+                rows = _rows_of(levels[child.column], child, False)
+                name = pa.DictionaryArray.from_arrays(pa.array(np.zeros(len(rows.record), np.int32)), [child.name]).cast(pa.string())
+                data = [batch.column(key).take(pa.array(rows.record)), name, pa.array(rows.outer, pa.int32()), pa.array(rows.inner, pa.int32())]
+                yield pa.RecordBatch.from_arrays(data, names=[key, "child", "pos", "sub_pos"])
+
+    return df.select(key, *columns).mapInArrow(run, f"`{key}` {kind}, child string, pos int, sub_pos int")
+
+
+def child_table(df: DataFrame, key: str, child: Child, columns: dict[str, str]) -> DataFrame:
+    """``key, pos, sub_pos`` and the named leaves of one child as columns of their own, as texts; ``columns``: leaf (below the ancestor, with dots) to column. See ``child_rows``."""
+    kind = df.select(key).schema[0].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = _rows_of(shred(batch.column(child.column)), child, True)
+            n = len(rows.record)
+            data = [batch.column(key).take(pa.array(rows.record)), pa.array(rows.outer, pa.int32()), pa.array(rows.inner, pa.int32())]
+            data += [rows.columns[leaf].cast(pa.string()) if leaf in rows.columns else pa.nulls(n, pa.string()) for leaf in columns]
+            yield pa.RecordBatch.from_arrays(data, names=[key, "pos", "sub_pos", *columns.values()])
+
+    types = "".join(f", `{c}` string" for c in columns.values())
+    return df.select(key, child.column).mapInArrow(run, f"`{key}` {kind}, pos int, sub_pos int{types}")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillstream.operators.shredding import Child, child_rows
+from quillstream.operators.shredding import Child, child_rows, child_table
 from quillstream.sources.json_lines import elements, field_texts
 
 HOST = "struct<name:string,lineage:array<string>>"
@@ -22,6 +22,12 @@ CHILDREN = [
     Child("open_access", "open_access"),
     Child("abstract_word", "abstract_inverted_index", ("value",), placed=True, told=("key",)),
 ]
+PLACE_LEAVES = {n: n.replace(".", "_") for n in ("is_oa", "landing_page_url", "pdf_url", "license", "version", "source.id", "source.display_name", "source.type", "source.host.name")}
+LEAVES = {
+    "locations": PLACE_LEAVES, "best_oa_location": PLACE_LEAVES, "open_access": {n: n for n in ("is_oa", "oa_status", "oa_url", "any_repository_has_fulltext")},
+    "locations_issn": {"issn": "issn"}, "locations_lineage": {"lineage": "lineage"}, "abstract_word": {"key": "word"},
+}
+TRUTH = {"is_oa", "any_repository_has_fulltext"}
 
 
 def _object(text: Column, schema: str) -> Column:
@@ -64,9 +70,23 @@ def works_of_table(works: DataFrame, key: str) -> DataFrame:
     )
 
 
+def _works(works: DataFrame, lines: DataFrame, key: str) -> DataFrame:
+    return works_of_table(works, key).unionByName(works_of_lines(lines, "payload", key))
+
+
 def work_children(works: DataFrame, lines: DataFrame, key: str = "record_id") -> DataFrame:
-    """All child rows of the works of both feeds (``record_id, child, pos, sub_pos, fields``), a row per record and place.
+    """All child rows of the works of both feeds (``record_id, child, pos, sub_pos``), a row per record and place.
+
+    ``abstract_word`` has one row per distinct non-negative position.
+    """
+    return child_rows(_works(works, lines, key), key, CHILDREN)
+
+
+def work_table(works: DataFrame, lines: DataFrame, name: str, key: str = "record_id") -> DataFrame:
+    """The flat table of one child of the works of both feeds: ``record_id, pos, sub_pos`` and its leaves; truth values are booleans, all else is text.
 
-    ``abstract_word`` has one row per distinct non-negative position, its field ``key`` the smallest word at it.
+    Works lead to it by ``record_id``, elements of a location to theirs by ``(record_id, pos)``. Only the column that it comes from is read. A word is the smallest at its position.
     """
-    return child_rows(works_of_table(works, key).unionByName(works_of_lines(lines, "payload", key)), key, CHILDREN)
+    child = next(c for c in CHILDREN if c.name == name)
+    rows = child_table(_works(works, lines, key), key, child, LEAVES[name])
+    return rows.select(*(F.expr(f"try_cast(`{c}` as boolean)").alias(c) if c in TRUTH else F.col(c) for c in rows.columns))

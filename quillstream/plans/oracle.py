@@ -58,6 +58,14 @@ def _scored() -> str:
 )"""
 
 
+
+
+def _leaves(item: str, names: list[str]) -> str:
+    """Leaves of a JSON object as columns, truth values as booleans."""
+    text = lambda c: f"{item} ->> '$.{c}'"
+    return ", ".join(f"{f'TRY_CAST({text(c)} AS BOOLEAN)' if c in ('is_oa', 'any_repository_has_fulltext') else text(c)} AS {c.replace('.', '_')}" for c in names)
+
+
 LOCATION = ["is_oa", "landing_page_url", "pdf_url", "license", "version", "source.id", "source.display_name", "source.type", "source.host.name"]
 CHUNKS = "docs AS (SELECT DISTINCT ON (vector_id) * FROM chunks)"
 STOP = ", ".join(f"'{w}'" for w in STOPWORDS)
@@ -155,7 +163,14 @@ def oracle_sql() -> dict[str, str]:
             UNION ALL SELECT record_id, child, CAST(pos AS INT), CAST(sub_pos AS INT) FROM inner_ WHERE json_type(x) <> 'NULL'
             UNION ALL SELECT record_id, 'best_oa_location', 0, -1 FROM src WHERE {SOME.format('b')} UNION ALL SELECT record_id, 'open_access', 0, -1 FROM src WHERE {SOME.format('o')}
             UNION ALL SELECT record_id, 'abstract_word', pos, -1 FROM words WHERE pos >= 0""",
-        "p3_locations": f"""WITH {NESTED} SELECT record_id, CAST(pos AS INT) AS pos, {", ".join(f"item ->> '$.{c}' AS {c.replace('.', '_')}" for c in LOCATION)} FROM places WHERE {SOME.format('item')}""",
+        "p3_locations": f"""WITH {NESTED} SELECT record_id, CAST(pos AS INT) AS pos, {_leaves('item', LOCATION)} FROM places WHERE {SOME.format('item')}""",
+        "p3_best_oa_location": f"""WITH {NESTED} SELECT record_id, {_leaves('b', LOCATION)} FROM src WHERE {SOME.format('b')}""",
+        "p3_open_access": f"""WITH {NESTED} SELECT record_id, {_leaves('o', ["is_oa", "oa_status", "oa_url", "any_repository_has_fulltext"])} FROM src WHERE {SOME.format('o')}""",
+        "p3_issn": f"""WITH {NESTED} SELECT record_id, CAST(pos AS INT) AS pos, CAST(sub_pos AS INT) AS sub_pos, x ->> '$' AS issn FROM inner_ WHERE child = 'locations_issn' AND json_type(x) <> 'NULL'""",
+        "p3_lineage": f"""WITH {NESTED} SELECT record_id, CAST(pos AS INT) AS pos, CAST(sub_pos AS INT) AS sub_pos, x ->> '$' AS lineage FROM inner_ WHERE child = 'locations_lineage' AND json_type(x) <> 'NULL'""",
+        "p3_abstract_words": f"""WITH {NESTED}, named AS (SELECT record_id, unnest(json_keys(a)) AS word, a FROM src WHERE json_type(a) = 'OBJECT'),
+            at_ AS (SELECT record_id, word, unnest(json_extract(list_extract(map_values(CAST(a AS MAP(VARCHAR, JSON))), list_position(map_keys(CAST(a AS MAP(VARCHAR, JSON))), word)), '$[*]')) AS p FROM named)
+            SELECT record_id, TRY_CAST(CAST(p AS VARCHAR) AS INT) AS pos, min(word) AS word FROM at_ WHERE TRY_CAST(CAST(p AS VARCHAR) AS INT) >= 0 GROUP BY ALL""",
         "token_counts": f"SELECT doc_id, {counted('text')} AS tokens, length(text) AS characters, md5({squeezed('text')}) AS squeezed FROM documents",
         "last_tokens": f"""SELECT doc_id, md5(CASE WHEN text IS NULL THEN NULL WHEN len(p) = 0 THEN '' ELSE trim(array_to_string(p[greatest(len(p) - 49, 1):], '')) END) AS tail
             FROM (SELECT doc_id, text, regexp_extract_all(text, '(?:{TOKEN})[{SPACE}]*') AS p FROM documents)""",

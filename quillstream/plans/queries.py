@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from quillstream.functions import ids, nested, text
 from quillstream.operators import chunking, dedup, grading, joins, search, selection
-from quillstream.operators.works import work_children
+from quillstream.operators.works import work_children, work_table
 from quillstream.plans.oracle import oracle_sql
 from quillstream.plans.settings import CUTOFF, FAILS, LEXICON, WINDOW
 from quillstream.runtime import cut, shared_folder, table
@@ -24,19 +24,37 @@ def _chunks(spark: SparkSession, d: str, *columns: str) -> DataFrame:
     return table(spark, d, "chunks").select("vector_id", *columns).distinct()
 
 
-def _work_children(spark: SparkSession, d: str) -> DataFrame:
-    return work_children(table(spark, d, "works"), table(spark, d, "raw_lines").where("feed = 'works'"))
+def _feeds(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    return table(spark, d, "works"), table(spark, d, "raw_lines").where("feed = 'works'")
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
-    return _work_children(spark, d).select("record_id", "child", "pos", "sub_pos")
+    return work_children(*_feeds(spark, d))
 
 
 def p3_locations(spark: SparkSession, d: str) -> DataFrame:
     """The flat table of locations; works lead to it by record_id, its own children by (record_id, pos)."""
-    names = ["is_oa", "landing_page_url", "pdf_url", "license", "version", "source.id", "source.display_name", "source.type", "source.host.name"]
-    rows = _work_children(spark, d).where("child = 'locations'")
-    return rows.select("record_id", "pos", *(F.col("fields")[n].alias(n.replace(".", "_")) for n in names))
+    return work_table(*_feeds(spark, d), "locations").drop("sub_pos")
+
+
+def p3_issn(spark: SparkSession, d: str) -> DataFrame:
+    return work_table(*_feeds(spark, d), "locations_issn")
+
+
+def p3_lineage(spark: SparkSession, d: str) -> DataFrame:
+    return work_table(*_feeds(spark, d), "locations_lineage")
+
+
+def p3_best_oa_location(spark: SparkSession, d: str) -> DataFrame:
+    return work_table(*_feeds(spark, d), "best_oa_location").drop("pos", "sub_pos")
+
+
+def p3_open_access(spark: SparkSession, d: str) -> DataFrame:
+    return work_table(*_feeds(spark, d), "open_access").drop("pos", "sub_pos")
+
+
+def p3_abstract_words(spark: SparkSession, d: str) -> DataFrame:
+    return work_table(*_feeds(spark, d), "abstract_word").drop("sub_pos")
 
 
 # functions
@@ -373,7 +391,7 @@ def keyword_coverage(spark: SparkSession, d: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = (
         hybrid_search, bm25_topk, corrected_search, nearest_vectors, fused_candidates, capped_candidates, merged_evidence, rank_metrics, evaluation_report, keyword_coverage, evidence_routes, evidence_contexts,
-        p3_found, p3_locations, token_counts, last_tokens, work_identifiers, title_keys, abstracts, paper_texts, encoder_texts, open_pdf_urls, url_hosts, date_windows,
+        p3_found, p3_locations, p3_issn, p3_lineage, p3_best_oa_location, p3_open_access, p3_abstract_words, token_counts, last_tokens, work_identifiers, title_keys, abstracts, paper_texts, encoder_texts, open_pdf_urls, url_hosts, date_windows,
         section_profile, window_chunks, sentence_chunks, chunk_report, chunk_profile, parsed_xml, discovery_dedup, latest_candidates, greedy_dedup, parsed_union, numbered_chunks,
         paper_dates, dated_chunks, coverage, repaired_ids, screening, remaining_chunks, relevance_scores, failure_counts, score_histogram, discovery_report, audit_counts, index_terms,
         event_windows, ingested_lines,

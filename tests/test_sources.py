@@ -1,8 +1,8 @@
 import pyarrow as pa
 from pyspark.sql import functions as F
 
-from quillstream.operators.shredding import Child, child_rows, shred
-from quillstream.operators.works import work_children
+from quillstream.operators.shredding import Child, child_table, shred
+from quillstream.operators.works import LEAVES, work_children, work_table
 from quillstream.sources import xml_papers
 from quillstream.sources.json_lines import elements, field_texts, is_json_object
 from quillstream.streaming import ingest
@@ -50,17 +50,25 @@ def test_children_of_columns_and_lines(spark):
             (2, "open_access", 0, -1), (4, "locations", 0, -1), (4, "locations_issn", 0, 0), (4, "open_access", 0, -1), (4, "abstract_word", 3, -1), (5, "locations", 2, -1),
         ]
     )
-    fields = {(r["record_id"], r["child"], r["pos"], r["sub_pos"]): r["fields"] for r in got}
-    assert fields[1, "locations", 1, -1] == {"is_oa": "true", "source.id": "S1", "source.host.name": "h"}
-    assert fields[1, "locations_issn", 1, 2] == {"issn": "i2"} and fields[1, "abstract_word", 0, -1] == {"key": "a"}
-    empty = work_children(spark.createDataFrame([], WORKS), spark.createDataFrame([], "record_id long, payload string"))
-    assert empty.collect() == []
+    works, feed = spark.createDataFrame(rows, WORKS), spark.createDataFrame(lines, "record_id long, payload string")
+    tables = {name: {(r["record_id"], r["pos"], r["sub_pos"]): {k: v for k, v in r.asDict().items() if v is not None and k not in ("record_id", "pos", "sub_pos")} for r in work_table(works, feed, name).collect()} for name in LEAVES}
+    assert sorted((i, name, pos, sub) for name, found in tables.items() for i, pos, sub in found) == places
+    assert tables["locations"][1, 1, -1] == {"is_oa": True, "source_id": "S1", "source_host_name": "h"}
+    assert tables["locations_issn"][1, 1, 2] == {"issn": "i2"} and tables["abstract_word"][1, 0, -1] == {"word": "a"}
+    nothing = spark.createDataFrame([], WORKS), spark.createDataFrame([], "record_id long, payload string")
+    assert work_children(*nothing).collect() == [] and all(work_table(*nothing, name).collect() == [] for name in LEAVES)
+
+
+def test_odd_positions_and_the_smallest_word(spark):
+    lines = [(1, '{"abstract_inverted_index": {"b": ["2", 1.5, -1, null, 2147483648, "x"], "a": [2, 2], "": [7], "c": 3}}')]
+    got = work_table(spark.createDataFrame([], WORKS), spark.createDataFrame(lines, "record_id long, payload string"), "abstract_word").collect()
+    assert sorted((r["pos"], r["word"]) for r in got) == [(2, "a"), (3, "c"), (7, "")]
 
 
 def test_children_lead_back_to_their_parents(spark, small):
     works = spark.read.parquet(f"{small}/works.parquet")
-    rows = child_rows(works.select("record_id", F.expr("transform(locations, l -> struct(l.pdf_url as pdf_url))").alias("locations")), "record_id", [Child("l", "locations", (), 1)])
-    back = rows.select("record_id", "pos", F.col("fields")["pdf_url"].alias("u"))
+    rows = child_table(works.select("record_id", F.expr("transform(locations, l -> struct(l.pdf_url as pdf_url))").alias("locations")), "record_id", Child("l", "locations", (), 1), {"pdf_url": "u"})
+    back = rows.select("record_id", "pos", "u")
     direct = works.select("record_id", F.posexplode("locations").alias("pos", "l")).select("record_id", "pos", F.col("l.pdf_url").alias("u")).where("u is not null")
     assert back.exceptAll(direct).isEmpty() and direct.exceptAll(back).isEmpty()
 

@@ -231,13 +231,13 @@ def _planner(tables: list[dict], total: int, most: int, overlap: int) -> Planner
     return Planner(np.concatenate(at), np.concatenate(kind), total, most, overlap)
 
 
-def _planned(blocks: DataFrame, keys: list[str], most: int, overlap: int, block: int) -> DataFrame:
+def _planned(stitched: DataFrame, keys: list[str], most: int, overlap: int, block: int) -> DataFrame:
     """``keys, total, piece, begin, size, ends_at, range_no``: every piece of every item; ``begin`` counts tokens of the item, and ``range_no`` is the range that holds that token.
 
     The first block of an item is planned at once. In each later block the piece that comes over from the block before may end at any of the first ``most`` places, so it gives
     a table of where each of these leads; following these tables from block to block, a few numbers each, tells where each block begins, and then all are planned at the same time.
     """
-    types = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in blocks.select(*keys).schema)
+    types = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in stitched.select(*keys).schema)
 
     def exits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -284,9 +284,9 @@ def _planned(blocks: DataFrame, keys: list[str], most: int, overlap: int, block:
             data = [*(batch.column(c).take(at) for c in (*keys, "total")), *(pa.array(c, t) for c, t in zip(cols, kinds))]
             yield pa.RecordBatch.from_arrays(data, names=[*keys, "total", *(c.split()[0] for c in PLAN.split(", "))])
 
-    blocks = blocks.withColumn("entry", F.lit(0).cast("long")).withColumn("before_it", F.lit(0).cast("long"))
-    single = blocks.where(F.col("total") <= block)
-    later = blocks.where(F.col("total") > block).drop("entry", "before_it")
+    at_start = {"entry": F.lit(0).cast("long"), "before_it": F.lit(0).cast("long")}
+    single = _blocks(stitched.where(F.col("total") <= block), keys, most, overlap, block).withColumns(at_start)
+    later = _blocks(stitched.where(F.col("total") > block), keys, most, overlap, block)
     steps = later.mapInArrow(exits, f"{types}, block long, ends array<int>, pieces array<int>")
     steps = steps.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("block", "ends", "pieces"))).alias("steps"))
     entries = steps.mapInArrow(follow, f"{types}, block long, entry long, before_it long").select(*(F.col(k).alias(f"s_{k}") for k in keys), F.col("block").alias("s_block"), "entry", "before_it")
@@ -304,8 +304,8 @@ def _check(most: int, overlap: int, size: int, block: int) -> None:
 
 def _plan(rows: DataFrame, plain: list[str], max_tokens: int, overlap: int, range_chars: int, block: int) -> DataFrame:
     _check(max_tokens, overlap, range_chars, block)
-    tables = _table_ranges(rows, plain, "t", range_chars)
-    return _planned(_blocks(_stitched(tables, plain), plain, max_tokens, overlap, block), plain, max_tokens, overlap, block)
+    tables = cut(_table_ranges(rows, plain, "t", range_chars))
+    return _planned(cut(_stitched(tables, plain)), plain, max_tokens, overlap, block)
 
 
 def _plain(df: DataFrame, keys: list[str], text: str) -> tuple[DataFrame, list[str]]:
@@ -469,8 +469,8 @@ def split_files(spark: SparkSession, paths: str | list[str], max_tokens: int = 3
             data = [batch.column("path"), batch.column("range_no"), pa.array([n for n, _ in found], pa.int64()), pa.array([c for _, c in found], pa.binary()), pa.array([False] * len(found), pa.bool_())]
             yield pa.RecordBatch.from_arrays(data, names=["path", *(c.split()[0] for c in TABLE.split(", "))])
 
-    stitched = cut(_stitched(_per_range(ranges).mapInArrow(tables, f"path string, {TABLE}"), ["path"]))
-    plans = _planned(_blocks(stitched, ["path"], max_tokens, overlap, block), ["path"], max_tokens, overlap, block)
+    stitched = cut(_stitched(cut(_per_range(ranges).mapInArrow(tables, f"path string, {TABLE}")), ["path"]))
+    plans = _planned(stitched, ["path"], max_tokens, overlap, block)
     where = stitched.select("path", "range_no", "before").join(files, "path")
     local = plans.join(where, ["path", "range_no"]).withColumn("local", F.col("begin") - F.col("before"))
     wanted = local.groupBy("path", "length", "range_no").agg(F.array_sort(F.collect_list(F.struct("piece", "local", "size", "ends_at"))).alias("pieces"))

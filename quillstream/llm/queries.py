@@ -85,6 +85,7 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 CAPACITY = 2048
+TIGHT = 640
 
 
 def p6_containers(spark: SparkSession, d: str) -> DataFrame:
@@ -95,6 +96,21 @@ def p6_fill(spark: SparkSession, d: str) -> DataFrame:
     return packing.fill_report(p6_containers(spark, d), CAPACITY)
 
 
+def p6_whole(spark: SparkSession, d: str) -> DataFrame:
+    """Documents that are packed, those in more than one container though none of their parts is a full one, and containers over the capacity."""
+    packed = p6_containers(spark, d)
+    return packing.soundness(packed, "doc_id", CAPACITY)
+
+
+def p6_tight(spark: SparkSession, d: str) -> DataFrame:
+    """All documents in containers that hold few of them, where it matters how they are combined: containers by evolution, by best-fit alone, and the fewest that could do."""
+    sizes = cut(tokens.token_sizes(table(spark, d, "documents"), ["doc_id"], "text"))
+    found = packing.fill_report(packing.pack(sizes, "doc_id", "tokens", TIGHT), TIGHT).select("containers", "least_containers", "over")
+    fitted = packing.fill_report(packing.pack(sizes, "doc_id", "tokens", TIGHT, rounds=0), TIGHT).select(F.col("containers").alias("best_fit_containers"))
+    both = found.unionByName(fitted, allowMissingColumns=True)
+    return both.agg(*(F.max(c).alias(c) for c in ("containers", "best_fit_containers", "least_containers", "over")))
+
+
 def p7_mix(spark: SparkSession, d: str) -> DataFrame:
     sizes = tokens.token_sizes(table(spark, d, "documents"), ["source", "doc_id"], "text").withColumnRenamed("doc_id", "item")
     return mixing.mix(sizes, table(spark, d, "source_targets")).withColumnRenamed("item", "doc_id")
@@ -118,7 +134,7 @@ def p8_rates(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p1_recall, p1_neighbours, p2_found, p2_collapsed, p4_found, p4_pieces, p4_files, p5_found, p6_containers, p6_fill, p7_mix, p7_shares, p8_found, p8_scores, p8_rates)}
+    return {f.__name__: f for f in (p1_found, p1_recall, p1_neighbours, p2_found, p2_collapsed, p4_found, p4_pieces, p4_files, p5_found, p6_containers, p6_fill, p6_whole, p6_tight, p7_mix, p7_shares, p8_found, p8_scores, p8_rates)}
 
 
 P5_SQL = """
@@ -209,4 +225,4 @@ SELECT DISTINCT least(a, b) AS vector_id_a, greatest(a, b) AS vector_id_b FROM r
 def oracle_sql() -> dict[str, str]:
     pairs = "SELECT kept AS kept_record_id, record_id AS copy_record_id FROM g WHERE kept < record_id"
     kept = "SELECT kept AS kept_record_id, copies FROM g WHERE kept = record_id"
-    return {"p1_found": P1_SQL, "p2_found": _p2_sql(pairs), "p2_collapsed": _p2_sql(kept), "p4_found": P4_SQL, "p4_pieces": P4_PIECES, "p4_files": P4_FILES, "p5_found": P5_SQL}
+    return {"p1_found": P1_SQL, "p2_found": _p2_sql(pairs), "p2_collapsed": _p2_sql(kept), "p4_found": P4_SQL, "p4_pieces": P4_PIECES, "p4_files": P4_FILES, "p5_found": P5_SQL, "p6_whole": "SELECT count(*) AS documents, CAST(0 AS BIGINT) AS cut_small, CAST(0 AS BIGINT) AS over FROM documents"}

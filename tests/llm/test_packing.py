@@ -1,6 +1,6 @@
 import numpy as np
 
-from quillstream.llm.packing import compact, crossover, evolve, fill_report, fitness, pack
+from quillstream.llm.packing import compact, crossover, decreasing, evolve, fewest, fill_report, fitness, pack, refill, soundness
 
 SCHEMA = "doc long, size long, shard int, tokens int, item int"
 
@@ -42,3 +42,39 @@ def test_evolution_keeps_items_and_does_not_get_worse():
         assert len(p) == 200 and np.bincount(p, weights=sizes).max() <= 1000 and np.bincount(p, weights=sizes).min() > 0
     child = crossover(np.random.default_rng(2), sizes, last[0], first[-1], 1000)
     assert np.bincount(child, weights=sizes).max() <= 1000 and (compact(child) == child).all()
+
+
+def test_crossover_beats_best_fit_on_items_of_a_quarter_to_half(spark):
+    for seed in range(3):
+        sizes = np.random.default_rng(seed).integers(533, 1024, 600)
+        fitted = int(decreasing(sizes, 2048).max()) + 1
+        best = evolve(np.random.default_rng(0), sizes, [], 2048, 8, 12)[0]
+        assert fewest(sizes, 2048) <= best.max() + 1 <= fitted - 5
+    rows = [int(s) for s in np.random.default_rng(9).integers(533, 1024, 900)]
+    counts = [packed(spark, rows, shard=300, rounds=r, fan=2).select("container").distinct().count() for r in (0, 2)]
+    assert counts[1] < counts[0]
+
+
+def test_pools_fill_what_shards_leave(spark):
+    rng = np.random.default_rng(4)
+    sizes = [int(s) for s in rng.integers(1, 120, 2000)]
+    got = packed(spark, sizes, capacity=1000, shard=100, fan=3)
+    report = fill_report(got, 1000).first()
+    assert report["containers"] <= report["least_containers"] + 1 and report["over"] == 0
+    assert fill_report(packed(spark, sizes, capacity=1000, shard=100, rounds=0), 1000).first()["containers"] > report["least_containers"] + 5
+    assert tuple(soundness(got, "doc", 1000).first()) == (2000, 0, 0)
+
+
+def test_refill_keeps_items_and_capacity():
+    rng = np.random.default_rng(7)
+    sizes = rng.integers(100, 500, 120)
+    bins = decreasing(sizes, 1000)
+    lost = np.flatnonzero(bins < 8).tolist()
+    held = {}
+    for i in np.flatnonzero(bins >= 8).tolist():
+        held.setdefault(int(bins[i]), []).append(i)
+    room = {b: 1000 - int(sizes[v].sum()) for b, v in held.items()}
+    before = sum(room.values())
+    rest = refill(sizes, held, room, lost, 1000)
+    assert sorted([*rest, *(i for v in held.values() for i in v)]) == list(range(120)) and sum(room.values()) <= before
+    assert all(room[b] == 1000 - sizes[v].sum() >= 0 for b, v in held.items())

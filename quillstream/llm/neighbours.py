@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -14,8 +15,9 @@ from pyspark.sql import functions as F
 from quillstream.llm.hnsw import build, search
 from quillstream.runtime import cut
 
-ROUTED = "shard long, home boolean, asked boolean, vector_id long, vector binary"
+ROUTED = "slot int, home boolean, asked boolean, vector_id long, vector binary"
 FEW = 20_000
+FLAT = 1024  # so many cells are fitted at once; more of them below about the square root of as many
 FOUND = "vector_id long, neighbour_id long, cosine double"
 
 
@@ -86,18 +88,65 @@ class Crowds:
         return out
 
 
+def _blocks(n: int, width: int) -> Iterator[slice]:
+    """Slices of ``n`` rows that have about four million numbers at ``width`` each."""
+    step = max(1, (1 << 22) // max(width, 1))
+    return (slice(at, at + step) for at in range(0, n, step))
+
+
+def nearest_cells(unit: np.ndarray, centres: np.ndarray, most: int, margin: float) -> tuple[np.ndarray, np.ndarray]:
+    """For each unit vector its ``most`` most similar centres, the best first, and whether it lies close to them: the best one always, the others if they are less similar by no more than ``margin`` times the distance of the two centres."""
+    most = min(most, len(centres))
+    top, close = np.empty((len(unit), most), np.int64), np.empty((len(unit), most), bool)
+    for rows in _blocks(len(unit), len(centres)):
+        sims = unit[rows].astype(np.float32) @ centres.T
+        some = np.argpartition(-sims, most - 1, axis=1)[:, :most]
+        value = np.take_along_axis(sims, some, 1)
+        order = np.argsort(-value, axis=1, kind="stable")
+        some, value = np.take_along_axis(some, order, 1), np.take_along_axis(value, order, 1)
+        apart = np.sqrt(np.maximum(0, 2 - 2 * np.einsum("ij,ikj->ik", centres[some[:, 0]], centres[some])))
+        top[rows], close[rows] = some, value[:, :1] - value <= margin * apart
+    close[:, 0] = True
+    return top, close
+
+
 def fit_cells(sample: np.ndarray, cells: int, rounds: int = 10) -> tuple[np.ndarray, np.ndarray]:
-    """Unit centres of ``cells`` cells and each cell's share of the sample."""
+    """Unit centres of ``cells`` cells and each cell's share of the sample, block by block."""
     rng = np.random.default_rng(7)
     centres = sample[rng.permutation(len(sample))[:cells]]
+
+    def homes() -> np.ndarray:
+        return np.concatenate([(sample[rows] @ centres.T).argmax(1) for rows in _blocks(len(sample), len(centres))])
+
     for _ in range(rounds):
-        home = (sample @ centres.T).argmax(1)
+        home = homes()
+        order = np.argsort(home, kind="stable")
+        first = np.flatnonzero(np.diff(home[order], prepend=-1))
         total = np.zeros_like(centres)
-        np.add.at(total, home, sample)
+        total[home[order][first]] = np.add.reduceat(sample[order], first, axis=0)
         length = np.linalg.norm(total, axis=1, keepdims=True)
         centres = np.where(length > 1e-6, total / np.maximum(length, 1e-6), centres).astype(np.float32)
-    share = np.bincount((sample @ centres.T).argmax(1), minlength=len(centres)) / len(sample)
-    return centres, share
+    return centres, np.bincount(homes(), minlength=len(centres)) / len(sample)
+
+
+def _fit_below(rows: DataFrame, dim: int, total: int, top: np.ndarray, cells: int) -> tuple[np.ndarray, np.ndarray]:
+    """About ``cells`` centres, each cell of ``top`` divided on the cluster by its share of a sample of about 64 vectors a cell."""
+    step = max(1, total // (64 * cells))
+    some = rows.where(F.pmod(F.xxhash64("vector_id", F.lit(3)), F.lit(step)) == 0)
+
+    def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, vectors in _each_batch(batches, dim):
+            unit = _unit(vectors).astype(np.float32)
+            yield pa.RecordBatch.from_arrays([pa.array(nearest_cells(unit, top, 1, 0)[0][:, 0]), pa.array([u.tobytes() for u in unit], pa.binary())], names=["cell", "vector"])
+
+    def fit(table: pa.Table) -> pa.Table:
+        unit = _vectors(table.column("vector"), dim)
+        centres, share = fit_cells(unit, max(1, round(len(unit) / 64)))
+        return pa.table({"centre": pa.array([c.tobytes() for c in centres], pa.binary()), "n": share * len(unit)})
+
+    found = some.select("vector_id", "embedding").mapInArrow(assign, "cell long, vector binary").groupBy("cell").applyInArrow(fit, "centre binary, n double").toArrow()
+    n = found.column("n").to_numpy()
+    return _vectors(found.column("centre"), dim), n / n.sum()
 
 
 def _sample(rows: DataFrame, dim: int, total: int, size: int) -> np.ndarray:
@@ -163,14 +212,41 @@ def _crowds(rows: DataFrame, dim: int, k: int) -> tuple[Broadcast, DataFrame] |
     return sc.broadcast(Crowds(key, whole.unit, first, bound)), beyond
 
 
-def _route(rows: DataFrame, dim: int, centres: np.ndarray, parts: np.ndarray, margin: float, every: int, crowds: Broadcast | None = None) -> DataFrame:
-    """A row for the shard that indexes the vector, and one for every shard that it is a query to; none for members of ``crowds`` beyond the last that is indexed.
+@dataclass
+class Layout:
+    """Where vectors go: cells around ``centres``; shards, ``parts`` of each cell, that hold an equal number of its vectors; and slots, ``copies`` of each shard, that share its guests. Every slot is one task."""
 
-    A vector is a query to the shards of its own cell and of every cell whose centre is hardly less similar to it: by no more than ``margin`` times the distance of the two centres.
-    A cell with more vectors than a shard takes is spread over several shards, all of which are asked.
+    centres: np.ndarray
+    parts: np.ndarray
+    copies: np.ndarray
+    most: int
+    margin: float
+
+    @property
+    def slots(self) -> int:
+        return int((self.parts * self.copies).sum())
+
+    @staticmethod
+    def of(centres: np.ndarray, share: np.ndarray, sample: np.ndarray, total: int, shard: int, most: int, margin: float, asked: float) -> Layout:
+        """``share``: of the vectors at home in each cell; ``asked``: of the vectors that are queries. A shard has at most about twice ``shard`` vectors, and a slot as many guests."""
+        parts = np.maximum(1, np.ceil(share * total / (2 * shard))).astype(np.int64)
+        top, close = nearest_cells(sample, centres, most, margin)
+        guests = np.bincount(top[:, 1:][close[:, 1:]], minlength=len(centres)) / len(sample)
+        guests = np.maximum(guests, share * guests.sum()) if len(sample) < 32 * len(centres) else guests
+        return Layout(centres, parts, np.maximum(1, np.ceil(guests * total * asked / (2 * shard))).astype(np.int64), most, margin)
+
+
+def _mixed(ids: np.ndarray, seed: int) -> np.ndarray:
+    return ((ids.astype(np.uint64) + np.uint64(seed)) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)).astype(np.int64)
+
+
+def _route(rows: DataFrame, dim: int, layout: Layout, every: int, crowds: Broadcast | None = None) -> DataFrame:
+    """A row for each slot of the shard that indexes the vector, and one for one slot of every shard that it is a query to; none for members of ``crowds`` beyond the last that is indexed.
+
+    A vector is a query to all shards of its own cell and of the cells it lies close to, at most ``layout.most`` cells.
     """
-    first = np.cumsum(parts) - parts
-    apart = np.sqrt(np.maximum(0, 2 - 2 * centres @ centres.T))
+    per_cell = layout.parts * layout.copies
+    first = np.cumsum(per_cell) - per_cell
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for ids, vectors in _each_batch(batches, dim):
@@ -183,34 +259,49 @@ def _route(rows: DataFrame, dim: int, centres: np.ndarray, parts: np.ndarray, ma
                 ids, vectors, unit, wanted = ids[stays], vectors[stays], unit[stays], wanted[stays]
                 if not len(ids):
                     continue
-            sims = unit.astype(np.float32) @ centres.T
-            home = sims.argmax(1)
-            near = sims.max(1)[:, None] - sims <= margin * apart[home]
-            near[~wanted] = False
-            near[np.arange(len(home)), home] = True
-            row, cell = np.nonzero(near)
-            many = parts[cell]
-            row, cell = np.repeat(row, many), np.repeat(cell, many)
+            top, near = nearest_cells(unit, layout.centres, layout.most, layout.margin)
+            near[~wanted, 1:] = False
+            row, rank = np.nonzero(near)
+            cell = top[row, rank]
+            many = layout.parts[cell]
+            row, cell, rank = (np.repeat(x, many) for x in (row, cell, rank))
             part = np.arange(len(row)) - np.repeat(np.cumsum(many) - many, many)
-            mine = (ids.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)).astype(np.int64) % parts[home]
-            is_home = (cell == home[row]) & (part == mine[row])
+            is_home = (rank == 0) & (part == (_mixed(ids, 0) % layout.parts[top[:, 0]])[row])
             query = wanted[row]
             used = is_home | query
             row, cell, part, is_home, query = row[used], cell[used], part[used], is_home[used], query[used]
+            # a vector at home is in every copy of its shard, but asks only in one; a guest is in one
+            copies = layout.copies[cell]
+            mine = (_mixed(ids, 1)[row]) % copies
+            times = np.where(is_home, copies, 1)
+            row, cell, part, is_home, query, mine, copies = (np.repeat(x, times) for x in (row, cell, part, is_home, query, mine, copies))
+            copy = np.where(is_home, np.arange(len(row)) - np.repeat(np.cumsum(times) - times, times), mine)
+            query &= copy == mine
+            slot = first[cell] + part * copies + copy
             packed = pa.FixedSizeBinaryArray.from_buffers(pa.binary(4 * dim), len(vectors), [None, pa.py_buffer(np.ascontiguousarray(vectors))])
             yield pa.RecordBatch.from_arrays(
-                [pa.array(first[cell] + part), pa.array(is_home), pa.array(query), pa.array(ids[row]), packed.take(pa.array(row)).cast(pa.binary())],
-                names=["shard", "home", "asked", "vector_id", "vector"],
+                [pa.array(slot, pa.int32()), pa.array(is_home), pa.array(query), pa.array(ids[row]), packed.take(pa.array(row)).cast(pa.binary())],
+                names=["slot", "home", "asked", "vector_id", "vector"],
             )
 
-    return rows.select("vector_id", "embedding").mapInArrow(run, ROUTED)
+    return rows.select("vector_id", "embedding").mapInArrow(run, ROUTED).repartitionById(layout.slots, "slot")
 
 
 def _vectors(column: pa.ChunkedArray, dim: int) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), np.float32).reshape(-1, dim)
 
 
-def _search_shard(dim: int, k: int, m: int, ef: int, ef_search: int, least: float):
+def _search_slots(dim: int, k: int, m: int, ef: int, ef_search: int, least: float):
+    """For a partition, which holds whole slots, mostly one: the graph of each slot's vectors at home, and what its queries find in it."""
+
+    def slots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        whole = list(batches)
+        if whole:
+            table = pa.Table.from_batches(whole)
+            slot = table.column("slot").to_numpy()
+            for one in np.unique(slot):
+                yield from run(table.filter(pa.array(slot == one)) if (slot != one).any() else table).combine_chunks().to_batches()
+
     def run(table: pa.Table) -> pa.Table:
         ids = table.column("vector_id").to_numpy()
         home, asked = (table.column(c).to_numpy() for c in ("home", "asked"))
@@ -256,7 +347,7 @@ def _search_shard(dim: int, k: int, m: int, ef: int, ef_search: int, least: floa
         empty = pa.table({"vector_id": pa.array([], pa.int64()), "neighbour_id": pa.array([], pa.int64()), "cosine": pa.array([], pa.float64())})
         return pa.concat_tables([empty, *out])
 
-    return run
+    return slots
 
 
 def _usable(embedding: Column, dim: int) -> Column:
@@ -265,13 +356,14 @@ def _usable(embedding: Column, dim: int) -> Column:
 
 
 def most_similar(
-    df: DataFrame, key: str, vector: str, k: int = 5, dim: int = 64, least: float = -1.0, margin: float = 0.25, every: int = 1, shard: int = 16_000, max_cells: int = 4096, sample: int = 65_536, m: int = 16, ef: int = 32, ef_search: int = 48
+    df: DataFrame, key: str, vector: str, k: int = 5, dim: int = 64, least: float = -1.0, margin: float = 0.25, most: int = 12, every: int = 1, shard: int = 16_000, sample: int = 65_536, m: int = 16, ef: int = 32, ef_search: int = 48
 ) -> DataFrame:
     """``vector_id, neighbour_id, cosine, rank``: the ``k`` most similar other vectors of every vector, equal cosines by smaller id.
 
-    Vectors go to the cell of the most similar of some centres (k-means on at most 2 x ``sample`` vectors, the only part that is fitted on a sample); cells hold about
+    Vectors go to the cell of the most similar of some centres (k-means on at most 2 x ``sample`` vectors, of many cells on about 64 vectors each in two levels, the only part that is fitted on a sample); cells hold about
     ``shard`` vectors, larger ones are split, and each shard's graph holds every vector of it. A vector is searched for in the
-    shards of its own cell and of all cells it lies close to (``margin``), and the results are merged. ``least`` drops less similar
+    shards of its own cell and of the cells it lies close to (``margin``), at most ``most`` cells whatever their number, and the results are merged. A shard that many other vectors ask has
+    several tasks, each with the graph and some of the guests. ``least`` drops less similar
     pairs before they are shuffled, which loses none above it. A smaller ``margin`` than the default is enough for high ``least``.
 
     Every vector is indexed; ``every`` restricts the vectors that neighbours are asked for to ids divisible by it.
@@ -283,16 +375,17 @@ def most_similar(
     """
     rows = df.select(F.col(key).cast("long").alias("vector_id"), F.col(vector).cast("array<float>").alias("embedding")).where("vector_id is not null and embedding is not null")
     total = rows.count()
-    cells = int(min(max_cells, max(1, -(-total // shard))))
+    cells = int(max(1, -(-total // shard)))
     points = _sample(rows, dim, total, min(sample, max(4096, 64 * cells)))
     if not len(points):
         points = np.eye(1, dim, dtype=np.float32)
-    centres, share = fit_cells(points, min(cells, len(points)))
-    parts = np.maximum(1, np.ceil(share * total / (2 * shard))).astype(np.int64)
+    centres, share = fit_cells(points, min(cells if cells <= FLAT else math.isqrt(cells), len(points)))
+    if cells > FLAT:
+        centres, share = _fit_below(rows, dim, total, centres, cells)
+    layout = Layout.of(centres, share, points, total, shard, most, margin, 1 / every)
 
     crowds, beyond = _crowds(rows, dim, k) or (None, None)
-    routed = _route(rows, dim, centres, parts, margin, every, crowds).repartition(2 * int(parts.sum()), "shard")
-    found = routed.groupBy("shard").applyInArrow(_search_shard(dim, k, m, ef, ef_search, least), FOUND)
+    found = _route(rows, dim, layout, every, crowds).mapInArrow(_search_slots(dim, k, m, ef, ef_search, least), FOUND)
     order = Window.partitionBy("vector_id").orderBy(F.desc("cosine"), "neighbour_id")
     best = lambda d: d.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
     if beyond is None:
@@ -305,20 +398,20 @@ def most_similar(
     return best(found.where(F.col("vector_id") % every == 0).unionByName(spare))
 
 
-def near_pairs(df: DataFrame, key: str, vector: str, k: int = 5, dim: int = 64, least: float = 0.9, margin: float = 0.1) -> DataFrame:
-    """``vector_id_a, vector_id_b``, a < b: pairs of cosine ``least`` or more of which one is among the other's ``k`` nearest.
+# settings for neighbours of a cosine of 0.9 or more: such a vector rarely lies in a cell whose centre is so much less similar, and stands out among its graph neighbours
+CLOSE = {"least": 0.9, "margin": 0.1, "most": 6, "m": 16, "ef": 32, "ef_search": 24}
 
-    For a cosine of 0.9 or more a margin of 0.1 and a sparse graph lose next to nothing: a vector that similar rarely lies in a cell whose centre is so
-    much less similar, and stands out among its graph neighbours.
-    """
-    pairs = most_similar(df, key, vector, k, dim, least, margin, m=12, ef=20, ef_search=16)
+
+def near_pairs(df: DataFrame, key: str, vector: str, k: int = 5, dim: int = 64, **how) -> DataFrame:
+    """``vector_id_a, vector_id_b``, a < b: pairs of cosine ``least`` or more of which one is among the other's ``k`` nearest."""
+    pairs = most_similar(df, key, vector, k, dim, **CLOSE | how)
     return pairs.select(F.least("vector_id", "neighbour_id").alias("vector_id_a"), F.greatest("vector_id", "neighbour_id").alias("vector_id_b")).distinct()
 
 
-def recall(df: DataFrame, key: str, vector: str, found: DataFrame, k: int = 5, dim: int = 64, every: int = 100, block: int = 65_536) -> DataFrame:
-    """``k, queries, expected, met, recall`` of ``found`` against brute force, for all vectors whose id is divisible by ``every`` against all vectors.
+def recall(df: DataFrame, key: str, vector: str, found: DataFrame, k: int = 5, dim: int = 64, every: int = 100, block: int = 65_536, least: float = -1.0) -> DataFrame:
+    """``k, queries, expected, met, wrong, recall`` of ``found`` against brute force, for all vectors whose id is divisible by ``every`` against all vectors, as far as their cosine is ``least`` or more.
 
-    Blocks of at most about ``block`` queries meet blocks of about ``block`` vectors. What is as similar as the k-th nearest counts as met.
+    ``wrong``: what was found though it is less similar than the k-th nearest. Blocks of at most about ``block`` queries meet blocks of about ``block`` vectors. What is as similar as the k-th nearest counts as met.
     """
     rows = df.select(F.col(key).cast("long").alias("vector_id"), F.col(vector).cast("array<float>").alias("embedding")).where(_usable(F.col("embedding"), dim)).dropDuplicates(["vector_id"])
     parts = max(1, -(-df.count() // block))
@@ -340,10 +433,11 @@ def recall(df: DataFrame, key: str, vector: str, found: DataFrame, k: int = 5, d
                 out.append(pa.table({"vector_id": np.repeat(ids, top.shape[1]), "cosine": np.take_along_axis(sims, top, 1).ravel().astype(np.float64)}))
         return pa.concat_tables(out)
 
-    exact = asked.groupBy("part", "block").cogroup(held.groupBy("part", "block")).applyInArrow(nearest, "vector_id long, cosine double").where("cosine > -1.5")
+    exact = asked.groupBy("part", "block").cogroup(held.groupBy("part", "block")).applyInArrow(nearest, "vector_id long, cosine double").where(F.col("cosine") > max(-1.5, least - 1e-9))
     order = Window.partitionBy("vector_id").orderBy(F.desc("cosine"))
     kth = exact.withColumn("r", F.row_number().over(order)).where(F.col("r") <= k).groupBy("vector_id").agg(F.min("cosine").alias("kth"), F.count("*").alias("n"))
-    met = found.where(F.col("vector_id") % every == 0).join(kth, "vector_id").where("cosine >= kth - 1e-5").groupBy("vector_id").agg(F.count("*").alias("met"))
-    each = kth.join(met, "vector_id", "left").select("n", F.least("n", F.coalesce("met", F.lit(0))).alias("met"))
-    total = each.agg(F.lit(k).alias("k"), F.count("*").alias("queries"), F.sum("n").alias("expected"), F.sum("met").alias("met"))
+    near = (F.col("cosine") >= F.col("kth") - 1e-5).cast("int")
+    met = found.where(F.col("vector_id") % every == 0).join(kth, "vector_id").groupBy("vector_id").agg(F.sum(near).alias("met"), F.sum(1 - near).alias("wrong"))
+    each = kth.join(met, "vector_id", "left").select("n", F.least("n", F.coalesce("met", F.lit(0))).alias("met"), F.coalesce("wrong", F.lit(0)).alias("wrong"))
+    total = each.agg(F.lit(k).alias("k"), F.count("*").alias("queries"), F.sum("n").alias("expected"), F.sum("met").alias("met"), F.sum("wrong").alias("wrong"))
     return total.withColumn("recall", F.col("met") / F.col("expected"))

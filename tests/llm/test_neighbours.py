@@ -1,8 +1,9 @@
 import numpy as np
 import pytest
 
+from quillstream.llm import neighbours
 from quillstream.llm.hnsw import build, search
-from quillstream.llm.neighbours import most_similar, near_pairs, recall
+from quillstream.llm.neighbours import Layout, fit_cells, most_similar, near_pairs, nearest_cells, recall
 
 SCHEMA = "vid long, emb array<float>, shard int, home string, vector string"
 
@@ -59,7 +60,7 @@ def test_pairs_over_several_shards(spark):
 
 
 def most_pairs(df):
-    rows = most_similar(df, "vid", "emb", 5, 64, 0.9, 0.1, shard=300).collect()
+    rows = most_similar(df, "vid", "emb", 5, 64, shard=300, **neighbours.CLOSE).collect()
     return {(min(r["vector_id"], r["neighbour_id"]), max(r["vector_id"], r["neighbour_id"])) for r in rows}
 
 
@@ -99,3 +100,31 @@ def test_recall_is_measured_against_brute_force(spark):
     assert {r["vector_id"] % 100 for r in found.select("vector_id").collect()} == {0}
     row = recall(df, "vid", "emb", found, block=500).first()
     assert row["queries"] == 15 and row["expected"] == 75 and row["recall"] >= 0.9
+    close = recall(df, "vid", "emb", most_similar(df, "vid", "emb", every=10, shard=400, **neighbours.CLOSE), every=10, least=0.9).first()
+    assert close["recall"] >= 0.97 and close["wrong"] <= 1
+
+
+def test_cells_in_two_levels_and_shards_with_many_guests(spark, monkeypatch):
+    x = planted()
+    want = exact_pairs(x, np.arange(len(x)), 5, 0.9)
+    monkeypatch.setattr(neighbours, "FLAT", 3)
+    got = most_pairs(frame(spark, x))
+    assert got <= want and len(got) >= 0.95 * len(want)
+    monkeypatch.setattr(neighbours, "FLAT", 1024)
+    real = Layout.of
+    monkeypatch.setattr(Layout, "of", staticmethod(lambda *a: Layout(real(*a).centres, real(*a).parts + 1, real(*a).copies + 2, a[5], a[6])))
+    copied = most_pairs(frame(spark, x))
+    assert copied <= want and len(copied) >= 0.97 * len(want)
+
+
+def test_the_cells_asked_are_bounded():
+    rng = np.random.default_rng(0)
+    x = rng.normal(size=(4000, 16)).astype(np.float32)
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    centres, share = fit_cells(x, 200)
+    assert abs(share.sum() - 1) < 1e-9 and np.allclose(np.linalg.norm(centres, axis=1), 1, atol=1e-5)
+    top, close = nearest_cells(x, centres, 6, 0.25)
+    sims = x @ centres.T
+    assert top.shape == (4000, 6) and close[:, 0].all() and (np.take_along_axis(sims, top, 1)[:, 0] >= sims.max(1) - 1e-6).all()
+    layout = Layout.of(centres, share, x, 10**6, 1000, 6, 0.25, 1.0)
+    assert (layout.parts >= 1).all() and layout.slots >= 10**6 / 2000

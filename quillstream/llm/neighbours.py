@@ -399,7 +399,7 @@ def most_similar(
 
 
 # settings for neighbours of a cosine of 0.9 or more: such a vector rarely lies in a cell whose centre is so much less similar, and stands out among its graph neighbours
-CLOSE = {"least": 0.9, "margin": 0.1, "most": 6, "m": 16, "ef": 32, "ef_search": 24}
+CLOSE = {"least": 0.9, "margin": 0.1, "most": 6, "shard": 8000, "m": 14, "ef": 28, "ef_search": 20}
 
 
 def near_pairs(df: DataFrame, key: str, vector: str, k: int = 5, dim: int = 64, **how) -> DataFrame:

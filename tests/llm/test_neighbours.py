@@ -60,7 +60,7 @@ def test_pairs_over_several_shards(spark):
 
 
 def most_pairs(df):
-    rows = most_similar(df, "vid", "emb", 5, 64, shard=300, **neighbours.CLOSE).collect()
+    rows = most_similar(df, "vid", "emb", 5, 64, **neighbours.CLOSE | {"shard": 300}).collect()
     return {(min(r["vector_id"], r["neighbour_id"]), max(r["vector_id"], r["neighbour_id"])) for r in rows}
 
 
@@ -100,7 +100,7 @@ def test_recall_is_measured_against_brute_force(spark):
     assert {r["vector_id"] % 100 for r in found.select("vector_id").collect()} == {0}
     row = recall(df, "vid", "emb", found, block=500).first()
     assert row["queries"] == 15 and row["expected"] == 75 and row["recall"] >= 0.9
-    close = recall(df, "vid", "emb", most_similar(df, "vid", "emb", every=10, shard=400, **neighbours.CLOSE), every=10, least=0.9).first()
+    close = recall(df, "vid", "emb", most_similar(df, "vid", "emb", every=10, **neighbours.CLOSE | {"shard": 400}), every=10, least=0.9).first()
     assert close["recall"] >= 0.97 and close["wrong"] <= 1
 
 

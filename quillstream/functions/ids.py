@@ -2,13 +2,22 @@
 
 from __future__ import annotations
 
+import ipaddress
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from quillstream.functions.text import compatible
 
-# fixed values: what the host of a safe address may not be
-LOCAL_HOST = r"^(localhost|.*\.local|127\..*|10\..*|192\.168\..*|169\.254\..*|172\.(1[6-9]|2\d|3[01])\..*|0\.0\.0\.0|\[.*)$"
+# fixed values: IPv4 blocks that are not global, as first and last number; multicast is left out too, though some count it as global
+_NOT_GLOBAL = [
+    "0.0.0.0/8", "10.0.0.0/8", "100.64.0.0/10", "127.0.0.0/8", "169.254.0.0/16", "172.16.0.0/12", "192.0.0.0/24", "192.0.2.0/24", "192.168.0.0/16", "198.18.0.0/15", "198.51.100.0/24", "203.0.113.0/24",
+    "224.0.0.0/4", "240.0.0.0/4",
+]
+_GLOBAL_AGAIN = ["192.0.0.9/32", "192.0.0.10/32"]
+_OCTET = r"(25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
+# fixed values: wording that asks for recent evidence
 RECENCY = (
     r"(?i)\b(last|past|this|recent|recently|latest|newest|today|yesterday|current|currently)\b|\b\d+\s*(day|days|week|weeks|month|months|year|years)\b"
 )
@@ -55,11 +64,41 @@ def identity(id_: Column, paper_id: Column, doi: Column, title: Column) -> Colum
     return F.coalesce(_blank(id_), _blank(paper_id), F.nullif(plain_doi(doi), F.lit("")), F.concat(F.lit("title:"), F.regexp_replace(F.lower(_blank(title)), r"\s+", " ")))
 
 
+def _in_blocks(number: Column, blocks: list[str]) -> Column:
+    found = F.lit(False)
+    for block in map(ipaddress.ip_network, blocks):
+        found = found | number.between(int(block.network_address), int(block.broadcast_address))
+    return found
+
+
+def _global_v6(host: Column) -> Column:
+    """Whether an address in brackets is global; Spark has no function for these, and only they reach Python."""
+
+    @F.pandas_udf("boolean")
+    def check(hosts: pd.Series) -> pd.Series:
+        def one(h: str) -> bool:
+            try:
+                address = ipaddress.IPv6Address(h.strip("[]"))
+            except ValueError:
+                return False
+            return address.is_global and not address.is_multicast
+
+        return hosts.map(one, na_action="ignore")
+
+    return check(host)
+
+
 def is_safe_url(value: Column) -> Column:
-    """http or https to a public host; null and what is no address are not."""
+    """http or https to a public host: no name of this machine or of a local network, and no address outside the global unicast blocks. What only looks like an address is a name. Null and what is no address are not safe."""
     url = F.trim(value)
     scheme, host = (F.lower(F.try_parse_url(url, F.lit(p))) for p in ("PROTOCOL", "HOST"))
-    return F.coalesce(scheme.isin("http", "https") & ~host.rlike(LOCAL_HOST), F.lit(False))
+    v6 = host.startswith("[")
+    octets = [F.regexp_extract(host, rf"^{_OCTET}\.{_OCTET}\.{_OCTET}\.{_OCTET}$", k).try_cast("bigint") for k in range(1, 5)]
+    number = ((octets[0] * 256 + octets[1]) * 256 + octets[2]) * 256 + octets[3]
+    inside = number.isNotNull() & _in_blocks(number, _NOT_GLOBAL) & ~_in_blocks(number, _GLOBAL_AGAIN)
+    named = ~host.isin("localhost", "localhost.localdomain") & ~host.endswith(".local")
+    open_ = F.when(v6, _global_v6(F.when(v6, host))).otherwise(named & ~F.coalesce(inside, F.lit(False)))
+    return F.coalesce(scheme.isin("http", "https") & open_, F.lit(False))
 
 
 def open_pdf_urls(best: Column, locations: Column) -> Column:

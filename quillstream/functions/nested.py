@@ -2,16 +2,24 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from quillstream.functions.ids import identifier
+from quillstream.functions.text import has_phrase
+
+
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is computed once per row, however often it occurs in the result."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
 def abstract_text(index: Column) -> Column:
     """The words of an inverted index at their positions, a blank per gap; of two words at one position the greater. Null or empty gives ''.
 
-    Negative and null positions are left out.
+    Negative and null positions are left out. Each word is written once, with the blanks between it and the one before.
     """
     pairs = F.flatten(
         F.transform(
@@ -19,15 +27,15 @@ def abstract_text(index: Column) -> Column:
             lambda e: F.transform(F.filter(F.coalesce(e["value"], F.expr("cast(array() as array<int>)")), lambda p: p.isNotNull() & (p >= 0)), lambda p: F.struct(p.alias("at"), e["key"].alias("word"))),
         )
     )
-    # sorted by position, then word: each entry adds the gap before it, and a later word replaces one at the same place
-    start = F.struct(F.lit(-1).alias("at"), F.lit("").alias("head"), F.lit("").alias("last"))
 
-    def step(acc: Column, x: Column) -> Column:
-        gap = F.when(acc["at"] < 0, F.repeat(F.lit(" "), x["at"])).otherwise(F.repeat(F.lit(" "), x["at"] - acc["at"]))
-        head = F.when(acc["at"] == x["at"], acc["head"]).otherwise(F.concat(acc["head"], acc["last"], gap))
-        return F.struct(x["at"].alias("at"), head.alias("head"), x["word"].alias("last"))
+    def last_of_each(all_: Column) -> Column:
+        return F.filter(all_, lambda x, i: ~F.coalesce(F.get(all_, i + 1)["at"] == x["at"], F.lit(False)))
+
+    def joined(words: Column) -> Column:
+        gap = lambda x, i: F.coalesce(F.repeat(F.lit(" "), x["at"] - F.get(words, i - 1)["at"]), F.lit(""))
+        return F.array_join(F.transform(words, lambda x, i: F.concat(F.when(i > 0, gap(x, i)).otherwise(""), x["word"])), "")
 
-    return F.trim(F.coalesce(F.aggregate(F.array_sort(pairs), start, step, lambda a: F.concat(a["head"], a["last"])), F.lit("")))
+    return F.trim(F.coalesce(let(F.array_sort(pairs), lambda all_: let(last_of_each(all_), joined)), F.lit("")))
 
 
 def ranked_ids(values: Column) -> Column:
@@ -77,6 +85,34 @@ def citation_recall(cited: Column, gold: Column) -> Column:
     return F.when(F.size(want) > 0, F.size(F.array_intersect(ranked_ids(cited), want)) / F.size(want))
 
 
+def keyword_coverage(answer: Column, required: Column, forbidden: Column) -> Column:
+    """Share of the required phrases that stand in the answer and of the forbidden ones that don't, as whole words; null if there are none of either."""
+    none = F.expr("cast(array() as array<string>)")
+    must, not_ = F.coalesce(required, none), F.coalesce(forbidden, none)
+    text = F.coalesce(answer, F.lit(""))
+    good = F.size(F.filter(must, lambda p: has_phrase(text, p))) + F.size(F.filter(not_, lambda p: ~has_phrase(text, p)))
+    total = F.size(must) + F.size(not_)
+    return F.when(total > 0, good / total)
+
+
+def route_accuracy(retrieved: Column, searched_web: Column, needs_retrieval: Column, needs_web: Column) -> Column:
+    """1, 0.5 or 0: how many of the two decisions were as expected; a null decision or expectation is none."""
+    same = lambda a, b: F.coalesce((a == b).cast("double"), F.lit(0.0))
+    return (same(retrieved, needs_retrieval) + same(searched_web, needs_web)) / 2
+
+
+SUCCESSFUL = ("accepted", "direct_answer", "complete")
+ABSTAINED = "insufficient_evidence"
+
+
+def success(answer: Column, error: Column, status: Column, expects_abstention: Column, accepts_abstention: Column) -> Column:
+    """1.0 for an answer without error and with a status that counts, else 0.0: where abstaining is expected only that counts, where it is accepted that counts as well."""
+    no = F.lit(False)
+    counts = F.when(F.coalesce(expects_abstention, no), status == ABSTAINED).otherwise(status.isin(*SUCCESSFUL) | (F.coalesce(accepts_abstention, no) & (status == ABSTAINED)))
+    given = (F.trim(F.coalesce(answer, F.lit(""))) != "") & (F.coalesce(error, F.lit("")) == "")
+    return F.when(F.coalesce(given & counts, no), 1.0).otherwise(0.0)
+
+
 def valid_indexes(values: Column, size: Column) -> Column:
     """Distinct whole numbers from 0 below ``size``, in order of first sight."""
     return F.array_distinct(F.filter(values, lambda i: i.isNotNull() & (i >= 0) & (i < size)))

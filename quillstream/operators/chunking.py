@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quillstream.functions.nested import let
 from quillstream.functions.text import SPACE, TOKEN, squeeze, stem_free_key, token_count
 
 
@@ -15,11 +14,6 @@ def _check(most: int, overlap: int) -> None:
         raise ValueError("most must be positive, and overlap at least 0 and less than most")
 
 
-def let(value: Column, use: Callable[[Column], Column]) -> Column:
-    """``use`` of a value that is computed once per row, however often it occurs in the result."""
-    return F.get(F.transform(F.array(value), use), F.lit(0))
-
-
 def windows(text: Column, most: int, overlap: int) -> Column:
     """Windows of ``most`` tokens of the text as it stands, each ``most - overlap`` tokens on; the last ends with the text."""
     _check(most, overlap)

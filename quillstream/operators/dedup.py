@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -30,19 +29,19 @@ def merged_lists(df: DataFrame, key: str, values: str, order: str) -> DataFrame:
     return rows.join(lists, key, "left").select(key, F.coalesce(values, F.expr("cast(array() as array<string>)")).alias(values), "first")
 
 
-def greedy_first(df: DataFrame, order: str, keys: list[str], most_rounds: int = 200) -> DataFrame:
-    """``order, kept, reason``: rows in order of the unique column ``order``; a row is dropped if one of its keys was seen in a row that was kept.
+def greedy_first(df: DataFrame, order: str, keys: list[str]) -> DataFrame:
+    """``order, kept, reason, holder``: rows in order of the unique column ``order``; a row is dropped if one of its keys was seen in a row that was kept.
 
-    ``reason`` is the first such key, null for kept rows; null and '' keys never match. This does not carry over: a row
+    ``reason`` is the first such key and ``holder`` the kept row that has it, null for kept rows; null and '' keys never match. This does not carry over: a row
     that only matches a dropped row stays. Each round settles every row all of whose earlier rivals are settled: the first open row of each of its keys is
-    kept, and rows that share a key with a kept row are dropped. Rounds are few, as a chain of rivals ends at the first kept row;
-    each is two aggregations and joins by key, counted map-side, so that a key of any frequency is no burden.
+    kept, and rows that share a key with a kept row are dropped. At least the first open row is settled in each round, and rounds go on until none is open; a chain of rivals ends at its first kept row, so they are
+    few. Each is two aggregations and joins by key, counted map-side, so that a key of any frequency is no burden.
     """
     long = df.select(F.col(order).alias("row"), F.explode(F.array(*(F.struct(F.lit(j).alias("rank"), F.col(k).cast("string").alias("key")) for j, k in enumerate(keys)))).alias("k"))
     edges = cut(long.select("row", "k.rank", F.col("k.key").alias("key")).where("key is not null and key != ''").distinct())
     open_ = edges
     winners: DataFrame | None = None
-    for _ in range(most_rounds):
+    while not open_.isEmpty():
         first = open_.groupBy("rank", "key").agg(F.min("row").alias("first"))
         led = open_.join(first, ["rank", "key"])
         leaders = led.groupBy("row").agg(F.every(F.col("row") == F.col("first")).alias("leads")).where("leads").select("row")
@@ -50,34 +49,27 @@ def greedy_first(df: DataFrame, order: str, keys: list[str], most_rounds: int =
         winners = taken if winners is None else winners.unionByName(taken)
         settled = open_.join(taken.select("rank", "key"), ["rank", "key"], "left_semi").select("row").distinct()
         open_ = cut(open_.join(settled, "row", "left_anti"))
-        if open_.isEmpty():
-            break
-    else:
-        raise RuntimeError("rows are left open")
     # a key is held by at most one kept row; it counts against the rows after it
-    held = winners.select("rank", "key", F.col("row").alias("holder"))
-    why = edges.join(held, ["rank", "key"]).where("holder < row").groupBy("row").agg(F.min("rank").alias("why"))
+    held = (edges.limit(0) if winners is None else winners).select("rank", "key", F.col("row").alias("holder"))
+    why = edges.join(held, ["rank", "key"]).where("holder < row").groupBy("row").agg(F.min(F.struct("rank", "holder")).alias("why"))
     names = F.array(*(F.lit(k) for k in keys))
     out = df.select(F.col(order).alias("row")).join(why, "row", "left")
-    return out.select(F.col("row").alias(order), F.col("why").isNull().alias("kept"), F.when(F.col("why").isNotNull(), F.get(names, F.col("why"))).alias("reason"))
+    return out.select(F.col("row").alias(order), F.col("why").isNull().alias("kept"), F.when(F.col("why").isNotNull(), F.get(names, F.col("why.rank"))).alias("reason"), F.col("why.holder").alias("holder"))
 
 
-def greedy_first_plain(frame: pd.DataFrame, order: str, keys: list[str]) -> pd.DataFrame:
-    """The same row by row, for tests."""
-    seen: dict[str, set] = {k: set() for k in keys}
-    out = []
-    for row in frame.sort_values(order).to_dict("records"):
-        has = [k for k in keys if row[k] is not None and row[k] != ""]
-        why = next((k for k in has if row[k] in seen[k]), None)
-        if why is None:
-            for k in has:
-                seen[k].add(row[k])
-        out.append((row[order], why is None, why))
-    return pd.DataFrame(out, columns=[order, "kept", "reason"])
+def accepted_records(df: DataFrame, order: str, keys: list[str], value: str) -> DataFrame:
+    """``order, values, matches``: the rows that ``greedy_first`` keeps, each with the distinct ``value``s of itself and of the rows it stands for, in order, and their number. Null values are left out."""
+    found = greedy_first(df, order, keys).select(F.col(order).alias("row"), F.coalesce("holder", order).alias("kept_as"))
+    seen = df.select(F.col(order).alias("row"), F.col(value).alias("value")).where("value is not null").join(found, "row")
+    first = seen.groupBy("kept_as", "value").agg(F.min("row").alias("at"))
+    lists = first.groupBy("kept_as").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "value"))), lambda x: x["value"]).alias("values"))
+    out = found.select("kept_as").distinct().join(lists, "kept_as", "left")
+    return out.select(F.col("kept_as").alias(order), F.coalesce("values", F.expr("cast(array() as array<string>)")).alias("values"), F.coalesce(F.size("values"), F.lit(0)).alias("matches"))
 
 
-def numbered(df: DataFrame, order: list[str], name: str = "number", parts: int = 64) -> DataFrame:
-    """Consecutive numbers from 0 in ``order``, without gathering all rows in one task: ranges are sorted apart and start where the counts before them end."""
+def numbered(df: DataFrame, order: list[str], name: str = "number", rows_a_part: int = 500_000) -> DataFrame:
+    """Consecutive numbers from 0 in ``order``, without gathering all rows in one task: ranges of about ``rows_a_part`` rows are sorted apart and start where the counts before them end."""
+    parts = max(1, -(-df.count() // rows_a_part))
     ranged = cut(df.repartitionByRange(parts, *order).withColumn("__part", F.spark_partition_id()))
     counts = ranged.groupBy("__part").agg(F.count("*").alias("n"))
     starts = counts.select("__part", F.coalesce(F.sum("n").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__start"))

@@ -52,6 +52,38 @@ def grade(score: Column) -> Column:
     return F.when(score >= CORRECT, "correct").when(score.isNull() | (score >= AMBIGUOUS), "ambiguous").otherwise("incorrect")
 
 
+def consistent(label: Column, score: Column) -> Column:
+    """Whether a label fits its score: relevant from 0.8 on, irrelevant below 0.4, ambiguous between; nulls and other labels do not fit."""
+    fits = F.when(label == "relevant", score >= CORRECT).when(label == "ambiguous", (score >= AMBIGUOUS) & (score < CORRECT)).when(label == "irrelevant", score < AMBIGUOUS)
+    return F.coalesce(fits, F.lit(False))
+
+
+def review_route(label: Column, score: Column, accepted: float = 0.8, rejected: float = 0.39) -> Column:
+    """accepted, rejected, or needs_review for all else, nulls among it."""
+    return F.when((label == "relevant") & (score >= accepted), "accepted").when((label == "irrelevant") & (score <= rejected), "rejected").otherwise("needs_review")
+
+
+def resolution(ambiguous: DataFrame, graded: DataFrame, screened: DataFrame, shortlist: DataFrame, key: str, deferred_allowed: bool = True) -> DataFrame:
+    """One row of counts of distinct keys and what follows from them: is every ambiguous key graded or screened, every one of the shortlist graded, and the ``status``. Null keys are left out.
+
+    Keys of all four sides are grouped once.
+    """
+    sides = {"ambiguous": ambiguous, "graded": graded, "screened": screened, "shortlist": shortlist}
+    rows = None
+    for name, side in sides.items():
+        one = side.select(F.col(key).alias("k"), F.lit(name).alias("side")).where("k is not null").distinct()
+        rows = one if rows is None else rows.unionByName(one)
+    has = rows.groupBy("k").agg(*(F.bool_or(F.col("side") == n).alias(n) for n in sides))
+    a, g, s, h = (F.col(n) for n in sides)
+    counts = has.agg(
+        F.count_if(a).alias("ambiguous_candidates"), F.count_if(a & g).alias("ambiguous_graded"), F.count_if(a & s).alias("ambiguous_screened"), F.count_if(h).alias("screening_shortlist"),
+        F.count_if(h & g).alias("shortlist_graded"), F.count_if(h & ~g).alias("deferred_review"), (F.count_if(a & ~g & ~s) == 0).alias("screening_complete"),
+    )
+    whole = F.col("deferred_review") == 0
+    status = F.when(F.col("screening_complete") & whole, "complete").when(F.col("screening_complete") & F.lit(deferred_allowed), "complete_with_deferred_review").otherwise("provisional")
+    return counts.select("*", whole.alias("shortlist_grading_complete"), status.alias("status"))
+
+
 def routes(graded: DataFrame, key: str, grade_: str = "grade") -> DataFrame:
     """``key, route, documents, useful``: the best grade among a query's documents, and how many are not incorrect (null grades among them)."""
     has = lambda g: F.coalesce(F.bool_or(F.col(grade_) == g), F.lit(False))

@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
+from quillstream.functions.ids import RECENCY
 from quillstream.functions.text import SECTION_TYPES, STOPWORDS
-from quillstream.plans.settings import CUTOFF, FAILS, LEXICON, WINDOW
+from quillstream.plans.settings import CUTOFF, FAILS, LEXICON, OFF_TOPIC, ON_TOPIC, SAVING, WINDOW
 
 SPACE = r"\s\x{0b}\x{1c}-\x{1f}\x{85}\p{Z}"
 WORD = r"[\p{L}\p{N}_]+"
@@ -42,24 +43,27 @@ ABSTRACT = """spots AS (
 ), abstract_of AS (SELECT record_id, coalesce(abstract, '') AS abstract FROM works LEFT JOIN built USING (record_id))"""
 
 
+def _some(text: str, terms: list[str]) -> str:
+    return "list_filter([" + ", ".join(f"'{t}'" for t in terms) + f"], lambda t: contains({text}, t))"
+
+
 def _scored() -> str:
-    title, meta = "lower(coalesce(title, ''))", "lower(array_to_string(list_concat(coalesce(list_transform(topics, lambda t: t.display_name), []), coalesce(matched_queries, [])), ' '))"
-    parts = " + ".join(
-        f"CASE WHEN contains({title}, '{t}') THEN {2 * w} WHEN contains(lower(abstract), '{t}') THEN {w} WHEN contains({meta}, '{t}') THEN {max(1, w // 2)} ELSE 0 END" for t, w in LEXICON.items()
-    )
-    tests = dict(
-        zip(FAILS, ["is_retracted", "trim(coalesce(title, '')) = ''", "abstract = ''", "NOT (coalesce(has_content.pdf, false) OR coalesce(has_content.grobid_xml, false))"])
-    )
+    terms = list(LEXICON)
+    once = " + ".join(f"CASE WHEN list_contains(tt, '{t}') THEN {2 * w} WHEN list_contains(at_, '{t}') THEN {w} WHEN list_contains(mt, '{t}') THEN {max(1, w // 2)} ELSE 0 END" for t, w in LEXICON.items())
+    tests = dict(zip(FAILS, ["is_retracted", "trim(coalesce(title, '')) = ''", "coalesce(cardinality(abstract_inverted_index), 0) = 0", "NOT (coalesce(has_content.pdf, false) OR coalesce(has_content.grobid_xml, false))"]))
     fails = ", ".join(f"CASE WHEN {test} THEN '{name}' END" for name, test in tests.items())
-    return f"""{ABSTRACT}, scored AS (
-  SELECT record_id, publication_year, CAST({parts} + least(greatest(coalesce(query_match_count, 0), 0), 3) AS BIGINT) AS score,
-    list_filter([{fails}], lambda f: f IS NOT NULL) AS fails
-  FROM works JOIN abstract_of USING (record_id)
+    return f"""{ABSTRACT}, texts AS (
+  SELECT w.*, lower(coalesce(title, '')) AS tx, lower(a.abstract) AS ax,
+    lower(array_to_string(list_concat([primary_topic.display_name], coalesce(list_transform(topics, lambda t: t.display_name), []), coalesce(matched_queries, [])), ' ')) AS mx
+  FROM works w JOIN abstract_of a USING (record_id)
+), found AS (
+  SELECT *, {_some('tx', terms)} AS tt, list_filter({_some('ax', terms)}, lambda t: NOT contains(tx, t)) AS at_, list_filter({_some('mx', terms)}, lambda t: NOT contains(tx, t) AND NOT contains(ax, t)) AS mt,
+    CASE WHEN len({_some('tx', SAVING)}) > 0 THEN [] ELSE {_some('tx', OFF_TOPIC)} END AS pt, len({_some('tx', ON_TOPIC)}) AS near FROM texts
+), raw AS (SELECT *, {once} + least(greatest(coalesce(query_match_count, 0), 0), 3) - CASE WHEN len(pt) > 0 THEN 12 ELSE 0 END AS r FROM found), scored AS (
+  SELECT *, CAST(greatest(0, CASE WHEN near = 0 THEN least(r, 7) ELSE r END) AS BIGINT) AS score, list_filter([{fails}], lambda f: f IS NOT NULL) AS fails FROM raw
 )"""
 
 
-
-
 def _leaves(item: str, names: list[str]) -> str:
     """Leaves of a JSON object as columns, truth values as booleans."""
     text = lambda c: f"{item} ->> '$.{c}'"
@@ -148,7 +152,11 @@ NESTED = f"""src AS (
   SELECT DISTINCT record_id, TRY_CAST(CAST(p AS VARCHAR) AS INT) AS pos FROM (SELECT record_id, unnest(json_extract(v, '$[*]')) AS p FROM (SELECT record_id, unnest(json_extract(a, '$.*')) AS v FROM src))
 )"""
 
-SAFE = "regexp_matches(url, '^https?://') AND NOT regexp_matches(host, '^(localhost|.*\\.local|127\\..*|10\\..*|192\\.168\\..*|169\\.254\\..*|172\\.(1[6-9]|2\\d|3[01])\\..*|0\\.0\\.0\\.0|\\[.*)$')"
+OCTETS = ", ".join(f"TRY_CAST(regexp_extract(host, '^(0|[1-9]\\d{{0,2}})\\.(0|[1-9]\\d{{0,2}})\\.(0|[1-9]\\d{{0,2}})\\.(0|[1-9]\\d{{0,2}})$', {k}) AS INT) AS o{k}" for k in range(1, 5))
+# by the first octets of an address, where the query compares its number; addresses in brackets are left to the tests
+CLOSED = """o1 IN (0, 10, 127) OR o1 >= 224 OR (o1 = 100 AND o2 BETWEEN 64 AND 127) OR (o1 = 169 AND o2 = 254) OR (o1 = 172 AND o2 BETWEEN 16 AND 31) OR (o1 = 192 AND o2 = 168)
+  OR (o1 = 192 AND o2 = 0 AND (o3 = 2 OR (o3 = 0 AND o4 NOT IN (9, 10)))) OR (o1 = 198 AND (o2 IN (18, 19) OR (o2 = 51 AND o3 = 100))) OR (o1 = 203 AND o2 = 0 AND o3 = 113)"""
+SAFE = f"""starts_with(lower(trim(url)), 'http') AND CASE WHEN greatest(o1, o2, o3, o4) <= 255 AND o4 IS NOT NULL THEN NOT ({CLOSED}) ELSE host NOT IN ('localhost', 'localhost.localdomain') AND NOT ends_with(host, '.local') END"""
 FULL_DATES = f"""dates AS (
   SELECT work_id, arg_max(publication_date, record_id) AS publication_date FROM (SELECT {work_id('id')} AS work_id, publication_date, record_id FROM works)
   WHERE regexp_matches(publication_date, '^\\d{{4}}-\\d{{2}}-\\d{{2}}$') AND work_id <> '' GROUP BY work_id
@@ -187,7 +195,7 @@ def oracle_sql() -> dict[str, str]:
             SELECT record_id, md5(w) AS whole, length(w) AS characters, length(w) >= 500 AS usable FROM whole""",
         "encoder_texts": f"""WITH {CHUNKS}, t AS (
               SELECT vector_id, concat_ws(chr(10), CASE WHEN trim(title, ' ') <> '' THEN 'Paper: ' || trim(title, ' ') END, CASE WHEN trim(section_heading, ' ') <> '' THEN 'Section: ' || trim(section_heading, ' ') END, trim(text, ' ')) AS e FROM docs)
-            SELECT vector_id, md5(CASE WHEN length(e) > 1600 THEN rtrim(left(e, 1600), ' ') || '...' ELSE e END) AS encoded FROM t""",
+            SELECT vector_id, md5(e) AS encoded FROM t""",
         "open_pdf_urls": """WITH u AS (
               SELECT record_id, 0 AS k, best_oa_location.pdf_url AS url FROM works WHERE best_oa_location.is_oa IS DISTINCT FROM false
               UNION ALL SELECT record_id, generate_subscripts(locations, 1), unnest(list_transform(locations, lambda l: CASE WHEN l.is_oa THEN l.pdf_url END)) FROM works
@@ -195,8 +203,8 @@ def oracle_sql() -> dict[str, str]:
             SELECT record_id, coalesce(string_agg(url, ' ' ORDER BY k), '') AS urls, count(url) AS n FROM works LEFT JOIN f USING (record_id) GROUP BY record_id""",
         "url_hosts": f"""WITH u AS (
               SELECT unnest([l.landing_page_url, l.pdf_url]) AS url FROM (SELECT unnest(locations) AS l FROM works)
-            ), h AS (SELECT url, nullif(regexp_extract(url, '^[a-z]+://([^/:?#]+)', 1), '') AS host FROM u WHERE url IS NOT NULL)
-            SELECT host, count(*) AS urls, count(*) FILTER ({SAFE}) AS safe FROM h GROUP BY host""",
+            ), h AS (SELECT url, nullif(regexp_extract(url, '^[a-z]+://([^/:?#]+)', 1), '') AS host FROM u WHERE url IS NOT NULL), o AS (SELECT *, {OCTETS} FROM h)
+            SELECT host, count(*) AS urls, count(*) FILTER ({SAFE}) AS safe FROM o GROUP BY host""",
         "date_windows": f"""WITH {CHUNKS}, d AS (
               SELECT paper_id, publication_year AS y, TRY_CAST(nullif(regexp_extract(publication_date, '^\\d{{4}}-\\d{{2}}-\\d{{2}}'), '') AS DATE) AS day FROM docs)
             SELECT paper_id, count(*) AS chunks, count(*) FILTER (CASE WHEN day IS NOT NULL THEN day BETWEEN DATE '{begin}' AND DATE '{end}' ELSE {days >= 365} AND y BETWEEN {begin[:4]} AND {end[:4]} END) AS in_window
@@ -242,6 +250,10 @@ def oracle_sql() -> dict[str, str]:
         "relevance_scores": f"WITH {_scored()} SELECT record_id, score, array_to_string(fails, '|') AS fails FROM scored",
         "failure_counts": f"WITH {_scored()} SELECT reason, count(*) AS works FROM (SELECT unnest(fails) AS reason FROM scored) GROUP BY reason",
         "score_histogram": f"WITH {_scored()} SELECT score, count(*) AS works, count(*) FILTER (len(fails) > 0) AS failing FROM scored GROUP BY score",
+        "selection_decisions": f"""WITH {_scored()} SELECT record_id, score, array_to_string(tt, '|') AS title_terms, array_to_string(at_, '|') AS abstract_terms, array_to_string(mt, '|') AS metadata_terms,
+            array_to_string(pt, '|') AS penalty_terms, CASE WHEN coalesce(is_retracted, false) OR trim(coalesce(title, '')) = '' OR score < 4 THEN 'rejected' WHEN score < 8 THEN 'ambiguous' ELSE 'retained' END AS decision FROM scored""",
+        "best_works": f"""WITH {_scored()}, r AS (SELECT publication_year, record_id, score, row_number() OVER (PARTITION BY publication_year
+              ORDER BY score DESC, coalesce(has_content.grobid_xml, false) DESC, coalesce(cited_by_count, 0) DESC, record_id) AS rank FROM scored) SELECT * FROM r WHERE rank <= 10""",
         "discovery_report": """WITH r AS (SELECT 'year' AS kind, CAST(publication_year AS VARCHAR) AS key FROM works UNION ALL SELECT 'query', unnest(matched_queries) FROM works
               UNION ALL SELECT 'topic', unnest(topics).display_name FROM works)
             SELECT kind, key, count(*) AS works FROM r WHERE key IS NOT NULL GROUP BY ALL""",
@@ -295,7 +307,7 @@ def oracle_sql() -> dict[str, str]:
             SELECT question_id, CASE WHEN max(s) >= 0.8 THEN 'correct' WHEN max(s) >= 0.4 THEN 'ambiguous' ELSE 'incorrect' END AS route, count(*) AS documents, count(*) FILTER (s >= 0.4) AS useful FROM scored GROUP BY question_id""",
         "evidence_contexts": f"""WITH {CHUNKS}, {LISTS}, {_fuse('chunk_id', 10)}, texts AS (SELECT chunk_id, min(title) AS title, min(section_heading) AS heading, trim(min(text), ' ') AS text FROM docs GROUP BY chunk_id),
             shown AS (SELECT question_id, rank, concat_ws(chr(10), 'Document ' || rank, CASE WHEN trim(title, ' ') <> '' THEN 'Title: ' || trim(title, ' ') END, CASE WHEN trim(heading, ' ') <> '' THEN 'Section: ' || trim(heading, ' ') END,
-              CASE WHEN length(text) > 400 THEN rtrim(left(text, 400), ' ') || '...' ELSE text END) AS s FROM fused JOIN texts USING (chunk_id)),
+              CASE WHEN length(text) > 2400 THEN rtrim(left(text, 2400), ' ') || '...' ELSE text END) AS s FROM fused JOIN texts USING (chunk_id)),
             joined AS (SELECT question_id, string_agg(s, chr(10) || '---' || chr(10) ORDER BY rank) AS c FROM shown GROUP BY question_id)
             SELECT question_id, md5(c) AS context, length(c) AS characters FROM joined""",
         "keyword_coverage": f"""WITH {CHUNKS}, {LISTS}, {_fuse('chunk_id', 10)}, asked AS (
@@ -303,4 +315,33 @@ def oracle_sql() -> dict[str, str]:
             ), texts AS (SELECT chunk_id, min(text) AS text FROM docs GROUP BY chunk_id), top_ AS (SELECT question_id, text FROM fused JOIN texts USING (chunk_id)),
             each AS (SELECT question_id, word, max(CASE WHEN list_contains(regexp_extract_all(lower(text), '{WORD}'), word) THEN 1 ELSE 0 END) AS hit FROM asked JOIN top_ USING (question_id) GROUP BY ALL)
             SELECT question_id, count(*) AS words, round(avg(hit), 6) AS coverage FROM each GROUP BY question_id""",
+        "answer_scores": f"""WITH {CHUNKS}, {LISTS}, {_fuse('chunk_id', 1)}, {_terms('questions', 'question', 'terms')}, texts AS (SELECT chunk_id, min(text) AS text FROM docs GROUP BY chunk_id),
+            top_ AS (SELECT question_id, text, regexp_extract_all(lower(text), '{WORD}') AS ws FROM fused JOIN texts USING (chunk_id)),
+            req AS (SELECT question_id, list(term) AS required FROM terms GROUP BY question_id),
+            rows_ AS (SELECT q.question_id, category, text, coalesce(ws, []) AS ws, coalesce(required, []) AS required, coalesce(list_distinct(list_filter(regexp_extract_all(lower(reference_answer), '{WORD}'), lambda w: length(w) >= 9)), []) AS forbidden
+              FROM questions q LEFT JOIN top_ USING (question_id) LEFT JOIN req USING (question_id)),
+            met AS (SELECT *, len(list_filter(required, lambda w: list_contains(ws, w))) AS has, len(list_filter(forbidden, lambda w: list_contains(ws, w))) AS bad FROM rows_),
+            stated AS (SELECT *, CASE WHEN text IS NULL THEN 'failed' WHEN len(required) > 0 AND has / len(required) > 0.1 THEN 'accepted' ELSE 'insufficient_evidence' END AS status FROM met)
+            SELECT question_id, status, CASE WHEN len(required) + len(forbidden) > 0 THEN round((has + len(forbidden) - bad) / (len(required) + len(forbidden)), 6) END AS keyword_coverage,
+              (CASE WHEN (text IS NOT NULL) = (category <> 'unanswerable') THEN 0.5 ELSE 0 END + CASE WHEN (has = 0) = (category = 'time_bound') THEN 0.5 ELSE 0 END)::DOUBLE AS route_accuracy,
+              CASE WHEN trim(coalesce(text, '')) <> '' AND CASE WHEN category = 'unanswerable' THEN status = 'insufficient_evidence' ELSE status = 'accepted' OR (category = 'multi_hop' AND status = 'insufficient_evidence') END THEN 1.0 ELSE 0.0 END::DOUBLE AS success
+            FROM stated""",
+        "candidate_reviews": """WITH l AS (SELECT CASE WHEN isnan(rerank_score) THEN NULL WHEN rerank_score >= 2 THEN 'relevant' WHEN rerank_score >= 0 THEN 'ambiguous' WHEN rerank_score < 0 THEN 'irrelevant' END AS label,
+              CASE WHEN NOT isnan(dense_score) THEN dense_score END AS s FROM candidates)
+            SELECT label, coalesce(CASE label WHEN 'relevant' THEN s >= 0.8 WHEN 'ambiguous' THEN s >= 0.4 AND s < 0.8 WHEN 'irrelevant' THEN s < 0.4 END, false) AS fits,
+              CASE WHEN label = 'relevant' AND s >= 0.8 THEN 'accepted' WHEN label = 'irrelevant' AND s <= 0.39 THEN 'rejected' ELSE 'needs_review' END AS route, count(*) AS candidates FROM l GROUP BY ALL""",
+        "corpus_status": f"""WITH a AS (SELECT DISTINCT {found_id('upper(id)')} AS k FROM works), g AS (SELECT DISTINCT {found_id('upper(paper_id)')} AS k FROM parsed_papers), s AS (SELECT DISTINCT {found_id('upper(paper_id)')} AS k FROM chunks),
+            h AS (SELECT DISTINCT {found_id('upper(paper_id)')} AS k FROM documents), every AS (SELECT k FROM a UNION SELECT k FROM g UNION SELECT k FROM s UNION SELECT k FROM h),
+            f AS (SELECT k, k IN (SELECT k FROM a WHERE k IS NOT NULL) AS a, k IN (SELECT k FROM g WHERE k IS NOT NULL) AS g, k IN (SELECT k FROM s WHERE k IS NOT NULL) AS s, k IN (SELECT k FROM h WHERE k IS NOT NULL) AS h FROM every WHERE k IS NOT NULL),
+            c AS (SELECT count(*) FILTER (a) AS ambiguous_candidates, count(*) FILTER (a AND g) AS ambiguous_graded, count(*) FILTER (a AND s) AS ambiguous_screened, count(*) FILTER (h) AS screening_shortlist,
+              count(*) FILTER (h AND g) AS shortlist_graded, count(*) FILTER (h AND NOT g) AS deferred_review, count(*) FILTER (a AND NOT g AND NOT s) = 0 AS screening_complete FROM f)
+            SELECT *, deferred_review = 0 AS shortlist_grading_complete, CASE WHEN NOT screening_complete THEN 'provisional' WHEN deferred_review = 0 THEN 'complete' ELSE 'complete_with_deferred_review' END AS status FROM c""",
+        "question_signs": f"""WITH {JUDGED}, ids AS (SELECT question_id, list(chunk_id ORDER BY rank) AS cited FROM rated WHERE rank <= 3 GROUP BY question_id),
+            q AS (SELECT question_id, question, coalesce(reference_answer, '') AS answer, coalesce(cited, []) AS cited FROM questions LEFT JOIN ids USING (question_id))
+            SELECT question_id, regexp_matches(question, '{RECENCY}') AS recent,
+              md5(concat_ws(' ', answer, nullif(array_to_string(list_transform(list_filter(cited, lambda c: NOT contains(answer, '[' || c || ']')), lambda c: '[' || c || ']'), ' '), ''))) AS answer,
+              'none' AS unknown, array_to_string(list_filter([1, 0], lambda i: i < len(cited)), '|') AS indexes FROM q""",
+        "paper_identities": """WITH r AS (SELECT record_id, id AS a, CAST(NULL AS VARCHAR) AS b, doi, title, best_oa_location.pdf_url AS url FROM works UNION ALL SELECT record_id, NULL, paper_id, doi, title, source_path FROM parsed_papers)
+            SELECT record_id, coalesce(nullif(trim(a), ''), nullif(trim(b), ''), nullif(trim(regexp_replace(lower(trim(coalesce(doi, ''))), '^(https?://(dx\\.)?doi\\.[a-z]+/|doi:)', '')), ''),
+              'title:' || regexp_replace(lower(nullif(trim(title), '')), '\\s+', ' ', 'g')) AS identity, coalesce(url, '') || '?api_key=REDACTED&x=1' AS address, 'PMC' || record_id AS pmc FROM r""",
     }

@@ -11,7 +11,7 @@ from quillstream.functions import ids, nested, text
 from quillstream.operators import chunking, dedup, grading, joins, search, selection
 from quillstream.operators.works import work_children, work_table
 from quillstream.plans.oracle import oracle_sql
-from quillstream.plans.settings import CUTOFF, FAILS, LEXICON, WINDOW
+from quillstream.plans.settings import CUTOFF, RULES, WINDOW
 from quillstream.runtime import cut, shared_folder, table
 from quillstream.sources import xml_papers
 from quillstream.streaming import ingest
@@ -164,7 +164,7 @@ def greedy_dedup(spark: SparkSession, d: str) -> DataFrame:
     named = lambda t, i: table(spark, d, t).select("record_id", F.nullif(ids.work_id(F.col(i)), F.lit("")).alias("work"), ids.plain_doi(F.col("doi")).alias("doi"), ids.title_key(F.col("title")).alias("title"))
     both = named("works", "id").withColumn("source", F.lit(0)).unionByName(named("parsed_papers", "paper_id").withColumn("source", F.lit(1)))
     rows = dedup.numbered(both, ["source", "record_id"], "at")
-    return rows.select("at", "record_id").join(dedup.greedy_first(rows, "at", ["work", "doi", "title"]), "at").select("record_id", "kept", "reason")
+    return rows.select("at", "record_id").join(dedup.greedy_first(rows, "at", ["work", "doi", "title"]).drop("holder"), "at").select("record_id", "kept", "reason")
 
 
 def parsed_union(spark: SparkSession, d: str) -> DataFrame:
@@ -219,12 +219,13 @@ def remaining_chunks(spark: SparkSession, d: str) -> DataFrame:
 
 def _scored_works(spark: SparkSession, d: str) -> DataFrame:
     works = table(spark, d, "works")
-    score = selection.relevance(F.col("title"), F.col("abstract_inverted_index"), F.col("topics"), F.col("matched_queries"), F.col("query_match_count"), LEXICON)
+    found = selection.relevance(F.col("title"), F.col("abstract_inverted_index"), F.col("primary_topic"), F.col("topics"), F.col("matched_queries"), F.col("query_match_count"), RULES)
     fails = selection.failures(
-        retracted=F.col("is_retracted"), missing_title=F.trim(F.coalesce("title", F.lit(""))) == "", missing_abstract=nested.abstract_text(F.col("abstract_inverted_index")) == "",
-        missing_content=~(F.coalesce("has_content.pdf", F.lit(False)) | F.coalesce("has_content.grobid_xml", F.lit(False))),
+        retracted=F.col("is_retracted"), missing_title=F.trim(F.coalesce("title", F.lit(""))) == "", missing_abstract=F.coalesce(F.cardinality("abstract_inverted_index"), F.lit(0)) == 0,
+        missing_downloadable_content=~(F.coalesce("has_content.pdf", F.lit(False)) | F.coalesce("has_content.grobid_xml", F.lit(False))),
     )
-    return works.select("record_id", "publication_year", score.cast("bigint").alias("score"), fails.alias("fails"))
+    rows = works.select("record_id", "publication_year", "cited_by_count", F.col("has_content.grobid_xml").alias("has_xml"), found.alias("found"), fails.alias("fails"))
+    return rows.select("*", F.col("found.score").cast("bigint").alias("score"))
 
 
 def relevance_scores(spark: SparkSession, d: str) -> DataFrame:
@@ -239,6 +240,19 @@ def score_histogram(spark: SparkSession, d: str) -> DataFrame:
     return _scored_works(spark, d).groupBy("score").agg(F.count("*").alias("works"), F.count_if(F.size("fails") > 0).alias("failing"))
 
 
+def selection_decisions(spark: SparkSession, d: str) -> DataFrame:
+    """Where each work's terms were found and whether it is retained; only retraction and a missing title fail it."""
+    rows = _scored_works(spark, d).withColumn("failed", F.array_intersect("fails", F.array(F.lit("retracted"), F.lit("missing_title"))))
+    terms = [F.array_join(f"found.{c}", "|").alias(c) for c in ("title_terms", "abstract_terms", "metadata_terms", "penalty_terms")]
+    return rows.select("record_id", "score", *terms, selection.decision(F.col("score"), F.col("failed"), RULES).alias("decision"))
+
+
+def best_works(spark: SparkSession, d: str) -> DataFrame:
+    """The ten best works of each publication year: a top-k report."""
+    order = [*selection.candidate_order(F.col("score"), F.col("has_xml"), F.col("cited_by_count"), F.col("publication_year")), F.asc("record_id")]
+    return search.best(_scored_works(spark, d), ["publication_year"], order, 10).select("publication_year", "record_id", "score", F.col("rank").cast("bigint").alias("rank"))
+
+
 def discovery_report(spark: SparkSession, d: str) -> DataFrame:
     works = table(spark, d, "works")
     by = lambda kind, c: works.select(c.alias("key")).where("key is not null").groupBy("key").agg(F.count("*").alias("works")).select(F.lit(kind).alias("kind"), "key", "works")
@@ -388,12 +402,73 @@ def keyword_coverage(spark: SparkSession, d: str) -> DataFrame:
     return each.groupBy("question_id").agg(F.count("*").alias("words"), F.round(F.avg("hit"), 6).alias("coverage"))
 
 
+def _answers(spark: SparkSession, d: str) -> DataFrame:
+    """An answer per question: the text of its best fused chunk where the overlap of their words is fair, else none; with phrases that it must and must not have, and the decisions expected of it."""
+    asked = table(spark, d, "questions").select("question_id", "question", "reference_answer", "category")
+    texts = _chunks(spark, d, "chunk_id", "text").groupBy("chunk_id").agg(F.min("text").alias("text"))
+    top = search.fuse(*_lists(spark, d), "question_id", "chunk_id", k=1).join(texts, "chunk_id").select("question_id", F.col("text").alias("answer"))
+    rows = asked.join(top, "question_id", "left").withColumn("overlap", grading.overlap_score(F.col("question"), F.col("answer")))
+    status = F.when(F.col("answer").isNull(), "failed").when(F.col("overlap") > 0.1, "accepted").otherwise("insufficient_evidence")
+    return rows.select(
+        "question_id", "answer", status.alias("status"), text.search_terms(F.col("question")).alias("required"),
+        F.array_distinct(F.filter(text.words(F.col("reference_answer")), lambda w: F.length(w) >= 9)).alias("forbidden"), F.col("answer").isNotNull().alias("retrieved"), (F.col("overlap") == 0).alias("web"),
+        (F.col("category") != "unanswerable").alias("needs_retrieval"), (F.col("category") == "time_bound").alias("needs_web"), (F.col("category") == "unanswerable").alias("expects_none"), (F.col("category") == "multi_hop").alias("accepts_none"),
+    )
+
+
+def answer_scores(spark: SparkSession, d: str) -> DataFrame:
+    keywords = nested.keyword_coverage(F.col("answer"), F.col("required"), F.col("forbidden"))
+    routed = nested.route_accuracy(F.col("retrieved"), F.col("web"), F.col("needs_retrieval"), F.col("needs_web"))
+    done = nested.success(F.col("answer"), F.lit(None).cast("string"), F.col("status"), F.col("expects_none"), F.col("accepts_none"))
+    return _answers(spark, d).select("question_id", "status", F.round(keywords, 6).alias("keyword_coverage"), routed.alias("route_accuracy"), done.alias("success"))
+
+
+def candidate_reviews(spark: SparkSession, d: str) -> DataFrame:
+    """Candidates by the label that the rerank score gives them, whether the dense score fits it, and the route that follows."""
+    label = F.when(F.isnan("rerank_score"), None).when(F.col("rerank_score") >= 2, "relevant").when(F.col("rerank_score") >= 0, "ambiguous").when(F.col("rerank_score") < 0, "irrelevant")
+    rows = table(spark, d, "candidates").select(label.alias("label"), F.when(~F.isnan("dense_score"), F.col("dense_score")).alias("score"))
+    by = rows.select("label", grading.consistent(F.col("label"), F.col("score")).alias("fits"), grading.review_route(F.col("label"), F.col("score")).alias("route"))
+    return by.groupBy("label", "fits", "route").agg(F.count("*").alias("candidates"))
+
+
+def corpus_status(spark: SparkSession, d: str) -> DataFrame:
+    """Are all works of the feed parsed or chunked, and all papers of documents parsed."""
+    key = lambda t, c: table(spark, d, t).select(ids.work_id_anywhere(F.upper(c)).alias("key"))
+    return grading.resolution(key("works", "id"), key("parsed_papers", "paper_id"), key("chunks", "paper_id"), key("documents", "paper_id"), "key")
+
+
+def accepted_works(spark: SparkSession, d: str) -> DataFrame:
+    """Works as they are discovered, one after the other: a known id, or else the DOI of an accepted work, adds its queries to that work."""
+    works = table(spark, d, "works").select("record_id", F.nullif(ids.work_id(F.col("id")), F.lit("")).alias("work"), ids.plain_doi(F.col("doi")).alias("doi"), F.array_join("matched_queries", "|").alias("queries"))
+    return dedup.accepted_records(works, "record_id", ["work", "doi"], "queries").select("record_id", F.array_join("values", "||").alias("queries"), F.col("matches").cast("bigint").alias("matches"))
+
+
+def question_signs(spark: SparkSession, d: str) -> DataFrame:
+    """Which questions ask for recent evidence, and their answers with the ids of their three best candidates cited and with one unknown id found out."""
+    rows = _judged(spark, d).select("question_id", "cited").join(table(spark, d, "questions").select("question_id", "question", "reference_answer"), "question_id")
+    cited = F.coalesce("cited", F.expr("cast(array() as array<string>)"))
+    unknown = nested.unknown_citations(F.concat(cited, F.array(F.lit("none"))), cited)
+    return rows.select(
+        "question_id", ids.asks_for_recent(F.col("question")).alias("recent"), F.md5(nested.with_citations(F.coalesce("reference_answer", F.lit("")), cited)).alias("answer"), F.array_join(unknown, "|").alias("unknown"),
+        F.array_join(nested.valid_indexes(F.array(F.lit(-1), F.lit(1), F.lit(1), F.size(cited), F.lit(0)), F.size(cited)), "|").alias("indexes"),
+    )
+
+
+def paper_identities(spark: SparkSession, d: str) -> DataFrame:
+    """One identity for each record of works and parsed papers, and addresses without keys."""
+    works = table(spark, d, "works").select("record_id", F.col("id").alias("a"), F.lit(None).cast("string").alias("b"), "doi", "title", F.col("best_oa_location.pdf_url").alias("url"))
+    papers = table(spark, d, "parsed_papers").select("record_id", F.lit(None).cast("string").alias("a"), F.col("paper_id").alias("b"), "doi", "title", F.col("source_path").alias("url"))
+    rows = works.unionByName(papers)
+    keyed = F.concat(F.coalesce("url", F.lit("")), F.lit("?api_key=secret&x=1"))
+    return rows.select("record_id", ids.identity(F.col("a"), F.col("b"), F.col("doi"), F.col("title")).alias("identity"), text.redacted(keyed).alias("address"), ids.pmc_id(F.concat(F.lit(" pmc"), F.col("record_id"))).alias("pmc"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = (
-        hybrid_search, bm25_topk, corrected_search, nearest_vectors, fused_candidates, capped_candidates, merged_evidence, rank_metrics, evaluation_report, keyword_coverage, evidence_routes, evidence_contexts,
+        hybrid_search, bm25_topk, corrected_search, nearest_vectors, fused_candidates, capped_candidates, merged_evidence, rank_metrics, evaluation_report, keyword_coverage, answer_scores, candidate_reviews, corpus_status, accepted_works, question_signs, paper_identities, evidence_routes, evidence_contexts,
         p3_found, p3_locations, p3_issn, p3_lineage, p3_best_oa_location, p3_open_access, p3_abstract_words, token_counts, last_tokens, work_identifiers, title_keys, abstracts, paper_texts, encoder_texts, open_pdf_urls, url_hosts, date_windows,
         section_profile, window_chunks, sentence_chunks, chunk_report, chunk_profile, parsed_xml, discovery_dedup, latest_candidates, greedy_dedup, parsed_union, numbered_chunks,
-        paper_dates, dated_chunks, coverage, repaired_ids, screening, remaining_chunks, relevance_scores, failure_counts, score_histogram, discovery_report, audit_counts, index_terms,
+        paper_dates, dated_chunks, coverage, repaired_ids, screening, remaining_chunks, relevance_scores, failure_counts, score_histogram, selection_decisions, best_works, discovery_report, audit_counts, index_terms,
         event_windows, ingested_lines,
     )
     return {f.__name__: f for f in found}

@@ -50,12 +50,35 @@ def test_identifiers(spark):
 
 
 def test_addresses(spark):
-    safe = ["https://a.example/x.pdf", "http://8.8.8.8/", " HTTPS://B.example "]
+    safe = ["https://a.example/x.pdf", "http://8.8.8.8/", " HTTPS://B.example ", "http://10.example.com/", "http://[2606:4700::1]/x", "http://192.0.0.9/", "http://100.128.0.1:80/", "http://mylocal/"]
     unsafe = ["ftp://a.example", "http://localhost/x", "http://x.local/", "http://127.0.0.1/", "http://192.168.1.2/", "http://172.20.0.1", "no url", "", None]
+    unsafe += ["http://localhost.localdomain/", "http://100.64.0.1/", "http://192.0.2.7/", "http://224.0.0.1/", "http://[::1]/", "http://[fe80::1]/", "http://[::ffff:10.0.0.1]/", "http://0.1.2.3", "http://255.255.255.255", "http://198.18.0.1"]
     got = [r[0] for r in spark.createDataFrame([(u,) for u in safe + unsafe], "u string").select(ids.is_safe_url(F.col("u"))).collect()]
     assert got == [True] * len(safe) + [False] * len(unsafe)
 
 
+def test_answers_are_scored(spark):
+    rows = [
+        ("The Dense\n index works", ["dense index", "missing"], ["index", "dex w"], 0.5), ("x", [], [], None), (None, ["a"], None, 0.0), ("a+b", ["A+B"], None, 1.0),
+    ]
+    df = spark.createDataFrame(rows, "answer string, must array<string>, must_not array<string>, want double")
+    assert all(r[0] == r[1] for r in df.select(nested.keyword_coverage(F.col("answer"), F.col("must"), F.col("must_not")), "want").collect())
+    routes = spark.createDataFrame([(True, False, True, False, 1.0), (True, True, True, False, 0.5), (None, True, True, False, 0.0)], "a boolean, b boolean, c boolean, d boolean, want double")
+    assert all(r[0] == r[1] for r in routes.select(nested.route_accuracy(*(F.col(c) for c in "abcd")), "want").collect())
+    outcomes = [
+        ("x", None, "accepted", False, False, 1.0), (" ", None, "accepted", False, False, 0.0), ("x", "boom", "accepted", False, False, 0.0), ("x", "", "insufficient_evidence", False, False, 0.0),
+        ("x", None, "insufficient_evidence", False, True, 1.0), ("x", None, "accepted", True, True, 0.0), ("x", None, "insufficient_evidence", True, False, 1.0), ("x", None, None, None, None, 0.0),
+    ]
+    df = spark.createDataFrame(outcomes, "answer string, error string, status string, expects boolean, accepts boolean, want double")
+    assert all(r[0] == r[1] for r in df.select(nested.success(*(F.col(c) for c in ("answer", "error", "status", "expects", "accepts"))), "want").collect())
+
+
+def test_abstracts_from_inverted_indexes(spark):
+    rows = [({"b": [3], "a": [1, 3], "z": [-1], "c": [6]}, "a  b   c"), ({}, ""), (None, ""), ({"x": None, "y": []}, ""), ({"w": [5]}, "w"), ({"p": list(range(0, 6000, 2)), "q": list(range(1, 6000, 2))}, " ".join(["p q"] * 3000))]
+    df = spark.createDataFrame(rows, "idx map<string,array<int>>, want string")
+    assert all(r[0] == r[1] for r in df.select(nested.abstract_text(F.col("idx")), "want").collect())
+
+
 def test_open_urls_keep_their_order(spark):
     place = "struct<is_oa:boolean,pdf_url:string>"
     rows = [((None, "b"), [(True, "a"), (False, "x"), (True, "b"), (True, None), None]), ((False, "z"), None), (None, [])]

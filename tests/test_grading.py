@@ -47,3 +47,21 @@ def test_a_weak_query_is_asked_again(spark):
     asked = spark.createDataFrame([("weak", "alpha beta"), ("strong", "unrelated"), ("none", "zzz")], "q string, query string")
     got = [(r["q"], r["d"], r["round"], r["rank"]) for r in search.corrective(asked, docs, "q", "query", "d", "text", "title").orderBy("q", "rank").collect()]
     assert got == [("strong", 3, 1, 1), ("weak", 2, 2, 1), ("weak", 1, 2, 2)]
+
+
+def test_labels_fit_their_scores_and_lead_somewhere(spark):
+    rows = [("relevant", 0.8), ("relevant", 0.79), ("ambiguous", 0.4), ("ambiguous", 0.8), ("irrelevant", 0.39), ("irrelevant", 0.395), ("irrelevant", 0.4), ("odd", 0.9), (None, 0.9), ("relevant", None)]
+    got = spark.createDataFrame(rows, "label string, score double").select(grading.consistent(F.col("label"), F.col("score")), grading.review_route(F.col("label"), F.col("score"))).collect()
+    review = "needs_review"
+    assert [tuple(r) for r in got] == [
+        (True, "accepted"), (False, review), (True, review), (False, review), (True, "rejected"), (True, review), (False, review), (False, review), (False, review), (False, review),
+    ]
+
+
+def test_status_follows_from_key_sets(spark):
+    side = lambda *keys: spark.createDataFrame([(k,) for k in keys], "k string")
+    row = grading.resolution(side("a", "b", "b", None), side("a", "c"), side("b"), side("c", "a"), "k").first()
+    assert (row["ambiguous_candidates"], row["ambiguous_graded"], row["ambiguous_screened"], row["shortlist_graded"], row["status"]) == (2, 1, 1, 2, "complete")
+    late = grading.resolution(side("a"), side("a"), side(), side("z"), "k")
+    assert late.first()["status"] == "complete_with_deferred_review" and grading.resolution(side("a"), side("a"), side(), side("z"), "k", False).first()["status"] == "provisional"
+    assert grading.resolution(side("a"), side(), side(), side(), "k").first()["status"] == "provisional"

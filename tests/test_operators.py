@@ -1,6 +1,7 @@
 import random
 import re
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -9,6 +10,20 @@ from quillstream.operators import chunking, dedup, joins, search, selection
 TOKEN = re.compile(r"\w+|[^\w\s]")
 
 
+def greedy_first_plain(frame: pd.DataFrame, order: str, keys: list[str]) -> pd.DataFrame:
+    """The same row by row, for tests."""
+    seen: dict[str, set] = {k: set() for k in keys}
+    out = []
+    for row in frame.sort_values(order).to_dict("records"):
+        has = [k for k in keys if row[k] is not None and row[k] != ""]
+        why = next((k for k in has if row[k] in seen[k]), None)
+        if why is None:
+            for k in has:
+                seen[k].add(row[k])
+        out.append((row[order], why is None, why))
+    return pd.DataFrame(out, columns=[order, "kept", "reason"])
+
+
 def plain_windows(text, most, overlap):
     spans = [m.span() for m in TOKEN.finditer(text)]
     out, at = [], 0
@@ -77,8 +92,8 @@ def test_greedy_first_equals_row_by_row(spark, seed):
     pick = lambda n: rnd.choice([None, "", *(f"k{j}" for j in range(n))])
     rows = [(k, pick(25), pick(40), "hot" if rnd.random() < 0.1 else pick(60)) for k in range(150)]
     df = spark.createDataFrame(rows, "at long, a string, b string, c string")
-    got = sorted(tuple(r) for r in dedup.greedy_first(df, "at", ["a", "b", "c"]).collect())
-    want = [(int(a), bool(k), w if isinstance(w, str) else None) for a, k, w in dedup.greedy_first_plain(df.toPandas(), "at", ["a", "b", "c"]).itertuples(index=False)]
+    got = sorted(tuple(r) for r in dedup.greedy_first(df, "at", ["a", "b", "c"]).drop("holder").collect())
+    want = [(int(a), bool(k), w if isinstance(w, str) else None) for a, k, w in greedy_first_plain(df.toPandas(), "at", ["a", "b", "c"]).itertuples(index=False)]
     assert got == want
 
 
@@ -91,7 +106,7 @@ def test_a_match_with_a_dropped_row_does_not_count(spark):
 
 def test_numbers_are_consecutive(spark):
     df = spark.createDataFrame([(f"k{j:03d}", j % 3) for j in range(200)], "k string, part int").repartition(7)
-    got = dedup.numbered(df, ["k"], parts=5).orderBy("k").collect()
+    got = dedup.numbered(df, ["k"], rows_a_part=40).orderBy("k").collect()
     assert [r["number"] for r in got] == list(range(200))
     assert dedup.numbered(spark.createDataFrame([], "k string"), ["k"]).collect() == []
 
@@ -164,9 +179,35 @@ def test_coverage_counts_each_key_once(spark):
     assert got == {"a": 1, "a+b": 1, "b": 1}
 
 
+RULES = selection.Rules({"search": 3, "index": 2, "grounding": 5}, ["forest"], ["saved"], ["search", "saved"])
+WORKS = "title string, idx map<string,array<int>>, main struct<display_name:string>, topics array<struct<display_name:string>>, q array<string>, n int, bad boolean"
+
+
 def test_scores_and_failures(spark):
-    rows = [("Dense Search", {"index": [0]}, [("Search",)], ["grounding"], 9, True), (None, None, None, None, None, None)]
-    df = spark.createDataFrame(rows, "title string, idx map<string,array<int>>, topics array<struct<display_name:string>>, q array<string>, n int, bad boolean")
-    score = selection.relevance(*(F.col(c) for c in ("title", "idx", "topics", "q", "n")), {"search": 3, "index": 2, "grounding": 5})
-    got = df.select(score, selection.failures(bad=F.col("bad"), untitled=F.col("title").isNull())).collect()
-    assert [tuple(r) for r in got] == [(3 * 2 + 2 + 2 + 3, ["bad"]), (0, ["untitled"])]
+    rows = [
+        ("Dense Search", {"index": [0]}, ("Search",), [("Search",), None], ["grounding", None], 9, True), (None, None, None, None, None, None, None),
+        ("Forest search", None, None, None, None, -1, False), ("Saved forest search", None, None, None, None, 0, False), ("Grounding index", {"grounding": [0], "index": [1]}, None, [], [], 2, None),
+    ]
+    df = spark.createDataFrame(rows, WORKS)
+    found = selection.relevance(*(F.col(c) for c in ("title", "idx", "main", "topics", "q", "n")), RULES)
+    got = df.select(found.alias("f"), selection.failures(bad=F.col("bad"), untitled=F.col("title").isNull()).alias("fails")).select("f.score", "f.title_terms", "f.metadata_terms", "f.penalty_terms", "fails", selection.decision(F.col("f.score"), F.col("fails"), RULES)).collect()
+    assert [tuple(r) for r in got] == [
+        (3 * 2 + 2 + 2 + 3, ["search"], ["grounding"], [], ["bad"], "rejected"), (0, [], [], [], ["untitled"], "rejected"),
+        (0, ["search"], [], ["forest"], [], "rejected"), (6, ["search"], [], [], [], "ambiguous"), (7, ["index", "grounding"], [], [], [], "ambiguous"),
+    ]
+    order = df.select(F.col("n").alias("s"), "bad").orderBy(*selection.candidate_order(F.col("s"), F.col("bad"), F.lit(None).cast("int"), F.lit(None).cast("int"))).collect()
+    assert [r["s"] for r in order] == [9, 2, 0, -1, None]
+
+
+def test_accepted_records_gather_the_queries_of_their_duplicates(spark):
+    rows = [(1, "W1", "d1", "a"), (2, "W2", "d1", "b"), (3, "W2", "", "c"), (4, "W1", "d9", "a"), (5, "W5", "d9", None), (6, "W6", "d9", "x"), (7, "W6", None, "y")]
+    got = dedup.accepted_records(spark.createDataFrame(rows, "at long, id string, doi string, q string"), "at", ["id", "doi"], "q").orderBy("at").collect()
+    # 2 has the DOI of 1 and is no record, so 3 is a new one; 4 is 1 again, so d9 is not known until 5
+    assert [tuple(r) for r in got] == [(1, ["a", "b"], 2), (3, ["c"], 1), (5, ["x"], 1), (7, ["y"], 1)]
+    assert dedup.accepted_records(spark.createDataFrame([], "at long, id string, doi string, q string"), "at", ["id", "doi"], "q").collect() == []
+
+
+def test_long_chains_of_rivals_end(spark):
+    rows = [(k, f"k{k}", f"k{k - 1}") for k in range(30)]
+    got = dedup.greedy_first(spark.createDataFrame([(k, f"x{k // 2}", f"y{(k + 1) // 2}") for k, *_ in rows], "at long, a string, b string"), "at", ["a", "b"]).orderBy("at").collect()
+    assert [r["kept"] for r in got] == [k % 2 == 0 for k in range(30)]

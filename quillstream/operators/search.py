@@ -2,36 +2,105 @@
 
 from __future__ import annotations
 
+import hashlib
+import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
+from dataclasses import dataclass
+
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from quillstream.functions.stem import stemmed
 from quillstream.functions.text import search_terms, words
-from quillstream.runtime import cut
+from quillstream.runtime import cut, exists, file_states, remove, rename, shared_folder
 
 K1, B, LEAST_IDF = 1.2, 0.75, 1e-6
+FEW_TERMS = 100_000  # terms that are broadcast at most
+
+
+@dataclass(frozen=True)
+class Index:
+    """Stored postings of a corpus (``term, d, tf, len``), the number of documents of each term (``term, df``), and the number and mean length of the documents."""
 
+    postings: DataFrame
+    terms: DataFrame
+    documents: int
+    mean: float
+    stems: bool
 
-def bm25(queries: DataFrame, docs: DataFrame, qid: str, query: str, doc: str, text: str, k: int = 50) -> DataFrame:
-    """``qid, doc, score, rank``: the ``k`` best documents of each query by BM25 over lower-case words, ties by smaller ``doc``.
 
-    The text of each document is read once: its length counts all words, and only words that some query has leave the map stage, already
-    counted. ``doc`` must be unique. Null and empty texts match nothing but count as documents; queries without words find nothing.
+def build_index(docs: DataFrame, doc: str, text: str, path: str, stems: bool = False) -> None:
+    """Write the postings of all documents to a new folder: the texts are read and counted once, and searches read only what is stored. ``doc`` must be unique.
+
+    Lengths count all words. With ``stems`` the counts of words with the same stem are added up. Null and empty texts have no postings but count as documents.
     """
-    terms = queries.select(F.col(qid).alias("q"), F.explode(search_terms(F.col(query))).alias("term"))
-    wanted = terms.select("term").distinct()
+    spark = docs.sparkSession
     sized = docs.select(F.col(doc).alias("d"), words(F.coalesce(F.col(text), F.lit(""))).alias("words"))
-    stats = sized.agg(F.count("*").alias("docs"), F.avg(F.size("words")).alias("mean")).first()
-    total, mean = stats["docs"] or 0, stats["mean"] or 1.0
-    counts = sized.select("d", F.size("words").alias("len"), F.explode("words").alias("term")).join(wanted, "term").groupBy("d", "len", "term").agg(F.count("*").alias("tf"))
-    df = counts.groupBy("term").agg(F.count("*").alias("df"))
-    idf = F.greatest(F.log((F.lit(total) - F.col("df") + 0.5) / (F.col("df") + 0.5)), F.lit(LEAST_IDF))
-    weight = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / mean))
-    scored = terms.join(df, "term").join(counts, "term").groupBy("q", "d").agg(F.round(F.sum(weight), 6).alias("score"))
+    counts = sized.select("d", F.size("words").alias("len"), F.explode_outer("words").alias("term")).groupBy("d", "len", "term").agg(F.count("*").alias("tf"))
+    if stems:
+        counts = counts.withColumn("term", stemmed(F.col("term"))).groupBy("d", "len", "term").agg(F.sum("tf").alias("tf"))
+    counts.write.parquet(f"{path}/postings")
+    held = spark.read.parquet(f"{path}/postings")
+    held.where("term is not null").groupBy("term").agg(F.count("*").alias("df")).write.parquet(f"{path}/terms")
+    each = held.groupBy("d").agg(F.first("len").alias("len"))
+    each.agg(F.count("*").alias("documents"), F.coalesce(F.avg("len"), F.lit(0.0)).alias("mean"), F.lit(stems).alias("stems")).write.parquet(f"{path}/corpus")
+
+
+def open_index(spark: SparkSession, path: str) -> Index:
+    corpus = spark.read.parquet(f"{path}/corpus").first()
+    return Index(spark.read.parquet(f"{path}/postings").where("term is not null"), spark.read.parquet(f"{path}/terms"), corpus["documents"], corpus["mean"] or 1.0, corpus["stems"])
+
+
+def stored_index(spark: SparkSession, source: str, make: Callable[[], DataFrame], doc: str, text: str, stems: bool = False) -> Index:
+    """The index of the table at ``source``, built in the shared folder if there is none of its files as they are now: their names, sizes and times are part of its name."""
+    name = hashlib.md5(repr((source, file_states(spark, source), stems)).encode()).hexdigest()
+    path = f"{shared_folder(spark)}/index-{name}"
+    if not exists(spark, f"{path}/corpus/_SUCCESS"):
+        part = f"{path}-{uuid.uuid4().hex}"
+        build_index(make(), doc, text, part, stems)
+        if not rename(spark, part, path):  # another job was first
+            remove(spark, part)
+    return open_index(spark, path)
+
+
+def bm25_of(index: Index, queries: DataFrame, qid: str, query: str, doc: str, k: int = 50) -> DataFrame:
+    """``qid, doc, score, rank``: the ``k`` best documents of each query by BM25 over lower-case words or their stems, ties by smaller ``doc``.
+
+    Only the postings of the queries' terms are scored. Queries without words find nothing.
+    """
+    terms = queries.select(F.col(qid).alias("q"), F.explode(search_terms(F.col(query))).alias("term"))
+    if index.stems:
+        terms = terms.withColumn("term", stemmed(F.col("term"))).distinct()
+    asked = cut(terms.join(index.terms, "term"))
+    wanted = asked.select("term").distinct()
+    postings = index.postings.join(F.broadcast(wanted) if wanted.count() <= FEW_TERMS else wanted, "term", "left_semi")
+    idf = F.greatest(F.log((F.lit(index.documents) - F.col("df") + 0.5) / (F.col("df") + 0.5)), F.lit(LEAST_IDF))
+    weight = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / index.mean))
+    scored = asked.join(postings, "term").groupBy("q", "d").agg(F.round(F.sum(weight), 6).alias("score"))
     return best(scored, ["q"], [F.desc("score"), F.asc("d")], k).select(F.col("q").alias(qid), F.col("d").alias(doc), "score", "rank")
 
 
+@contextmanager
+def own_index(docs: DataFrame, doc: str, text: str, stems: bool = False) -> Iterator[Index]:
+    """An index for one search alone, removed at the end."""
+    spark = docs.sparkSession
+    path = f"{shared_folder(spark)}/index-{uuid.uuid4().hex}"
+    build_index(docs, doc, text, path, stems)
+    try:
+        yield open_index(spark, path)
+    finally:
+        remove(spark, path)
+
+
+def bm25(queries: DataFrame, docs: DataFrame, qid: str, query: str, doc: str, text: str, k: int = 50, stems: bool = False) -> DataFrame:
+    """``bm25_of`` over documents without a stored index."""
+    with own_index(docs, doc, text, stems) as index:
+        return cut(bm25_of(index, queries, qid, query, doc, k))
+
+
 def best(df: DataFrame, group: list[str], order: list[Column], k: int, name: str = "rank") -> DataFrame:
     """The first ``k`` rows of each group with their rank; rows beyond never leave their map task."""
     return df.withColumn(name, F.row_number().over(Window.partitionBy(*group).orderBy(*order))).where(F.col(name) <= k)
@@ -58,7 +127,8 @@ def nearest(queries: DataFrame, corpus: DataFrame, qid: str, qvec: str, doc: str
     """
     side = lambda d, i, v, a: d.where(usable(F.col(v), dim)).select(F.col(i).alias(a), F.col(v).cast("array<double>").alias("v")).dropDuplicates([a])
     asked, held = side(queries, qid, qvec, "q"), side(corpus, doc, vec, "d")
-    parts = max(1, -(-corpus.count() // block))
+    total = corpus.count()
+    parts = max(1, -(-total // block), min(corpus.sparkSession.sparkContext.defaultParallelism, total // 2048))
     blocks = max(1, -(-queries.count() // block))
     cell = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
@@ -116,10 +186,10 @@ def relevance_vectors(found: DataFrame, chunks: DataFrame, qid: str, doc: str, v
     return each.groupBy(qid).agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "x"))), lambda s: s["x"]).alias("query_vector"))
 
 
-def hybrid(queries: DataFrame, chunks: DataFrame, qid: str, query: str, doc: str, group: str, text: str, vec: str, k: int = 10, wide: int = 50, fused: int = 30, cap: int = 2, dim: int = 64) -> DataFrame:
-    """``qid, doc, group, score, rank``: lexical and vector lists fused, then at most ``cap`` results of one group."""
-    chunks = cut(chunks.select(doc, group, text, vec))  # read four times
-    sparse = cut(bm25(queries, chunks, qid, query, doc, text, wide))
+def hybrid(queries: DataFrame, chunks: DataFrame, qid: str, query: str, doc: str, group: str, text: str, vec: str, k: int = 10, wide: int = 50, fused: int = 30, cap: int = 2, dim: int = 64, index: Index | None = None) -> DataFrame:
+    """``qid, doc, group, score, rank``: the lexical list and that of the vectors near its first hits (relevance feedback, as there is no encoder) fused, then at most ``cap`` results of one group. ``index``: stored postings of the chunks."""
+    sparse = cut(bm25_of(index, queries, qid, query, doc, wide)) if index else bm25(queries, chunks, qid, query, doc, text, wide)
+    chunks = cut(chunks.select(doc, group, vec))  # read three times
     dense = nearest(relevance_vectors(sparse, chunks, qid, doc, vec, dim=dim), chunks, qid, "query_vector", doc, vec, wide, dim)
     ranked = fuse(dense, sparse, qid, doc, k=fused).join(chunks.select(doc, group), doc)
     return capped(ranked, qid, group, cap, k).select(qid, doc, group, "score", "rank")
@@ -133,19 +203,22 @@ def term_coverage(queries: DataFrame, found: DataFrame, docs: DataFrame, qid: st
     return met.groupBy(qid).agg(F.count("*").alias("terms"), F.coalesce(F.sum("met"), F.lit(0)).alias("met"))
 
 
-def corrective(queries: DataFrame, docs: DataFrame, qid: str, query: str, doc: str, text: str, title: str, enough: float = 0.8, most: int = 12, k: int = 10) -> DataFrame:
+def corrective(queries: DataFrame, docs: DataFrame, qid: str, query: str, doc: str, text: str, title: str, enough: float = 0.8, most: int = 12, k: int = 10, index: Index | None = None) -> DataFrame:
     """``qid, doc, round, rank``: evidence per query after at most one correction.
 
     A query whose first results hold less than the share ``enough`` of its content words is asked again together with the title of its best result. The second
     round's results come before the first round's others, each document once, at most ``most``. All queries go through each round
     together, as rows. A query without any result keeps none.
     """
-    docs = cut(docs.select(doc, text, title))
-    first = cut(bm25(queries, docs, qid, query, doc, text, k))
+    if index is None:
+        with own_index(docs, doc, text) as index:
+            return cut(corrective(queries, docs, qid, query, doc, text, title, enough, most, k, index))
+    docs = docs.select(doc, text, title)
+    first = cut(bm25_of(index, queries, qid, query, doc, k))
     weak = term_coverage(queries, first, docs, qid, query, doc, text).where(F.col("met") < enough * F.col("terms")).select(qid)
     best_title = first.where("rank = 1").join(docs.select(doc, title), doc).select(qid, F.col(title).alias("__hint"))
     again = queries.join(weak, qid).join(best_title, qid).select(qid, F.concat_ws(" ", query, "__hint").alias(query))
-    second = bm25(again, docs, qid, query, doc, text, k)
+    second = bm25_of(index, again, qid, query, doc, k)
     both = first.select(qid, doc, F.lit(1).alias("round"), "rank").unionByName(second.select(qid, doc, F.lit(2).alias("round"), "rank"))
     once = best(both, [qid, doc], [F.desc("round"), F.asc("rank")], 1, "__one").drop("__one")
     return best(once.withColumnRenamed("rank", "__rank"), [qid], [F.desc("round"), F.asc("__rank"), F.asc(doc)], most).drop("__rank")

@@ -12,7 +12,7 @@ from quillstream.operators import chunking, dedup, grading, joins, search, selec
 from quillstream.operators.works import work_children, work_table
 from quillstream.plans.oracle import oracle_sql
 from quillstream.plans.settings import CUTOFF, RULES, WINDOW
-from quillstream.runtime import cut, shared_folder, table
+from quillstream.runtime import cut, remove, shared_folder, table
 from quillstream.sources import xml_papers
 from quillstream.streaming import ingest
 
@@ -288,14 +288,24 @@ def ingested_lines(spark: SparkSession, d: str) -> DataFrame:
 
     home = f"{shared_folder(spark)}/ingest-{uuid.uuid4().hex}"
     rows = ingest.ingest_lines(spark, f"{d}/raw_lines.parquet", "record_id bigint, feed string, payload string", f"{home}/table", f"{home}/progress")
-    return rows.groupBy("feed", "valid").agg(F.count("*").alias("lines"), F.sum(F.length("payload")).cast("bigint").alias("characters"))
+    counts = cut(rows.groupBy("feed", "valid").agg(F.count("*").alias("lines"), F.sum(F.length("payload")).cast("bigint").alias("characters")))
+    remove(spark, home)
+    return counts
 
 
 # search and its measures
 
 
+def _index(spark: SparkSession, d: str, stems: bool = False) -> search.Index:
+    return search.stored_index(spark, f"{d}/chunks.parquet", lambda: _chunks(spark, d, "text"), "vector_id", "text", stems)
+
+
 def bm25_topk(spark: SparkSession, d: str) -> DataFrame:
-    return search.bm25(table(spark, d, "questions"), _chunks(spark, d, "text"), "question_id", "question", "vector_id", "text", 50).withColumn("rank", F.col("rank").cast("bigint"))
+    return search.bm25_of(_index(spark, d), table(spark, d, "questions"), "question_id", "question", "vector_id", 50).withColumn("rank", F.col("rank").cast("bigint"))
+
+
+def stemmed_topk(spark: SparkSession, d: str) -> DataFrame:
+    return search.bm25_of(_index(spark, d, True), table(spark, d, "questions"), "question_id", "question", "vector_id", 50).withColumn("rank", F.col("rank").cast("bigint"))
 
 
 def nearest_vectors(spark: SparkSession, d: str) -> DataFrame:
@@ -307,12 +317,12 @@ def nearest_vectors(spark: SparkSession, d: str) -> DataFrame:
 
 
 def hybrid_search(spark: SparkSession, d: str) -> DataFrame:
-    chunks = _chunks(spark, d, "paper_id", "text", "embedding")
-    return search.hybrid(table(spark, d, "questions"), chunks, "question_id", "question", "vector_id", "paper_id", "text", "embedding").withColumn("rank", F.col("rank").cast("bigint"))
+    chunks = _chunks(spark, d, "paper_id", "embedding")
+    return search.hybrid(table(spark, d, "questions"), chunks, "question_id", "question", "vector_id", "paper_id", "text", "embedding", index=_index(spark, d)).withColumn("rank", F.col("rank").cast("bigint"))
 
 
 def corrected_search(spark: SparkSession, d: str) -> DataFrame:
-    found = search.corrective(table(spark, d, "questions"), _chunks(spark, d, "text", "title"), "question_id", "question", "vector_id", "text", "title")
+    found = search.corrective(table(spark, d, "questions"), _chunks(spark, d, "text", "title"), "question_id", "question", "vector_id", "text", "title", index=_index(spark, d))
     return found.select("question_id", "vector_id", F.col("round").cast("bigint").alias("round"), F.col("rank").cast("bigint").alias("rank"))
 
 
@@ -465,7 +475,7 @@ def paper_identities(spark: SparkSession, d: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = (
-        hybrid_search, bm25_topk, corrected_search, nearest_vectors, fused_candidates, capped_candidates, merged_evidence, rank_metrics, evaluation_report, keyword_coverage, answer_scores, candidate_reviews, corpus_status, accepted_works, question_signs, paper_identities, evidence_routes, evidence_contexts,
+        hybrid_search, bm25_topk, stemmed_topk, corrected_search, nearest_vectors, fused_candidates, capped_candidates, merged_evidence, rank_metrics, evaluation_report, keyword_coverage, answer_scores, candidate_reviews, corpus_status, accepted_works, question_signs, paper_identities, evidence_routes, evidence_contexts,
         p3_found, p3_locations, p3_issn, p3_lineage, p3_best_oa_location, p3_open_access, p3_abstract_words, token_counts, last_tokens, work_identifiers, title_keys, abstracts, paper_texts, encoder_texts, open_pdf_urls, url_hosts, date_windows,
         section_profile, window_chunks, sentence_chunks, chunk_report, chunk_profile, parsed_xml, discovery_dedup, latest_candidates, greedy_dedup, parsed_union, numbered_chunks,
         paper_dates, dated_chunks, coverage, repaired_ids, screening, remaining_chunks, relevance_scores, failure_counts, score_histogram, selection_decisions, best_works, discovery_report, audit_counts, index_terms,

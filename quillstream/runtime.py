@@ -35,10 +35,33 @@ def shared_folder(spark: SparkSession) -> str:
     return named
 
 
+def _at(spark: SparkSession, path: str):
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at, at.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    at, files = _at(spark, path)
+    return files.exists(at)
+
+
 def remove(spark: SparkSession, path: str) -> None:
     """Delete a folder that one of the operators has written."""
-    at = spark._jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+    at, files = _at(spark, path)
+    files.delete(at, True)
+
+
+def rename(spark: SparkSession, old: str, new: str) -> bool:
+    """Put a finished folder in its place; False if there is one."""
+    at, files = _at(spark, old)
+    to, _ = _at(spark, new)
+    return not files.exists(to) and files.rename(at, to)
+
+
+def file_states(spark: SparkSession, path: str) -> list[tuple[str, int, int]]:
+    """Names, sizes and times of the files at a path."""
+    at, files = _at(spark, path)
+    return sorted((s.getPath().getName(), s.getLen(), s.getModificationTime()) for s in files.listStatus(at))
 
 
 def cut(df: DataFrame) -> DataFrame:

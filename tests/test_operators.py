@@ -1,10 +1,13 @@
+import math
 import random
 import re
+from collections import Counter
 
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from quillstream.functions.stem import stem
 from quillstream.operators import chunking, dedup, joins, search, selection
 
 TOKEN = re.compile(r"\w+|[^\w\s]")
@@ -211,3 +214,50 @@ def test_long_chains_of_rivals_end(spark):
     rows = [(k, f"k{k}", f"k{k - 1}") for k in range(30)]
     got = dedup.greedy_first(spark.createDataFrame([(k, f"x{k // 2}", f"y{(k + 1) // 2}") for k, *_ in rows], "at long, a string, b string"), "at", ["a", "b"]).orderBy("at").collect()
     assert [r["kept"] for r in got] == [k % 2 == 0 for k in range(30)]
+
+
+def test_stems_follow_the_published_rules():
+    pairs = {"caresses": "caress", "ponies": "poni", "agreed": "agre", "plastered": "plaster", "motoring": "motor", "sized": "size", "hopping": "hop", "filing": "file", "happy": "happi", "relational": "relat"}
+    pairs |= {"conditional": "condit", "vietnamization": "vietnam", "triplicate": "triplic", "replacement": "replac", "adoption": "adopt", "probate": "probat", "controll": "control", "is": "is", "naïve": "naïve", "x9s": "x9s"}
+    assert {w: stem(w) for w in pairs} == pairs
+
+
+def plain_bm25(queries, docs, form):
+    from quillstream.functions.text import STOPWORDS
+
+    bags = {d: Counter(form(w) for w in re.findall(r"\w+", (t or "").lower())) for d, t in docs}
+    mean = sum(sum(b.values()) for b in bags.values()) / len(bags)
+    out = {}
+    for q, text_ in queries:
+        words = re.findall(r"\w+", (text_ or "").lower())
+        for term in {form(w) for w in [w for w in words if w not in STOPWORDS] or words}:
+            df = sum(term in b for b in bags.values())
+            idf = max(math.log((len(bags) - df + 0.5) / (df + 0.5)), 1e-6) if df else 0
+            for d, b in bags.items():
+                if b[term]:
+                    out[q, d] = out.get((q, d), 0) + idf * b[term] * 2.2 / (b[term] + 1.2 * (0.25 + 0.75 * sum(b.values()) / mean))
+    return out
+
+
+@pytest.mark.parametrize("stems", [False, True])
+def test_bm25_from_stored_postings(spark, tmp_path, stems):
+    rnd = random.Random(4)
+    words = ["index", "indexes", "indexing", "ranked", "rank", "the", "of", "naïve", "x_1"]
+    docs = [(k, " ".join(rnd.choice(words) for _ in range(rnd.randint(1, 30)))) for k in range(40)] + [(100, None), (101, "")]
+    queries = [("a", "the indexed ranking"), ("b", "index"), ("c", "of the"), ("d", None), ("e", "?")]
+    d, q = spark.createDataFrame(docs, "id long, t string"), spark.createDataFrame(queries, "q string, x string")
+    want = plain_bm25(queries, docs, stem if stems else str)
+    got = {(r["q"], r["id"]): r["score"] for r in search.bm25(q, d, "q", "x", "id", "t", 1000, stems).collect()}
+    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 2e-6 for k in want)
+    d.write.parquet(str(tmp_path / "docs.parquet"))
+    made = []
+    make = lambda: made.append(1) or d
+    for _ in range(2):
+        index = search.stored_index(spark, str(tmp_path / "docs.parquet"), make, "id", "t", stems)
+        again = {(r["q"], r["id"]): r["score"] for r in search.bm25_of(index, q, "q", "x", "id", 1000).collect()}
+        assert again == got
+    assert made == [1], "built once while the files stay as they are"
+    d.limit(3).write.mode("append").parquet(str(tmp_path / "docs.parquet"))
+    search.stored_index(spark, str(tmp_path / "docs.parquet"), make, "id", "t", stems)
+    assert made == [1, 1]
+    assert search.bm25(q, d.limit(0), "q", "x", "id", "t", 5, stems).collect() == []

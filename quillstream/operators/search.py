@@ -190,7 +190,8 @@ def hybrid(queries: DataFrame, chunks: DataFrame, qid: str, query: str, doc: str
     """``qid, doc, group, score, rank``: the lexical list and that of the vectors near its first hits (relevance feedback, as there is no encoder) fused, then at most ``cap`` results of one group. ``index``: stored postings of the chunks."""
     sparse = cut(bm25_of(index, queries, qid, query, doc, wide)) if index else bm25(queries, chunks, qid, query, doc, text, wide)
     chunks = cut(chunks.select(doc, group, vec))  # read three times
-    dense = nearest(relevance_vectors(sparse, chunks, qid, doc, vec, dim=dim), chunks, qid, "query_vector", doc, vec, wide, dim)
+    asked = cut(relevance_vectors(sparse, chunks, qid, doc, vec, dim=dim))  # a vector per query, counted and searched for
+    dense = nearest(asked, chunks, qid, "query_vector", doc, vec, wide, dim)
     ranked = fuse(dense, sparse, qid, doc, k=fused).join(chunks.select(doc, group), doc)
     return capped(ranked, qid, group, cap, k).select(qid, doc, group, "score", "rank")
 

@@ -38,7 +38,8 @@ def build_index(docs: DataFrame, doc: str, text: str, path: str, stems: bool = F
     Lengths count all words. With ``stems`` the counts of words with the same stem are added up. Null and empty texts have no postings but count as documents.
     """
     spark = docs.sparkSession
-    sized = docs.select(F.col(doc).alias("d"), words(F.coalesce(F.col(text), F.lit(""))).alias("words"))
+    # texts are shuffled by document, which is less than their counted words; the counts of a document then stay where they are
+    sized = docs.select(F.col(doc).alias("d"), F.col(text).alias("t")).repartition("d").select("d", words(F.coalesce("t", F.lit(""))).alias("words"))
     counts = sized.select("d", F.size("words").alias("len"), F.explode_outer("words").alias("term")).groupBy("d", "len", "term").agg(F.count("*").alias("tf"))
     if stems:
         counts = counts.withColumn("term", stemmed(F.col("term"))).groupBy("d", "len", "term").agg(F.sum("tf").alias("tf"))

@@ -22,6 +22,9 @@ RECENCY = (
     r"(?i)\b(last|past|this|recent|recently|latest|newest|today|yesterday|current|currently)\b|\b\d+\s*(day|days|week|weeks|month|months|year|years)\b"
 )
 
+# fixed values: wording that asks for what came after the corpus
+FRESH = r"(?i)after the (local )?corpus|corpus cutoff|\bretractions?\b"
+
 
 def _blank(c: Column) -> Column:
     return F.nullif(F.trim(c), F.lit(""))
@@ -128,3 +131,43 @@ def in_window(date: Column, only_year: Column, start: str, end: str, days: int)
 
 def asks_for_recent(question: Column) -> Column:
     return F.coalesce(question.rlike(RECENCY), F.lit(False))
+
+
+def asks_for_fresh(question: Column) -> Column:
+    """Whether a question asks for events after the corpus or for retractions; null asks for nothing."""
+    return F.coalesce(question.rlike(FRESH), F.lit(False))
+
+
+def first_work_id(*values: Column) -> Column:
+    """The id in the first value that holds one, in upper case; null if none does."""
+    return F.coalesce(*(work_id_anywhere(v) for v in values))
+
+
+def web_source_id(url: Column) -> Column:
+    """A stable id of a web page: ``web-`` and the first 12 hexadecimal digits of SHA-256 over its address."""
+    return F.concat(F.lit("web-"), F.substring(F.sha2(url, 256), 1, 12))
+
+
+def is_web_url(value: Column) -> Column:
+    """http or https with some host; null is none."""
+    return F.coalesce(F.trim(value).rlike(r"(?i)^https?://[^/?#\s]+"), F.lit(False))
+
+
+def with_parameter(url: Column, name: str, value: Column) -> Column:
+    """The address with one parameter set: earlier ones of that name go, the others stay as they are, the new one comes last, before any ``#`` part."""
+    plain, mark = F.substring_index(url, "#", 1), F.regexp_extract(url, "#.*$", 0)
+    query = F.regexp_extract(plain, r"\?(.*)$", 1)
+    others = F.filter(F.split(query, "&"), lambda p: (p != "") & (F.substring_index(p, "=", 1) != name))
+    pairs = F.concat(others, F.array(F.concat(F.lit(f"{name}="), F.url_encode(value))))
+    return F.concat(F.substring_index(plain, "?", 1), F.lit("?"), F.array_join(pairs, "&"), mark)
+
+
+def keyed_url(available: Column, url: Column, host: str, name: str, key: Column) -> Column:
+    """The address with its key where the content is available at the stated host and the key is not blank; else null."""
+    fits = F.coalesce(available, F.lit(False)) & (F.lower(F.try_parse_url(url, F.lit("HOST"))) == host) & _blank(key).isNotNull()
+    return F.when(fits, with_parameter(url, name, key))
+
+
+def header_number(headers: Column, name: str) -> Column:
+    """The number in one entry of a map of texts; null if it is absent or no number."""
+    return F.trim(F.try_element_at(headers, F.lit(name))).try_cast("double")

@@ -128,3 +128,40 @@ def unknown_citations(sources: Column, evidence: Column) -> Column:
     """Declared sources that are not among the evidence."""
     none = F.expr("cast(array() as array<string>)")
     return F.array_except(F.coalesce(sources, none), F.coalesce(evidence, none))
+
+
+def answer_problem(answer: Column, sources: Column, evidence: Column) -> Column:
+    """Why the declared sources do not carry an answer, by the first source at fault: ``unknown source`` or ``not cited``, ``no source`` if none is declared; null if all is well."""
+    none = F.expr("cast(array() as array<string>)")
+    declared, have = F.coalesce(sources, none), F.coalesce(evidence, none)
+    mark = lambda s: F.concat(F.lit("["), s, F.lit("]"))
+    each = F.transform(declared, lambda s: F.when(~F.coalesce(F.array_contains(have, s), F.lit(False)), "unknown source").when(~F.contains(F.coalesce(answer, F.lit("")), mark(s)), "not cited"))
+    return F.coalesce(F.get(F.filter(each, lambda p: p.isNotNull()), F.lit(0)), F.when(F.size(declared) == 0, "no source"))
+
+
+def united(existing: Column, new: Column) -> Column:
+    """Labels with new ones at their end, each once; without new ones they stay as they are, null too."""
+    none = F.expr("cast(array() as array<string>)")
+    return F.when(F.size(F.coalesce(new, none)) > 0, F.array_union(F.coalesce(existing, none), new)).otherwise(existing)
+
+
+def known(score: Column) -> Column:
+    """A score that is a number; NaN is null."""
+    return F.when(~F.isnan(score), score)
+
+
+def first_shortened(contexts: Column, k: int, most: int) -> Column:
+    """The first ``k`` texts, each cut to ``most`` characters."""
+    return F.transform(F.slice(contexts, 1, k), lambda c: F.left(c, F.lit(most)))
+
+
+def limited(value: Column, most: dict[str, int]) -> Column:
+    """A struct whose named text fields keep at most so many characters, without white space at the cut; nulls stay."""
+    for name, n in most.items():
+        value = value.withField(name, F.when(F.length(value[name]) > n, F.rtrim(F.left(value[name], F.lit(n)))).otherwise(value[name]))
+    return value
+
+
+def output_budget(documents: Column, base: int = 64, each: int = 160) -> Column:
+    """Tokens to allow for a reply about so many documents; null for none or fewer."""
+    return F.when(documents > 0, base + each * documents)

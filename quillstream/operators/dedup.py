@@ -75,3 +75,18 @@ def numbered(df: DataFrame, order: list[str], name: str = "number", rows_a_part:
     starts = counts.select("__part", F.coalesce(F.sum("n").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__start"))
     inside = F.row_number().over(Window.partitionBy("__part").orderBy(*order))
     return ranged.join(starts, "__part").withColumn(name, F.col("__start") + inside - 1).drop("__part", "__start")
+
+
+def numbered_within(df: DataFrame, group: str, order: list[str], name: str = "number", rows_a_part: int = 500_000) -> DataFrame:
+    """Consecutive numbers from 1 in ``order`` within each group, null being one, where a group of any size is spread over several tasks.
+
+    Ranges of (group, order) are sorted apart, and those of a group start where its counts in earlier ranges end. Ties of ``order`` get numbers in no certain order.
+    """
+    parts = max(1, -(-df.count() // rows_a_part))
+    ranged = cut(df.repartitionByRange(parts, group, *order).withColumn("__part", F.spark_partition_id()))
+    counts = ranged.groupBy(F.col(group).alias("__group"), F.col("__part").alias("__of")).agg(F.count("*").alias("n"))
+    before = F.sum("n").over(Window.partitionBy("__group").orderBy("__of").rowsBetween(Window.unboundedPreceding, -1))
+    starts = counts.select("__group", "__of", F.coalesce(before, F.lit(0)).alias("__start"))
+    inside = F.row_number().over(Window.partitionBy("__part", group).orderBy(*order))
+    placed = ranged.withColumn("__inside", inside).join(starts, (F.col("__part") == F.col("__of")) & F.col(group).eqNullSafe(F.col("__group")))
+    return placed.withColumn(name, F.col("__start") + F.col("__inside")).drop("__part", "__of", "__group", "__start", "__inside")

@@ -108,3 +108,12 @@ def merged_scores(old: Column, new: Column, old_errors: Column, new_errors: Colu
     bad = F.coalesce(new_errors, empty("string"))
     past = F.map_filter(F.coalesce(old_errors, empty("string")), lambda k, _: ~F.map_contains_key(fresh, k) & ~F.map_contains_key(bad, k))
     return F.struct(F.map_concat(kept, fresh).alias("scores"), F.map_concat(past, bad).alias("errors"))
+
+
+def route_counts(rows: DataFrame, route: str, target: int) -> DataFrame:
+    """One row: how many rows are accepted, rejected or need review (all else, nulls among it), and how many accepted ones the target still lacks."""
+    accepted, rejected = F.count_if(F.col(route) == "accepted"), F.count_if(F.col(route) == "rejected")
+    return rows.agg(
+        accepted.alias("accepted"), rejected.alias("rejected"), (F.count("*") - accepted - rejected).alias("needs_review"),
+        F.greatest(F.lit(target) - accepted, F.lit(0)).alias("lacking"),
+    )

@@ -180,6 +180,12 @@ def capped(ranked: DataFrame, qid: str, group: str, cap: int = 2, k: int = 10) -
     return best(few, [qid], [F.asc("__before")], k).drop("__before")
 
 
+def reranked(ranked: DataFrame, qid: str, score: str = "rerank_score", before: str = "score") -> DataFrame:
+    """Results in order of a second score; those without one, or with NaN, take part with the score ``before``, and ties keep their rank. ``rank`` starts anew."""
+    order = [F.desc(F.coalesce(F.when(~F.isnan(score), F.col(score)), F.col(before))), F.asc("__before")]
+    return ranked.withColumnRenamed("rank", "__before").withColumn("rank", F.row_number().over(Window.partitionBy(qid).orderBy(*order))).drop("__before")
+
+
 def relevance_vectors(found: DataFrame, chunks: DataFrame, qid: str, doc: str, vec: str, first: int = 5, dim: int = 64) -> DataFrame:
     """A vector per query without an encoder: the mean of the vectors of its first lexical hits."""
     hits = found.where(F.col("rank") <= first).join(chunks.where(usable(F.col(vec), dim)).select(doc, vec), doc)
@@ -187,13 +193,20 @@ def relevance_vectors(found: DataFrame, chunks: DataFrame, qid: str, doc: str, v
     return each.groupBy(qid).agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "x"))), lambda s: s["x"]).alias("query_vector"))
 
 
-def hybrid(queries: DataFrame, chunks: DataFrame, qid: str, query: str, doc: str, group: str, text: str, vec: str, k: int = 10, wide: int = 50, fused: int = 30, cap: int = 2, dim: int = 64, index: Index | None = None) -> DataFrame:
-    """``qid, doc, group, score, rank``: the lexical list and that of the vectors near its first hits (relevance feedback, as there is no encoder) fused, then at most ``cap`` results of one group. ``index``: stored postings of the chunks."""
+def hybrid(queries: DataFrame, chunks: DataFrame, qid: str, query: str, doc: str, group: str, text: str, vec: str, k: int = 10, wide: int = 50, fused: int = 30, cap: int = 2, dim: int = 64, index: Index | None = None, rerank: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+    """``qid, doc, group, score, rank``: the lexical list and that of the vectors near its first hits (relevance feedback, as there is no encoder) fused, then at most ``cap`` results of one group.
+
+    ``index``: stored postings of the chunks. ``rerank`` adds ``rerank_score`` to rows with ``query`` and ``text``, such as ``grading.scored_by`` with a model; the fused results are put in its order first.
+    """
+    texts = chunks
     sparse = cut(bm25_of(index, queries, qid, query, doc, wide)) if index else bm25(queries, chunks, qid, query, doc, text, wide)
     chunks = cut(chunks.select(doc, group, vec))  # read three times
     asked = cut(relevance_vectors(sparse, chunks, qid, doc, vec, dim=dim))  # a vector per query, counted and searched for
     dense = nearest(asked, chunks, qid, "query_vector", doc, vec, wide, dim)
     ranked = fuse(dense, sparse, qid, doc, k=fused).join(chunks.select(doc, group), doc)
+    if rerank:
+        pairs = ranked.join(queries.select(qid, query), qid).join(texts.select(doc, text), doc)
+        ranked = reranked(rerank(pairs), qid)
     return capped(ranked, qid, group, cap, k).select(qid, doc, group, "score", "rank")
 
 

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from quillstream.functions.ids import RECENCY
+from quillstream.functions.ids import FRESH, RECENCY
 from quillstream.functions.text import SECTION_TYPES, STOPWORDS
-from quillstream.plans.settings import CUTOFF, FAILS, LEXICON, OFF_TOPIC, ON_TOPIC, SAVING, WINDOW
+from quillstream.plans.settings import CUTOFF, FAILS, LEXICON, OFF_TOPIC, ON_TOPIC, RUNS, SAVING, WINDOW
 
 SPACE = r"\s\x{0b}\x{1c}-\x{1f}\x{85}\p{Z}"
 WORD = r"[\p{L}\p{N}_]+"
@@ -163,6 +163,36 @@ FULL_DATES = f"""dates AS (
 )"""
 
 
+TOP = f"{LISTS}, {_fuse('chunk_id', 10)}"
+NAMES = "['dense_score', 'sparse_score', 'rerank_score']"
+# records of runs, the last of each and whether it is done
+LAST_RUNS = f"""r AS (
+  SELECT DISTINCT array_to_string(sources, '+') AS run, question_id, cand_id, chunk_id AS answer, loaded_at >= retrieved_at + INTERVAL 1 DAY AS late, dense_score IS NULL AND sparse_score IS NULL AND rerank_score IS NULL AS bare,
+    list_filter([CASE WHEN isnan(dense_score) THEN 'dense_score' END, CASE WHEN isnan(sparse_score) THEN 'sparse_score' END, CASE WHEN isnan(rerank_score) THEN 'rerank_score' END], lambda n: n IS NOT NULL) AS bad,
+    coalesce(NOT isnan(dense_score), false) OR coalesce(NOT isnan(sparse_score), false) OR coalesce(NOT isnan(rerank_score), false) AS scored
+  FROM candidates
+), n AS (SELECT *, row_number() OVER (PARTITION BY run, question_id ORDER BY cand_id DESC) AS back, min(cand_id) OVER (PARTITION BY run, question_id) AS first_place FROM r), last AS (
+  SELECT *, NOT coalesce(late, false) AND trim(coalesce(answer, '')) <> '' AS fine FROM n WHERE back = 1
+), states AS (
+  SELECT run, question_id, cand_id, first_place, CASE WHEN NOT fine THEN '' WHEN bare THEN array_to_string({NAMES}, '|') ELSE array_to_string(bad, '|') END AS missing,
+    NOT coalesce(late, false) AND NOT (fine AND (bare OR (len(bad) > 0 AND NOT scored))) AS completed FROM last
+)"""
+
+
+def _files() -> str:
+    """Files of works and papers, and the one chosen of each side."""
+    return f"""w AS (SELECT record_id, {found_id('upper(id)')} AS work, locations FROM works),
+    pf AS (SELECT work, l.pdf_url AS path, bool_or(coalesce(l.is_oa, false)) AS ok FROM (SELECT work, unnest(locations) AS l FROM w) WHERE l.pdf_url IS NOT NULL GROUP BY ALL),
+    xf AS (SELECT {found_id("list_extract(string_split(source_path, '/'), -1)")} AS work, source_path AS path, CASE source_format WHEN 'jats_xml' THEN 'jats' WHEN 'grobid_tei' THEN 'tei' END AS kind, bool_or(coalesce(character_count, 0) > 0) AS ok
+      FROM parsed_papers WHERE source_path IS NOT NULL GROUP BY ALL),
+    pc AS (SELECT DISTINCT ON (work) work, path, ok FROM pf WHERE work IS NOT NULL ORDER BY work, ok DESC, path),
+    xc AS (SELECT DISTINCT ON (work) work, path, kind, ok FROM xf WHERE work IS NOT NULL ORDER BY work, CASE WHEN ok AND kind = 'jats' THEN 0 WHEN ok AND kind = 'tei' THEN 1 ELSE 2 END, path),
+    chosen AS (SELECT record_id, w.work, pc.path AS pdf_path, coalesce(pc.ok, false) AS pdf_valid, CASE WHEN pc.path IS NULL THEN 'missing' WHEN pc.ok THEN 'valid' ELSE 'closed' END AS pdf_reason,
+      xc.path AS xml_path, xc.kind AS xml_kind, coalesce(xc.ok, false) AS xml_valid, CASE WHEN xc.path IS NULL THEN 'missing' WHEN xc.ok THEN 'valid' ELSE 'no text' END AS xml_reason,
+      CASE WHEN pc.ok AND xc.ok THEN 'pdf and xml' WHEN pc.ok THEN 'pdf' WHEN xc.ok THEN xc.kind ELSE 'missing' END AS content
+      FROM w LEFT JOIN pc ON pc.work = w.work LEFT JOIN xc ON xc.work = w.work)"""
+
+
 def oracle_sql() -> dict[str, str]:
     begin, end, days = WINDOW
     vec = "list_transform(embedding, lambda x: CAST(x AS DOUBLE))"
@@ -344,4 +374,65 @@ def oracle_sql() -> dict[str, str]:
         "paper_identities": """WITH r AS (SELECT record_id, id AS a, CAST(NULL AS VARCHAR) AS b, doi, title, best_oa_location.pdf_url AS url FROM works UNION ALL SELECT record_id, NULL, paper_id, doi, title, source_path FROM parsed_papers)
             SELECT record_id, coalesce(nullif(trim(a), ''), nullif(trim(b), ''), nullif(trim(regexp_replace(lower(trim(coalesce(doi, ''))), '^(https?://(dx\\.)?doi\\.[a-z]+/|doi:)', '')), ''),
               'title:' || regexp_replace(lower(nullif(trim(title), '')), '\\s+', ' ', 'g')) AS identity, coalesce(url, '') || '?api_key=REDACTED&x=1' AS address, 'PMC' || record_id AS pmc FROM r""",
+        "reranked_search": f"""WITH {CHUNKS}, {LISTS}, {_fuse('chunk_id', 30)}, {_terms('questions', 'question', 'terms')}, texts AS (SELECT chunk_id, min(title) AS t, min(section_heading) AS h, min(text) AS x FROM docs GROUP BY chunk_id),
+            papers AS (SELECT chunk_id, min(paper_id) AS paper_id FROM candidates GROUP BY chunk_id),
+            read_ AS (SELECT chunk_id, x, regexp_extract_all(lower(concat_ws(chr(10), CASE WHEN trim(t, ' ') <> '' THEN 'Paper: ' || t END, CASE WHEN trim(h, ' ') <> '' THEN 'Section: ' || h END, x)), '{WORD}') AS ws FROM texts),
+            rows_ AS (SELECT question_id, chunk_id, papers.paper_id, score, rank AS before, x, ws, (SELECT list(term) FROM terms WHERE terms.question_id = fused.question_id) AS ts FROM fused JOIN papers USING (chunk_id) LEFT JOIN read_ USING (chunk_id)),
+            scored AS (SELECT *, CASE WHEN x IS NULL THEN NULL WHEN len(ts) > 0 THEN len(list_filter(ts, lambda t: list_contains(ws, t))) / len(ts) ELSE 0.0 END AS again FROM rows_),
+            placed AS (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY coalesce(again, score) DESC, before) AS place FROM scored),
+            few AS (SELECT *, row_number() OVER (PARTITION BY question_id, paper_id ORDER BY place) AS nth FROM placed),
+            last AS (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY place) AS rank FROM few WHERE nth <= 2)
+            SELECT question_id, chunk_id, paper_id, round(again, 6) AS rerank_score, rank FROM last WHERE rank <= 10""",
+        "evidence_documents": f"""WITH {TOP}, p AS (SELECT chunk_id, min(paper_id) AS paper_id, min(title) AS title, min(doi) AS doi, min(publication_year) AS y, min(publication_date) AS publication_date FROM chunks GROUP BY chunk_id)
+            SELECT question_id, chunk_id AS source_id, paper_id, CASE WHEN paper_id LIKE 'W%' THEN 'https://works.example/' || paper_id END AS url, title, doi, CAST(y AS BIGINT) AS publication_year, publication_date, rank FROM fused JOIN p USING (chunk_id)""",
+        "web_sources": rf"""WITH {ABSTRACT}, u AS (SELECT record_id, title, generate_subscripts(locations, 1) AS pos, trim(unnest(locations).landing_page_url, ' ') AS url FROM works),
+            k AS (SELECT u.*, trim(abstract, ' ') AS text FROM u JOIN abstract_of USING (record_id) WHERE regexp_matches(url, '^(?i)https?://[^/?#\s]+') AND trim(abstract, ' ') <> ''),
+            f AS (SELECT DISTINCT ON (url) * FROM k ORDER BY url, record_id, pos)
+            SELECT 'web-' || left(sha256(url), 12) AS source_id, url, coalesce(nullif(trim(title, ' '), ''), 'Untitled web source') AS title, md5(CASE WHEN length(text) > 400 THEN rtrim(left(text, 400), ' ') || '...' ELSE text END) AS text FROM f""",
+        "graded_evidence": f"""WITH {TOP}, g AS (SELECT question_id, left(chunk_id, 26) AS given, cand_id, CASE WHEN rerank_score >= 2 THEN 'correct' WHEN rerank_score >= 0 THEN 'ambiguous' ELSE 'incorrect' END AS grade
+              FROM candidates WHERE rerank_score IS NOT NULL AND NOT isnan(rerank_score)),
+            m AS (SELECT DISTINCT question_id, given, chunk_id FROM fused JOIN g USING (question_id) WHERE given = chunk_id OR (length(given) >= 8 AND (starts_with(chunk_id, given) OR starts_with(given, chunk_id)))),
+            one AS (SELECT question_id, given, min(chunk_id) AS chunk_id FROM m GROUP BY ALL HAVING count(*) = 1),
+            f AS (SELECT DISTINCT ON (question_id, chunk_id) question_id, chunk_id, grade FROM one JOIN g USING (question_id, given) ORDER BY question_id, chunk_id, cand_id, grade)
+            SELECT question_id, chunk_id, coalesce(grade, 'ambiguous') AS grade, rank FROM fused LEFT JOIN f USING (question_id, chunk_id)""",
+        "answer_citations": f"""WITH {JUDGED}, p AS (SELECT DISTINCT ON (question_id, chunk_id) question_id, chunk_id, paper_id FROM candidates WHERE paper_id IS NOT NULL ORDER BY question_id, chunk_id, cand_id DESC),
+            c AS (SELECT r.question_id, r.rank, r.chunk_id, p.paper_id FROM rated r LEFT JOIN p USING (question_id, chunk_id) WHERE r.rank <= 3)
+            SELECT q.question_id, coalesce(string_agg(c.chunk_id, '|' ORDER BY c.rank) FILTER (c.paper_id IS NOT NULL), '') AS sources, coalesce(string_agg(c.paper_id, '|' ORDER BY c.rank), '') AS papers,
+              coalesce('none|' || string_agg(c.chunk_id, '|' ORDER BY c.rank) FILTER (c.chunk_id IS NOT NULL AND c.paper_id IS NULL), 'none') AS missing FROM questions q LEFT JOIN c USING (question_id) GROUP BY q.question_id""",
+        "answer_checks": f"""WITH {JUDGED}, lists AS (SELECT question_id, list(chunk_id ORDER BY rank) FILTER (rank <= 3) AS cited, coalesce(list(chunk_id ORDER BY chunk_id) FILTER (rank <= 5 AND s > 2), []) AS gold FROM rated GROUP BY question_id),
+            q AS (SELECT question_id, coalesce(cited, []) AS cited, coalesce(gold, []) AS gold FROM questions LEFT JOIN lists USING (question_id)),
+            t AS (SELECT *, coalesce(list_position(list_transform(cited, lambda c: NOT list_contains(gold, c)), true), 9) AS lost FROM q)
+            SELECT question_id, CASE WHEN len(cited) = 0 THEN 'no source' WHEN lost < 9 AND lost <= 3 THEN 'unknown source' WHEN len(cited) >= 3 THEN 'not cited' END AS problem,
+              array_to_string(list_concat(cited, list_filter(gold, lambda g: NOT list_contains(cited, g))), '|') AS labels FROM t""",
+        "question_evidence": rf"""WITH {CHUNKS}, {TOP}, x AS (SELECT chunk_id, min(text) AS text, min(publication_date) AS pd, min(publication_year) AS py FROM docs GROUP BY chunk_id),
+            e AS (SELECT question_id, rank, text, CASE WHEN regexp_matches(pd, '^\d{{4}}-\d{{2}}-\d{{2}}') AND TRY_CAST(left(pd, 10) AS DATE) IS NOT NULL THEN TRY_CAST(left(pd, 10) AS DATE) BETWEEN DATE '{WINDOW[0]}' AND DATE '{WINDOW[1]}'
+              ELSE coalesce(py BETWEEN {WINDOW[0][:4]} AND {WINDOW[1][:4]}, false) END AS recent FROM fused JOIN x USING (chunk_id)),
+            g AS (SELECT question_id, bool_or(recent) AS recent, 64 + 160 * count(*) AS budget, list(left(text, 2000) ORDER BY rank)[1:3] AS shown FROM e GROUP BY question_id)
+            SELECT question_id, regexp_matches(question, '{FRESH}') AS fresh, coalesce(recent, false) AS recent, budget, md5(array_to_string(shown, chr(10))) AS shown FROM questions LEFT JOIN g USING (question_id)""",
+        "compacted_runs": f"WITH {LAST_RUNS} SELECT * FROM states",
+        "open_runs": f"""WITH {LAST_RUNS}, pairs AS (SELECT DISTINCT unnest({list(RUNS)}) AS run, question_id FROM questions) SELECT run, question_id FROM pairs EXCEPT SELECT run, question_id FROM states WHERE completed""",
+        "query_places": """WITH f AS (SELECT record_id, generate_subscripts(matched_queries, 1) - 1 AS pos, unnest(matched_queries) AS query FROM works)
+            SELECT query, record_id, pos, row_number() OVER (PARTITION BY query ORDER BY record_id, pos) AS place FROM f""",
+        "title_controls": f"""WITH b AS (SELECT 0::BIGINT AS side, record_id, lower({squeezed('title')}) AS key FROM works UNION ALL SELECT 1, record_id, lower({squeezed('title')}) FROM parsed_papers),
+            h AS (SELECT DISTINCT ON (key) * FROM b WHERE len({_some('key', ON_TOPIC)}) > 0 ORDER BY key, side, record_id) SELECT side, record_id, key FROM h ORDER BY side, record_id LIMIT 100""",
+        "refreshed_works": f"""WITH j AS (SELECT record_id, loaded_at, payload::JSON AS p FROM raw_lines WHERE feed = 'works' AND json_valid(payload)),
+            l AS (SELECT *, {work_id("p ->> '$.id'")} AS work FROM j WHERE json_type(p) = 'OBJECT'), f AS (SELECT DISTINCT ON (work) work, p, json_keys(p) AS ks FROM l WHERE work <> '' ORDER BY work, loaded_at DESC NULLS LAST, record_id DESC)
+            SELECT record_id, CASE WHEN list_contains(ks, 'title') THEN p ->> '$.title' ELSE title END AS title, CASE WHEN list_contains(ks, 'doi') THEN p ->> '$.doi' ELSE doi END AS doi,
+              CASE WHEN list_contains(ks, 'language') THEN p ->> '$.language' ELSE language END AS language, f.work IS NOT NULL AS refreshed FROM works w LEFT JOIN f ON {work_id('w.id')} = f.work""",
+        "enrichment_report": f"""WITH k AS (SELECT {work_id('id')} AS work, record_id, best_oa_location AS b, locations FROM works), l AS (SELECT DISTINCT ON (work) * FROM k WHERE work <> '' ORDER BY work, record_id DESC),
+            u AS (SELECT *, (b.is_oa IS DISTINCT FROM false AND coalesce(trim(b.pdf_url, ' '), '') <> '') OR len(list_filter(coalesce(locations, []), lambda x: x.is_oa AND trim(x.pdf_url, ' ') <> '')) > 0 AS found FROM l),
+            c AS (SELECT (SELECT count(*) FROM parsed_papers) AS papers, count(*) AS enriched, count(*) FILTER (coalesce(b.pdf_url, '') <> '') AS with_best_pdf, count(*) FILTER (found) AS with_any_pdf FROM u)
+            SELECT *, enriched - with_any_pdf AS without_pdf, greatest(papers - enriched, 0) AS remaining, CASE WHEN papers > enriched THEN 'partial' ELSE 'complete' END AS status FROM c""",
+        "local_inventory": f"WITH {_files()} SELECT * FROM chosen",
+        "local_audit": f"""WITH {_files()}, lost AS (SELECT path FROM pf WHERE work IS NULL OR work NOT IN (SELECT work FROM w WHERE work IS NOT NULL) UNION SELECT path FROM xf WHERE work IS NULL OR work NOT IN (SELECT work FROM w WHERE work IS NOT NULL))
+            SELECT 'records' AS name, count(*) AS n FROM chosen UNION ALL SELECT 'without_id', count(*) FROM chosen WHERE work IS NULL UNION ALL SELECT 'orphans', count(*) FROM lost
+            UNION ALL SELECT k.name, count(c.content) FROM (VALUES ('pdf_only', 'pdf'), ('jats_only', 'jats'), ('tei_only', 'tei'), ('both', 'pdf and xml'), ('missing', 'missing')) k(name, content) LEFT JOIN chosen c ON c.content = k.content GROUP BY k.name""",
+        "grading_totals": """WITH r AS (SELECT CASE WHEN isnan(rerank_score) THEN NULL ELSE rerank_score END AS r, CASE WHEN isnan(dense_score) THEN NULL ELSE dense_score END AS d FROM candidates),
+            c AS (SELECT count(*) FILTER (r >= 2 AND d >= 0.8) AS accepted, count(*) FILTER (r < 0 AND d <= 0.39) AS rejected, count(*) AS n FROM r)
+            SELECT accepted, rejected, n - accepted - rejected AS needs_review, greatest(100000 - accepted, 0) AS lacking FROM c""",
+        "page_addresses": f"""SELECT record_id, 'web-' || left(sha256(best_oa_location.pdf_url), 12) AS page, best_oa_location.pdf_url || '?x=1&y=&api_key=k+1#top' AS address,
+              CASE WHEN has_content.pdf AND regexp_matches(best_oa_location.pdf_url, '^[a-z]+://preprints[.]example(/|$)') THEN best_oa_location.pdf_url || '?api_key=k+1' END AS keyed,
+              coalesce({found_id('doi')}, {found_id('id')}) AS work, CASE WHEN record_id % 3 <> 0 THEN CAST(record_id AS DOUBLE) END AS left FROM works""",
+        "limited_payloads": """WITH v AS (SELECT record_id, payload::JSON ->> '$.title' AS title, payload::JSON ->> '$.doi' AS doi FROM (SELECT * FROM raw_lines WHERE json_valid(payload)) WHERE json_type(payload) = 'OBJECT')
+            SELECT record_id, CASE WHEN length(title) > 40 THEN rtrim(left(title, 40), ' ') ELSE title END AS title, CASE WHEN length(doi) > 20 THEN rtrim(left(doi, 20), ' ') ELSE doi END AS doi FROM v""",
     }

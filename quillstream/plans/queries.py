@@ -8,12 +8,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillstream.functions import ids, nested, text
-from quillstream.operators import chunking, dedup, grading, joins, search, selection
+from quillstream.operators import chunking, dedup, evidence, grading, joins, runs, search, selection
 from quillstream.operators.works import work_children, work_table
 from quillstream.plans.oracle import oracle_sql
-from quillstream.plans.settings import CUTOFF, RULES, WINDOW
+from quillstream.plans.settings import CUTOFF, ON_TOPIC, RULES, RUNS, WINDOW
 from quillstream.runtime import cut, remove, shared_folder, table
 from quillstream.sources import xml_papers
+from quillstream.sources.json_lines import field_texts, is_json_object
 from quillstream.streaming import ingest
 
 __all__ = ["oracle_sql", "queries"]
@@ -473,12 +474,206 @@ def paper_identities(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("record_id", ids.identity(F.col("a"), F.col("b"), F.col("doi"), F.col("title")).alias("identity"), text.redacted(keyed).alias("address"), ids.pmc_id(F.concat(F.lit(" pmc"), F.col("record_id"))).alias("pmc"))
 
 
+# evidence, runs and files
+
+
+def reranked_search(spark: SparkSession, d: str) -> DataFrame:
+    """The fused candidates of each question in order of a second score over what an encoder reads of them, then at most two of a paper and ten in all."""
+    texts = _chunks(spark, d, "chunk_id", "title", "section_heading", "text").groupBy("chunk_id").agg(*(F.min(c).alias(c) for c in ("title", "section_heading", "text")))
+    papers = table(spark, d, "candidates").groupBy("chunk_id").agg(F.min("paper_id").alias("paper_id"))
+    asked = table(spark, d, "questions").select("question_id", "question")
+    rows = search.fuse(*_lists(spark, d), "question_id", "chunk_id").join(papers, "chunk_id").join(asked, "question_id").join(texts, "chunk_id", "left")
+    read = text.embedding_text(F.col("title"), F.col("section_heading"), F.col("text"))
+    scored = rows.withColumn("rerank_score", F.when(F.col("text").isNotNull(), grading.overlap_score(F.col("question"), read)))
+    found = search.capped(search.reranked(scored, "question_id"), "question_id", "paper_id", 2, 10)
+    return found.select("question_id", "chunk_id", "paper_id", F.round("rerank_score", 6).alias("rerank_score"), F.col("rank").cast("bigint").alias("rank"))
+
+
+def evidence_documents(spark: SparkSession, d: str) -> DataFrame:
+    """The first ten fused chunks of each question as evidence with the address of their paper."""
+    papers = table(spark, d, "chunks").groupBy("chunk_id").agg(*(F.min(c).alias(c) for c in ("paper_id", "title", "doi", "publication_year", "publication_date")))
+    rows = search.fuse(*_lists(spark, d), "question_id", "chunk_id", k=10).join(papers, "chunk_id")
+    found = evidence.as_evidence(rows, "chunk_id", "paper_id", "https://works.example/")
+    return found.select("question_id", "source_id", "paper_id", "url", "title", "doi", F.col("publication_year").cast("bigint").alias("publication_year"), "publication_date", F.col("rank").cast("bigint").alias("rank"))
+
+
+def web_sources(spark: SparkSession, d: str) -> DataFrame:
+    """Landing pages of works as web results whose content is the abstract."""
+    works = table(spark, d, "works").withColumn("content", nested.abstract_text(F.col("abstract_inverted_index")))
+    pages = works.select("record_id", "title", "content", F.posexplode("locations").alias("pos", "l")).select("record_id", "pos", "title", "content", F.col("l.landing_page_url").alias("url"))
+    found = evidence.web_evidence(pages, "url", "title", "content", ["record_id", "pos"], 400)
+    return found.select("source_id", "url", "title", F.md5("text").alias("text"))
+
+
+def _top(spark: SparkSession, d: str) -> DataFrame:
+    return search.fuse(*_lists(spark, d), "question_id", "chunk_id", k=10).select("question_id", "chunk_id", "rank")
+
+
+def graded_evidence(spark: SparkSession, d: str) -> DataFrame:
+    """The first ten fused chunks of each question with grades that were given under ids cut after 26 characters; the first grade counts, a chunk without one is ambiguous."""
+    label = F.when(F.col("rerank_score") >= 2, "correct").when(F.col("rerank_score") >= 0, "ambiguous").otherwise("incorrect")
+    rated = table(spark, d, "candidates").where("rerank_score is not null and not isnan(rerank_score)")
+    grades = rated.select("question_id", F.left("chunk_id", F.lit(26)).alias("given"), "cand_id", label.alias("grade"))
+    found = evidence.graded(_top(spark, d), grades, ["question_id"], "chunk_id", "given", "cand_id", "grade", "ambiguous")
+    return found.select("question_id", "chunk_id", "grade", F.col("rank").cast("bigint").alias("rank"))
+
+
+def answer_citations(spark: SparkSession, d: str) -> DataFrame:
+    """The papers behind the three best rated chunks of each question, by the last of its candidates that has a paper; one more source that is none of them is missing."""
+    rows = table(spark, d, "candidates").where("paper_id is not null").select("question_id", "chunk_id", "cand_id", "paper_id")
+    asked = _judged(spark, d).select("question_id", F.concat(F.array(F.lit("none")), F.coalesce("cited", F.expr("cast(array() as array<string>)"))).alias("cited"))
+    found = evidence.citations(asked, rows, "question_id", "cited", "chunk_id", "cand_id", ["paper_id"])
+    return found.select(
+        "question_id", F.array_join(F.transform("citations", lambda c: c["source_id"]), "|").alias("sources"), F.array_join(F.transform("citations", lambda c: c["paper_id"]), "|").alias("papers"), F.array_join("missing", "|").alias("missing")
+    )
+
+
+def answer_checks(spark: SparkSession, d: str) -> DataFrame:
+    """Reference answers that cite the two best rated chunks and declare three, with those rated high as evidence: what is wrong with them, and the labels that come of both lists."""
+    rows = _judged(spark, d).join(table(spark, d, "questions").select("question_id", "reference_answer"), "question_id")
+    answer = nested.with_citations(F.coalesce("reference_answer", F.lit("")), F.slice("cited", 1, 2))
+    return rows.select("question_id", nested.answer_problem(answer, F.col("cited"), F.col("gold")).alias("problem"), F.coalesce(F.array_join(nested.united(F.col("cited"), F.col("gold")), "|"), F.lit("")).alias("labels"))
+
+
+def question_evidence(spark: SparkSession, d: str) -> DataFrame:
+    """Per question: does it ask for what came after the corpus, is any of its ten fused chunks from the window, what a reply about them may take, and the first three texts cut short."""
+    chunks = _chunks(spark, d, "chunk_id", "text", "publication_date", "publication_year")
+    texts = chunks.groupBy("chunk_id").agg(*(F.min(c).alias(c) for c in ("text", "publication_date", "publication_year")))
+    recent = ids.in_window(ids.iso_date(F.col("publication_date")), F.col("publication_year"), *WINDOW)
+    rows = _top(spark, d).join(texts, "chunk_id").groupBy("question_id").agg(
+        F.bool_or(recent).alias("recent"), nested.output_budget(F.count("*")).alias("budget"), F.transform(F.array_sort(F.collect_list(F.struct("rank", "text"))), lambda s: s["text"]).alias("texts")
+    )
+    shown = F.md5(F.array_join(nested.first_shortened(F.col("texts"), 3, 2000), "\n"))
+    asked = table(spark, d, "questions").select("question_id", ids.asks_for_fresh(F.col("question")).alias("fresh"))
+    return asked.join(rows, "question_id", "left").select("question_id", "fresh", F.coalesce("recent", F.lit(False)).alias("recent"), "budget", shown.alias("shown"))
+
+
+def _runs(spark: SparkSession, d: str) -> DataFrame:
+    """Candidates as records of runs: one that is loaded a day late counts as failed, a score that is NaN has an error."""
+    names = ("dense_score", "sparse_score", "rerank_score")
+    rows = table(spark, d, "candidates").select("question_id", F.array_join("sources", "+").alias("run"), "cand_id", "chunk_id", "retrieved_at", "loaded_at", *names).distinct()
+    error = F.when(F.col("loaded_at") >= F.col("retrieved_at") + F.expr("interval 1 day"), "late")
+    scores = F.when(F.coalesce(*names).isNotNull(), F.create_map(*(c for n in names for c in (F.lit(n), nested.known(F.col(n))))))
+    bad = F.filter(F.array(*(F.when(F.isnan(n), F.lit(n)) for n in names)), lambda n: n.isNotNull())
+    errors = F.map_from_arrays(bad, F.transform(bad, lambda n: F.lit("not a number")))
+    return rows.select("run", "question_id", "cand_id", F.col("chunk_id").alias("answer"), error.alias("error"), scores.alias("scores"), errors.alias("errors"))
+
+
+def compacted_runs(spark: SparkSession, d: str) -> DataFrame:
+    """The last record of each run and question, where it was first seen, and what it still lacks."""
+    last = runs.compacted(_runs(spark, d), ["run", "question_id"], "cand_id")
+    of = [F.col(c) for c in ("error", "answer", "scores", "errors")]
+    return last.select("run", "question_id", "cand_id", "first_place", F.array_join(runs.missing_scores(*of, ["dense_score", "sparse_score", "rerank_score"]), "|").alias("missing"), runs.completed(*of).alias("completed"))
+
+
+def open_runs(spark: SparkSession, d: str) -> DataFrame:
+    """Which questions each kind of run has not completed."""
+    last = runs.compacted(_runs(spark, d), ["run", "question_id"], "cand_id")
+    done = last.where(runs.completed(*(F.col(c) for c in ("error", "answer", "scores", "errors"))))
+    return runs.open_pairs(table(spark, d, "questions"), "question_id", RUNS, done, "run")
+
+
+def query_places(spark: SparkSession, d: str) -> DataFrame:
+    """The place of each work among the results of each query that found it, in order of record."""
+    found = table(spark, d, "works").select("record_id", F.posexplode("matched_queries").alias("pos", "query"))
+    return dedup.numbered_within(found, "query", ["record_id", "pos"], "place").select("query", "record_id", "pos", "place").withColumn("pos", F.col("pos").cast("bigint"))
+
+
+def title_controls(spark: SparkSession, d: str) -> DataFrame:
+    """The first hundred distinct titles with a term of the domain, works before parsed papers: a top-k report."""
+    title = F.lower(text.squeeze(F.col("title")))
+    sides = []
+    for name in ("works", "parsed_papers"):
+        rows = table(spark, d, name).select("record_id", title.alias("key"))
+        sides.append(rows.where(F.size(selection.hits(F.col("key"), ON_TOPIC)) > 0))
+    return dedup.ordered_union(*sides, ["key"], [F.col("record_id")]).orderBy("side", "record_id").limit(100).select(F.col("side").cast("bigint").alias("side"), "record_id", "key")
+
+
+def refreshed_works(spark: SparkSession, d: str) -> DataFrame:
+    """Works with title, DOI and language of the last line of the feed about them, where that names these fields."""
+    fields = ["title", "doi", "language"]
+    lines = table(spark, d, "raw_lines").where("feed = 'works'").withColumn("present", F.json_object_keys("payload"))
+    fresh = field_texts(lines, "payload", ["id", *fields], ["record_id", "loaded_at", "present"]).withColumn("work", F.nullif(ids.work_id(F.col("id")), F.lit(""))).where("work is not null")
+    works = table(spark, d, "works").select("record_id", ids.work_id(F.col("id")).alias("work"), *fields)
+    return joins.overlaid(works, ingest.latest(fresh, ["work"], "loaded_at", "record_id").select("work", "present", *fields), "work", fields, "present").drop("work")
+
+
+def enrichment_report(spark: SparkSession, d: str) -> DataFrame:
+    """How many papers have a work with open PDF addresses: the last delivery of each work counts."""
+    works = table(spark, d, "works").select("record_id", F.nullif(ids.work_id(F.col("id")), F.lit("")).alias("work"), "best_oa_location", "locations").where("work is not null")
+    last = runs.compacted(works, ["work"], "record_id")
+    urls = ids.open_pdf_urls(F.col("best_oa_location"), F.col("locations"))
+    any_ = F.count_if(F.size(urls) > 0)
+    counts = last.agg(F.count("*").alias("enriched"), F.count_if(F.coalesce(F.col("best_oa_location.pdf_url"), F.lit("")) != "").alias("with_best_pdf"), any_.alias("with_any_pdf"), (F.count("*") - any_).alias("without_pdf"))
+    total = table(spark, d, "parsed_papers").count()
+    remaining = F.greatest(F.lit(total) - F.col("enriched"), F.lit(0))
+    return counts.select(F.lit(total).cast("bigint").alias("papers"), "*", remaining.cast("bigint").alias("remaining"), F.when(remaining == 0, "complete").otherwise("partial").alias("status"))
+
+
+def _local_files(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Works by id, their PDF addresses as files that are valid if open, and the XML files of parsed papers, valid if they gave text."""
+    works = table(spark, d, "works").withColumn("work", ids.work_id_anywhere(F.upper("id")))
+    places = works.select("work", F.explode("locations").alias("l")).where("l.pdf_url is not null")
+    open_ = F.coalesce("l.is_oa", F.lit(False))
+    pdfs = places.select("work", F.col("l.pdf_url").alias("path"), F.lit("pdf").alias("kind"), open_.alias("valid"), F.when(open_, "valid").otherwise("closed").alias("reason"))
+    papers = table(spark, d, "parsed_papers").where("source_path is not null")
+    full = F.coalesce("character_count", F.lit(0)) > 0
+    name = ids.work_id_anywhere(F.regexp_extract("source_path", r"[^/]*$", 0))
+    kind = F.when(F.col("source_format") == "jats_xml", "jats").when(F.col("source_format") == "grobid_tei", "tei")
+    xmls = papers.select(name.alias("work"), F.col("source_path").alias("path"), kind.alias("kind"), full.alias("valid"), F.when(full, "valid").otherwise("no text").alias("reason"))
+    return works.select("record_id", "work"), pdfs, xmls
+
+
+def local_inventory(spark: SparkSession, d: str) -> DataFrame:
+    """Each work with the PDF and the XML file chosen for it."""
+    works, pdfs, xmls = _local_files(spark, d)
+    return xml_papers.local_inventory(works, "work", pdfs, xmls)
+
+
+def local_audit(spark: SparkSession, d: str) -> DataFrame:
+    """Counts of the inventory, and of files that belong to no work."""
+    works, pdfs, xmls = _local_files(spark, d)
+    of = lambda c: F.count_if(F.col("content") == c)
+    rows = xml_papers.local_inventory(works, "work", pdfs, xmls)
+    counts = rows.agg(F.count("*").alias("records"), F.count_if(F.col("work").isNull()).alias("without_id"), of("pdf").alias("pdf_only"), of("jats").alias("jats_only"), of("tei").alias("tei_only"), of("pdf and xml").alias("both"), of("missing").alias("missing"))
+    lost = xml_papers.orphans(works, "work", pdfs, xmls).agg(F.count("*").alias("orphans"))
+    long = lambda t: t.select(F.explode(F.array(*(F.struct(F.lit(c).alias("name"), F.col(c).alias("n")) for c in t.columns))).alias("r")).select("r.*")
+    return long(counts).unionByName(long(lost))
+
+
+def grading_totals(spark: SparkSession, d: str) -> DataFrame:
+    """Candidates by the route that their scores lead to, against a target of 100,000."""
+    label = F.when(F.isnan("rerank_score"), None).when(F.col("rerank_score") >= 2, "relevant").when(F.col("rerank_score") >= 0, "ambiguous").when(F.col("rerank_score") < 0, "irrelevant")
+    rows = table(spark, d, "candidates").select(grading.review_route(label, nested.known(F.col("dense_score"))).alias("route"))
+    return grading.route_counts(rows, "route", 100_000).withColumn("lacking", F.col("lacking").cast("bigint"))
+
+
+def page_addresses(spark: SparkSession, d: str) -> DataFrame:
+    """Addresses of best locations with another key, as ids and by host, and ids from whichever field has one."""
+    rows = table(spark, d, "works").select("record_id", "id", "doi", "has_content", F.col("best_oa_location.pdf_url").alias("url"), F.col("best_oa_location.license").alias("license"))
+    old = F.concat("url", F.lit("?x=1&api_key=old&y=#top"))
+    keyed = ids.keyed_url(F.col("has_content.pdf"), F.col("url"), "preprints.example", "api_key", F.lit("k 1"))
+    headers = F.create_map(F.lit("left"), F.concat(F.lit(" "), F.col("record_id").cast("string"), F.when(F.col("record_id") % 3 == 0, "x").otherwise("")))
+    return rows.select(
+        "record_id", ids.web_source_id(F.col("url")).alias("page"), ids.with_parameter(old, "api_key", F.lit("k 1")).alias("address"), keyed.alias("keyed"), ids.first_work_id(F.lit(None).cast("string"), F.col("doi"), F.col("id")).alias("work"),
+        ids.header_number(headers, "left").alias("left"),
+    )
+
+
+def limited_payloads(spark: SparkSession, d: str) -> DataFrame:
+    """Titles and DOIs of all valid lines, cut where they are longer than 40 and 20 characters."""
+    lines = table(spark, d, "raw_lines").where(is_json_object(F.col("payload")))
+    row = lines.select("record_id", nested.limited(F.from_json("payload", "title string, doi string"), {"title": 40, "doi": 20}).alias("v"))
+    return row.select("record_id", "v.title", "v.doi")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = (
         hybrid_search, bm25_topk, stemmed_topk, corrected_search, nearest_vectors, fused_candidates, capped_candidates, merged_evidence, rank_metrics, evaluation_report, keyword_coverage, answer_scores, candidate_reviews, corpus_status, accepted_works, question_signs, paper_identities, evidence_routes, evidence_contexts,
         p3_found, p3_locations, p3_issn, p3_lineage, p3_best_oa_location, p3_open_access, p3_abstract_words, token_counts, last_tokens, work_identifiers, title_keys, abstracts, paper_texts, encoder_texts, open_pdf_urls, url_hosts, date_windows,
         section_profile, window_chunks, sentence_chunks, chunk_report, chunk_profile, parsed_xml, discovery_dedup, latest_candidates, greedy_dedup, parsed_union, numbered_chunks,
         paper_dates, dated_chunks, coverage, repaired_ids, screening, remaining_chunks, relevance_scores, failure_counts, score_histogram, selection_decisions, best_works, discovery_report, audit_counts, index_terms,
-        event_windows, ingested_lines,
+        event_windows, ingested_lines, reranked_search, evidence_documents, web_sources, graded_evidence, answer_citations, answer_checks, question_evidence, compacted_runs, open_runs, query_places, title_controls,
+        refreshed_works, enrichment_report, local_inventory, local_audit, grading_totals, page_addresses, limited_payloads,
     )
     return {f.__name__: f for f in found}

@@ -63,3 +63,4 @@ RULES = Rules(LEXICON, OFF_TOPIC, SAVING, ON_TOPIC)
 WINDOW = ("2023-01-01", "2024-06-30", 540)
 CUTOFF = "2026-07-01 00:00:00"
 FAILS = ("retracted", "missing_title", "missing_abstract", "missing_downloadable_content")
+RUNS = ("dense", "sparse", "dense+sparse")

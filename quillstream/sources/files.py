@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 import json
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from quillstream.operators.runs import compacted
+
 
 def _path(spark: SparkSession, path: str):
     at = spark._jvm.org.apache.hadoop.fs.Path(path)
@@ -95,3 +98,25 @@ def read_report(spark: SparkSession, path: str) -> dict:
     """The object that ``write_report`` wrote."""
     rows = spark.read.text(path, wholetext=True).collect()
     return json.loads(rows[0][0])
+
+
+def write_split(df: DataFrame, path: str, by: str) -> None:
+    """Replace what is at ``path`` by JSON lines, a folder for each value of ``by``; the values of a null one lie in the default folder."""
+    df.write.mode("overwrite").partitionBy(by).json(path)
+
+
+def compact(spark: SparkSession, path: str, schema: StructType | str, keys: list[str], place: str) -> int:
+    """Keep only the newest record of each key at ``path`` (by ``place``), and return how many there are.
+
+    The new files are written beside the old ones and take their place at the end; a job that is lost before leaves the old ones as they are.
+    """
+    part = f"{path}.{uuid.uuid4().hex}"
+    compacted(read_jsonl(spark, path, schema), keys, place).drop("first_place").write.json(part)
+    kept = spark.read.schema(schema).json(part).count()
+    old, files = _path(spark, path)
+    aside, _ = _path(spark, f"{part}.old")
+    new, _ = _path(spark, part)
+    if not files.rename(old, aside) or not files.rename(new, old):
+        raise OSError(f"could not put {path} in place")
+    files.delete(aside, True)
+    return kept

@@ -165,3 +165,36 @@ def file_index(files: DataFrame, suffix: str) -> DataFrame:
     named = rows.select(F.nullif(F.upper(F.regexp_extract(name, r"(?i)W\d+", 0)), F.lit("")).alias("work_id"), "path")
     found = named.where("work_id is not null").groupBy("work_id").agg(F.sort_array(F.collect_list("path")).alias("paths"))
     return found.unionByName(named.where("work_id is null").select("work_id", F.array("path").alias("paths")))
+
+
+def chosen_file(files: DataFrame, key: str, kinds: list[str]) -> DataFrame:
+    """``key, path, kind, valid, reason``: of each key's files the first valid one by path of the first of ``kinds`` that has any, else the first path as it is. Files that are listed repeatedly count once, as valid if one listing is.
+
+    Two aggregations that combine in the map tasks; null keys are left out.
+    """
+    known = files.where(F.col(key).isNotNull())
+    once = known.groupBy(key, "path").agg(F.min(F.struct((~F.coalesce("valid", F.lit(False))).alias("bad"), "kind", "reason")).alias("f"))
+    ok = ~F.col("f.bad")
+    place = F.coalesce(F.when(ok, F.nullif(F.array_position(F.array(*map(F.lit, kinds)), F.col("f.kind")), F.lit(0))), F.lit(len(kinds) + 1))
+    best = once.groupBy(key).agg(F.min(F.struct(place.alias("place"), "path", F.col("f.kind").alias("kind"), ok.alias("valid"), F.col("f.reason").alias("reason"))).alias("c"))
+    return best.select(key, "c.path", "c.kind", "c.valid", "c.reason")
+
+
+def local_inventory(records: DataFrame, key: str, pdfs: DataFrame, papers: DataFrame) -> DataFrame:
+    """``records`` with the chosen PDF and XML file of each, why it is so, and ``content``: which valid ones there are (``pdf and xml``, ``pdf``, the kind of XML, or ``missing``). Files as in ``chosen_file``."""
+    sides = {"pdf": chosen_file(pdfs, key, ["pdf"]), "xml": chosen_file(papers, key, ["jats", "tei"])}
+    for name, side in sides.items():
+        records = records.join(side.select(key, *(F.col(c).alias(f"{name}_{c}") for c in ("path", "kind", "valid", "reason"))), key, "left")
+        records = records.withColumn(f"{name}_valid", F.coalesce(f"{name}_valid", F.lit(False))).withColumn(f"{name}_reason", F.coalesce(f"{name}_reason", F.lit("missing")))
+    content = F.when(F.col("pdf_valid") & F.col("xml_valid"), "pdf and xml").when(F.col("pdf_valid"), "pdf").when(F.col("xml_valid"), F.col("xml_kind")).otherwise("missing")
+    return records.drop("pdf_kind").withColumn("content", content)
+
+
+def orphans(records: DataFrame, key: str, *files: DataFrame) -> DataFrame:
+    """``path``: the files, each once, whose key no record has, or that have none."""
+    known = records.select(key).where(F.col(key).isNotNull()).distinct()
+    rows = [f.select(key, "path").distinct().join(known, key, "left_anti").select("path") for f in files]
+    out = rows[0]
+    for more in rows[1:]:
+        out = out.unionByName(more)
+    return out.distinct()

@@ -171,3 +171,36 @@ def keyed_url(available: Column, url: Column, host: str, name: str, key: Column)
 def header_number(headers: Column, name: str) -> Column:
     """The number in one entry of a map of texts; null if it is absent or no number."""
     return F.trim(F.try_element_at(headers, F.lit(name))).try_cast("double")
+
+
+def host_in(url: Column, hosts: list[str]) -> Column:
+    """Whether an address is at one of the hosts, whatever case; null is at none."""
+    return F.coalesce(F.lower(F.try_parse_url(url, F.lit("HOST"))).isin(*hosts), F.lit(False))
+
+
+def article_parts(url: Column, hosts: list[str]) -> Column:
+    """``issn, volume, article`` of an address ``/issn/volume/issue/article`` at one of the hosts; null for any other."""
+    parts = F.filter(F.split(F.try_parse_url(url, F.lit("PATH")), "/"), lambda s: s != "")
+    number = lambda k: F.get(parts, F.lit(k)).try_cast("bigint")
+    digits = lambda k: F.get(parts, F.lit(k)).rlike(r"^[0-9]+$")
+    fits = host_in(url, hosts) & F.get(parts, F.lit(0)).rlike(r"^[0-9]{4}-[0-9]{3}[0-9Xx]$") & digits(1) & digits(3)
+    return F.when(fits, F.struct(F.get(parts, F.lit(0)).alias("issn"), number(1).alias("volume"), number(3).alias("article")))
+
+
+def doi_code(doi: Column, prefix: str) -> Column:
+    """The letters after a DOI's prefix (a pattern) that come before a digit, in lower case; '' if there are none."""
+    return F.regexp_extract(F.lower(F.coalesce(doi, F.lit(""))), rf"{prefix}/([a-z]+)[0-9]", 1)
+
+
+def slug_candidates(journal: Column, doi: Column, known: dict[str, str], prefix: str) -> Column:
+    """Guesses at the short name of a journal in order, each once: the known one of its name, the name's letters and digits, the code in the DOI."""
+    name = F.lower(F.trim(F.coalesce(journal, F.lit(""))))
+    table = F.create_map(*(F.lit(v) for pair in known.items() for v in pair)) if known else F.expr("cast(map() as map<string,string>)")
+    return F.array_distinct(F.filter(F.array(F.try_element_at(table, name), F.regexp_replace(name, "[^a-z0-9]+", ""), doi_code(doi, prefix)), lambda s: s.isNotNull() & (s != "")))
+
+
+def deployed_address(base: str, slug: Column, volume: Column, article: Column) -> Column:
+    """The address of an article's file below ``base``: the volume in at least two digits, the article in at least five."""
+    padded = lambda c, n: F.lpad(c.cast("string"), F.greatest(F.lit(n), F.length(c.cast("string"))), F.lit("0"))
+    stem = F.concat_ws("-", slug, padded(volume, 2), padded(article, 5))
+    return F.when(slug.isNotNull() & volume.isNotNull() & article.isNotNull(), F.concat(F.lit(base.rstrip("/") + "/"), slug, F.lit("/"), stem, F.lit("/article_deploy/"), stem, F.lit(".pdf")))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from quillstream.functions.ids import FRESH, RECENCY
 from quillstream.functions.text import SECTION_TYPES, STOPWORDS
-from quillstream.plans.settings import CUTOFF, FAILS, LEXICON, OFF_TOPIC, ON_TOPIC, RUNS, SAVING, WINDOW
+from quillstream.plans.settings import CUTOFF, FAILS, JOURNALS, LEXICON, OFF_TOPIC, ON_TOPIC, RUNS, SAVING, WINDOW
 
 SPACE = r"\s\x{0b}\x{1c}-\x{1f}\x{85}\p{Z}"
 WORD = r"[\p{L}\p{N}_]+"
@@ -196,7 +196,7 @@ def _files() -> str:
 def oracle_sql() -> dict[str, str]:
     begin, end, days = WINDOW
     vec = "list_transform(embedding, lambda x: CAST(x AS DOUBLE))"
-    return {
+    found = {
         "p3_found": f"""WITH {NESTED} SELECT record_id, 'locations' AS child, CAST(pos AS INT) AS pos, -1 AS sub_pos FROM places WHERE {SOME.format('item')}
             UNION ALL SELECT record_id, child, CAST(pos AS INT), CAST(sub_pos AS INT) FROM inner_ WHERE json_type(x) <> 'NULL'
             UNION ALL SELECT record_id, 'best_oa_location', 0, -1 FROM src WHERE {SOME.format('b')} UNION ALL SELECT record_id, 'open_access', 0, -1 FROM src WHERE {SOME.format('o')}
@@ -435,4 +435,28 @@ def oracle_sql() -> dict[str, str]:
               coalesce({found_id('doi')}, {found_id('id')}) AS work, CASE WHEN record_id % 3 <> 0 THEN CAST(record_id AS DOUBLE) END AS left FROM works""",
         "limited_payloads": """WITH v AS (SELECT record_id, payload::JSON ->> '$.title' AS title, payload::JSON ->> '$.doi' AS doi FROM (SELECT * FROM raw_lines WHERE json_valid(payload)) WHERE json_type(payload) = 'OBJECT')
             SELECT record_id, CASE WHEN length(title) > 40 THEN rtrim(left(title, 40), ' ') ELSE title END AS title, CASE WHEN length(doi) > 20 THEN rtrim(left(doi, 20), ' ') ELSE doi END AS doi FROM v""",
+        "jsonl_records": "SELECT doc_id, md5(text) AS text, lang, source, CAST(publication_year AS BIGINT) AS publication_year FROM documents",
+        "appended_lines": """WITH n AS (SELECT count(*) FILTER (feed = 'works') AS a, count(*) FILTER (feed <> 'works') AS b FROM raw_lines)
+            SELECT feed, count(*) AS lines, CAST(sum(length(payload)) AS BIGINT) AS characters, any_value(a) AS added_0, any_value(b) AS added_1, 0::BIGINT AS added_2 FROM raw_lines, n GROUP BY feed""",
+        "checked_examples": "SELECT question_id, question, category, difficulty FROM questions WHERE difficulty = 'easy'",
+        "files_by_id": f"""WITH f AS (SELECT DISTINCT source_path AS path, {found_id("list_extract(string_split(source_path, '/'), -1)")} AS work_id FROM parsed_papers WHERE lower(source_path) LIKE '%.xml')
+            SELECT work_id, string_agg(path, '|' ORDER BY path) AS paths FROM f WHERE work_id IS NOT NULL GROUP BY work_id UNION ALL SELECT work_id, path FROM f WHERE work_id IS NULL""",
+        "pdf_checks": """SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN CASE WHEN text IS NULL THEN 'empty' WHEN strlen(text) + 9 < 500 THEN 'too small' END
+              ELSE CASE WHEN coalesce(text, '') = '' THEN 'empty' WHEN strlen(text) < 500 THEN 'too small' WHEN NOT starts_with(text, '%PDF-') THEN 'no PDF' END END AS problem FROM documents""",
+        "xml_checks": """SELECT record_id, CASE WHEN record_id % 4 = 2 THEN 'jats_xml' END AS format, CASE record_id % 4 WHEN 0 THEN 'malformed' WHEN 1 THEN 'empty' WHEN 3 THEN 'unknown root' END AS problem FROM parsed_papers""",
+        "merged_papers": rf"""WITH k AS (SELECT {work_id('id')} AS work, record_id, doi, publication_year AS y FROM works), l AS (SELECT DISTINCT ON (work) work, doi, y FROM k WHERE work <> '' ORDER BY work, record_id DESC)
+            SELECT p.record_id, coalesce(nullif(trim(l.doi, ' '), ''), nullif({squeezed('p.doi')}, '')) AS doi, coalesce(CAST(l.y AS BIGINT), TRY_CAST(nullif(regexp_extract(CAST(p.publication_year AS VARCHAR), '(19|20)\d\d'), '') AS BIGINT)) AS publication_year,
+              CAST(NULL AS VARCHAR) AS problem FROM parsed_papers p LEFT JOIN l ON {found_id('upper(p.paper_id)')} = l.work""",
+        "model_scores": f"""WITH {CHUNKS}, {TOP}, texts AS (SELECT chunk_id, regexp_extract_all(lower(min(text)), '{WORD}') AS ws FROM docs GROUP BY chunk_id), q AS (SELECT question_id, list_distinct(regexp_extract_all(lower(question), '{WORD}')) AS qs FROM questions),
+            s AS (SELECT question_id, chunk_id, len(list_filter(qs, lambda w: list_contains(ws, w))) / len(qs) AS s FROM fused JOIN texts USING (chunk_id) JOIN q USING (question_id))
+            SELECT question_id, chunk_id, round(s, 6) AS score, CASE WHEN s >= 0.8 THEN 'correct' WHEN s >= 0.4 THEN 'ambiguous' ELSE 'incorrect' END AS grade, CAST(NULL AS VARCHAR) AS error FROM s""",
+        "rescored_runs": """WITH r AS (SELECT DISTINCT cand_id, dense_score AS d, sparse_score AS s, rerank_score AS r FROM candidates)
+            SELECT cand_id, CASE WHEN d IS NULL AND s IS NULL AND r IS NULL THEN '' ELSE 'dense_score|rerank_score|sparse_score' END AS scores,
+              array_to_string(list_filter([CASE WHEN isnan(d) THEN 'dense_score' END, CASE WHEN isnan(s) THEN 'sparse_score' END], lambda n: n IS NOT NULL), '|') AS errors, CASE WHEN r IS NULL THEN -99.0 WHEN isnan(r) THEN 0.0 ELSE r END::DOUBLE AS rerank_score FROM r""",
+        "journal_addresses": rf"""WITH n AS (SELECT record_id, publication_year AS y, lower(trim(coalesce(best_oa_location.source.display_name, ''), ' ')) AS j, best_oa_location.pdf_url AS url, regexp_extract(lower(coalesce(doi, '')), '10[.]98[0-9]+/([a-z]+)[0-9]', 1) AS code FROM works),
+            g AS (SELECT *, [CASE j {' '.join(f"WHEN '{k}' THEN '{v}'" for k, v in JOURNALS.items())} END, regexp_replace(j, '[^a-z0-9]+', '', 'g'), code] AS all_ FROM n),
+            o AS (SELECT *, list_filter(all_, lambda x, i: x <> '' AND list_position(all_, x) = i) AS slugs FROM g),
+            s AS (SELECT *, slugs[1] || '-' || CASE WHEN y % 100 < 10 THEN '0' ELSE '' END || (y % 100) || '-' || repeat('0', greatest(0, 5 - length(CAST(record_id AS VARCHAR)))) || record_id AS stem FROM o)
+            SELECT record_id, array_to_string(slugs, '|') AS slugs, coalesce(regexp_matches(lower(url), '^[a-z]+://(archive|repo)[.]example(/|$)'), false) AS here, 'https://files.example/d/' || slugs[1] || '/' || stem || '/article_deploy/' || stem || '.pdf' AS address FROM s""",
     }
+    return found | {"stored_report": found["audit_counts"]}

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import re
+import uuid
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,9 +14,9 @@ from quillstream.functions import ids, nested, text
 from quillstream.operators import chunking, dedup, evidence, grading, joins, runs, search, selection
 from quillstream.operators.works import work_children, work_table
 from quillstream.plans.oracle import oracle_sql
-from quillstream.plans.settings import CUTOFF, ON_TOPIC, RULES, RUNS, WINDOW
+from quillstream.plans.settings import CUTOFF, JOURNALS, ON_TOPIC, RULES, RUNS, WINDOW
 from quillstream.runtime import cut, remove, shared_folder, table
-from quillstream.sources import xml_papers
+from quillstream.sources import files, xml_papers
 from quillstream.sources.json_lines import field_texts, is_json_object
 from quillstream.streaming import ingest
 
@@ -285,8 +288,6 @@ def event_windows(spark: SparkSession, d: str) -> DataFrame:
 
 def ingested_lines(spark: SparkSession, d: str) -> DataFrame:
     """The lines as a stream of files into a table, and what of them is valid."""
-    import uuid
-
     home = f"{shared_folder(spark)}/ingest-{uuid.uuid4().hex}"
     rows = ingest.ingest_lines(spark, f"{d}/raw_lines.parquet", "record_id bigint, feed string, payload string", f"{home}/table", f"{home}/progress")
     counts = cut(rows.groupBy("feed", "valid").agg(F.count("*").alias("lines"), F.sum(F.length("payload")).cast("bigint").alias("characters")))
@@ -667,6 +668,126 @@ def limited_payloads(spark: SparkSession, d: str) -> DataFrame:
     return row.select("record_id", "v.title", "v.doi")
 
 
+# files that operators write and read again
+
+
+def _in_folder(spark: SparkSession, use: Callable[[str], DataFrame]) -> DataFrame:
+    """What ``use`` makes of a folder of its own, which is removed after."""
+    home = f"{shared_folder(spark)}/files-{uuid.uuid4().hex}"
+    try:
+        return cut(use(home))
+    finally:
+        remove(spark, home)
+
+
+def jsonl_records(spark: SparkSession, d: str) -> DataFrame:
+    """Documents written as JSON lines and read again with their schema."""
+    rows = table(spark, d, "documents").select("doc_id", "text", "lang", "source", "publication_year")
+
+    def use(home: str) -> DataFrame:
+        files.write_jsonl(rows, home)
+        return files.read_jsonl(spark, home, rows.schema).select("doc_id", F.md5("text").alias("text"), "lang", "source", F.col("publication_year").cast("bigint").alias("publication_year"))
+
+    return _in_folder(spark, use)
+
+
+def appended_lines(spark: SparkSession, d: str) -> DataFrame:
+    """The lines of one feed, then those of both, appended by key to the same files."""
+    lines = table(spark, d, "raw_lines").select("record_id", "feed", "payload")
+
+    def use(home: str) -> DataFrame:
+        added = [files.append_new(rows, home, ["record_id"]) for rows in (lines.where("feed = 'works'"), lines, lines)]
+        counts = files.read_jsonl(spark, home, lines.schema).groupBy("feed").agg(F.count("*").alias("lines"), F.sum(F.length("payload")).cast("bigint").alias("characters"))
+        return counts.select("*", *(F.lit(n).cast("bigint").alias(f"added_{k}") for k, n in enumerate(added)))
+
+    return _in_folder(spark, use)
+
+
+def checked_examples(spark: SparkSession, d: str) -> DataFrame:
+    """Questions written as a data set and read with the check of their keys, easy ones alone."""
+    rows = table(spark, d, "questions")
+
+    def use(home: str) -> DataFrame:
+        files.write_jsonl(rows, home)
+        return files.read_examples(spark, home, "question_id string, question string, category string, difficulty string", difficulty="easy")
+
+    return _in_folder(spark, use)
+
+
+def stored_report(spark: SparkSession, d: str) -> DataFrame:
+    """The counts of the audit, written as a report and read again."""
+    counts = audit_counts(spark, d)
+
+    def use(home: str) -> DataFrame:
+        files.write_report(counts, f"{home}/report.json")
+        return spark.read.schema(counts.schema).option("multiLine", True).json(f"{home}/report.json")
+
+    return _in_folder(spark, use)
+
+
+def files_by_id(spark: SparkSession, d: str) -> DataFrame:
+    """Paths of parsed papers by the work id in their name."""
+    found = xml_papers.file_index(table(spark, d, "parsed_papers").select(F.col("source_path").alias("path")).distinct(), ".XML")
+    return found.select("work_id", F.array_join("paths", "|").alias("paths"))
+
+
+def pdf_checks(spark: SparkSession, d: str) -> DataFrame:
+    """Documents as bytes, those of even id with the first bytes of a PDF: why each is no usable one."""
+    made = F.encode(F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit("%PDF-1.7 "), "text")).otherwise(F.col("text")), "UTF-8")
+    return table(spark, d, "documents").select("doc_id", made.alias("content")).select("doc_id", xml_papers.pdf_problem(F.col("content"), F.length("content"), 500).alias("problem"))
+
+
+def xml_checks(spark: SparkSession, d: str) -> DataFrame:
+    """Papers as JATS, some cut off, emptied, inside another element or of another kind: the reason why there is no paper, or its format."""
+    kind = F.col("record_id") % 4
+    broken = F.when(kind == 0, F.expr("left(xml, length(xml) - 5)")).when(kind == 1, "").when(kind == 2, F.concat(F.lit("<other>"), "xml", F.lit("</other>"))).otherwise("<other><body/></other>")
+    rows = xml_papers.as_jats(table(spark, d, "parsed_papers")).withColumn("xml", broken)
+    return xml_papers.parse_papers(rows, "record_id", "paper_id", "xml").select("record_id", "paper.format", "paper.problem")
+
+
+def merged_papers(spark: SparkSession, d: str) -> DataFrame:
+    """DOI and year of parsed XML with those of the last work of the same id before them."""
+    works = table(spark, d, "works").select(F.nullif(ids.work_id(F.col("id")), F.lit("")).alias("work"), "record_id", "doi", "publication_year").where("work is not null")
+    last = runs.compacted(works, ["work"], "record_id").select("work", "doi", "publication_year")
+    papers = table(spark, d, "parsed_papers").select("record_id", ids.work_id_anywhere(F.upper("paper_id")).alias("work"))
+    records = papers.join(last, "work", "left").select("record_id", F.lit(None).cast("string").alias("title"), F.lit(None).cast("string").alias("abstract"), "doi", "publication_year")
+    parsed = xml_papers.parse_papers(xml_papers.as_jats(table(spark, d, "parsed_papers")), "record_id", "paper_id", "xml")
+    found = xml_papers.merged_metadata(parsed, records, "record_id")
+    return found.select("record_id", "doi", F.col("publication_year").cast("bigint").alias("publication_year"), "problem")
+
+
+def _shared_words(queries: pd.Series, texts: pd.Series) -> pd.Series:
+    """A scorer as a model would be one: the share of a query's distinct words that the text has."""
+    split = lambda t: set(re.findall(r"\w+", (t or "").lower()))
+    return pd.Series([len(q & split(t)) / len(q) if (q := split(a)) else 0.0 for a, t in zip(queries, texts)])
+
+
+def model_scores(spark: SparkSession, d: str) -> DataFrame:
+    """The first ten fused chunks of each question, scored in Arrow batches and graded."""
+    asked = table(spark, d, "questions").select("question_id", "question")
+    rows = _evidence(spark, d).join(asked, "question_id").select("question_id", "chunk_id", "question", "text")
+    found = grading.scored_by(rows, "question", "text", _shared_words)
+    return found.select("question_id", "chunk_id", F.round("score", 6).alias("score"), grading.grade(F.col("score")).alias("grade"), "error")
+
+
+def rescored_runs(spark: SparkSession, d: str) -> DataFrame:
+    """Records of runs whose failed second score has been made up for: names of the scores and of the errors that are left."""
+    again = F.when(F.map_contains_key("errors", "rerank_score"), F.create_map(F.lit("rerank_score"), F.lit(0.0)))
+    both = grading.merged_scores(F.col("scores"), again, F.col("errors"), F.lit(None).cast("map<string,string>"))
+    names = lambda c: F.array_join(F.array_sort(F.map_keys(c)), "|")
+    return _runs(spark, d).select("cand_id", both.alias("b")).select("cand_id", names(F.col("b.scores")).alias("scores"), names(F.col("b.errors")).alias("errors"), F.coalesce(F.try_element_at("b.scores", F.lit("rerank_score")), F.lit(-99.0)).alias("rerank_score"))
+
+
+def journal_addresses(spark: SparkSession, d: str) -> DataFrame:
+    """Short names of the journals of best locations, and the addresses that follow from the first guess, year and number of a work."""
+    rows = table(spark, d, "works").select("record_id", "doi", "publication_year", F.col("best_oa_location.source.display_name").alias("journal"), F.col("best_oa_location.pdf_url").alias("url"))
+    slugs = ids.slug_candidates(F.col("journal"), F.col("doi"), JOURNALS, "10[.]98[0-9]+")
+    made = F.concat(F.lit("https://Archive.example/1234-567X/"), F.col("publication_year").cast("string"), F.lit("/1/"), F.col("record_id").cast("string"), F.lit("/pdf?v=1"))
+    parts = ids.article_parts(made, ["archive.example"])
+    address = ids.deployed_address("https://files.example/d/", F.get(slugs, F.lit(0)), parts["volume"] % 100, parts["article"])
+    return rows.select("record_id", F.array_join(slugs, "|").alias("slugs"), ids.host_in(F.col("url"), ["archive.example", "repo.example"]).alias("here"), address.alias("address"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = (
         hybrid_search, bm25_topk, stemmed_topk, corrected_search, nearest_vectors, fused_candidates, capped_candidates, merged_evidence, rank_metrics, evaluation_report, keyword_coverage, answer_scores, candidate_reviews, corpus_status, accepted_works, question_signs, paper_identities, evidence_routes, evidence_contexts,
@@ -675,5 +796,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         paper_dates, dated_chunks, coverage, repaired_ids, screening, remaining_chunks, relevance_scores, failure_counts, score_histogram, selection_decisions, best_works, discovery_report, audit_counts, index_terms,
         event_windows, ingested_lines, reranked_search, evidence_documents, web_sources, graded_evidence, answer_citations, answer_checks, question_evidence, compacted_runs, open_runs, query_places, title_controls,
         refreshed_works, enrichment_report, local_inventory, local_audit, grading_totals, page_addresses, limited_payloads,
+        jsonl_records, appended_lines, checked_examples, stored_report, files_by_id, pdf_checks, xml_checks, merged_papers, model_scores, rescored_runs, journal_addresses,
     )
     return {f.__name__: f for f in found}

@@ -64,3 +64,4 @@ WINDOW = ("2023-01-01", "2024-06-30", 540)
 CUTOFF = "2026-07-01 00:00:00"
 FAILS = ("retracted", "missing_title", "missing_abstract", "missing_downloadable_content")
 RUNS = ("dense", "sparse", "dense+sparse")
+JOURNALS = {"annals of vovo-ir studies": "vovo", "annals of hedulrank studies": "hedul"}  # short names that do not follow from the names

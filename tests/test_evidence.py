@@ -111,3 +111,16 @@ def test_labels_answers_and_limits(spark):
 def test_route_counts(spark):
     routes = spark.createDataFrame([("accepted",), ("accepted",), ("rejected",), ("odd",), (None,)], "r string")
     assert tuple(grading.route_counts(routes, "r", 5).first()) == (2, 1, 2, 3) and tuple(grading.route_counts(routes.limit(0), "r", 1).first()) == (0, 0, 0, 1)
+
+
+def test_articles_of_journals(spark):
+    urls = ["https://WWW.j.example/1234-567X/17/2/133/pdf?v=1", "https://j.example/1234-5678/17/2/133", "https://j.example/1234-5678/17/2", "https://j.example/12-5678/1/2/3", "https://j.example/1234-5678/x/2/3", None]
+    df = spark.createDataFrame([(u,) for u in urls], "u string")
+    got = [r[0] and tuple(r[0]) for r in df.select(ids.article_parts(F.col("u"), ["www.j.example"])).collect()]
+    assert got == [("1234-567X", 17, 133), None, None, None, None, None]
+    names = spark.createDataFrame([(" Applied Things ", "https://doi.example/10.55/ABC123"), ("The A-B", None), (None, "10.55/1"), ("", None)], "j string, d string")
+    assert [r[0] for r in names.select(ids.slug_candidates(F.col("j"), F.col("d"), {"applied things": "abc"}, "10[.]55")).collect()] == [["abc", "appliedthings"], ["theab"], [], []]
+    at = spark.createDataFrame([("ai", 6, 226), ("ai", 123, 1234567), (None, 1, 2)], "s string, v int, a int")
+    assert [r[0] for r in at.select(ids.deployed_address("https://c.example/d/", F.col("s"), F.col("v"), F.col("a"))).collect()] == [
+        "https://c.example/d/ai/ai-06-00226/article_deploy/ai-06-00226.pdf", "https://c.example/d/ai/ai-123-1234567/article_deploy/ai-123-1234567.pdf", None,
+    ]
